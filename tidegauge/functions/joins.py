@@ -1,0 +1,35 @@
+"""Joins against reference data whose size is checked, not assumed."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+SALTS = 32
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """True when `df` has at most `max_rows` rows; stops counting one row past the bound."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str],
+                max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+    """Left join of a fact frame with reference rows unique on `on`.
+
+    Within the row bound the reference side is broadcast. Beyond it the fact side is spread over
+    `salts` sub-keys and the reference side repeated per sub-key, so a key holding a large share
+    of all rows is still split over many tasks. The salt is a hash of the row, so a retried task
+    sends each row to the same place."""
+    if fits(small, max_rows):
+        return big.join(F.broadcast(small), on, "left")
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*on, "_salt"], "left").drop("_salt")
+
+
+def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]):
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
