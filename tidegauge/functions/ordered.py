@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tidegauge.functions.scalars import as_col
 
-SLICES_PER_OCTAVE = 256
+SLICES_PER_OCTAVE = 64
 _CENTRE = 2_000 * SLICES_PER_OCTAVE
 
 

@@ -16,7 +16,6 @@ from pyspark.sql.window import Window
 
 from tidegauge.functions import scalars as S
 from tidegauge.functions.joins import lookup_join
-from tidegauge.functions.ordered import exact_quantiles
 from tidegauge.operators import drift
 from tidegauge.operators.baseline import Baselines
 from tidegauge.functions.stats import PSI_BINS
@@ -98,6 +97,7 @@ class _Compiler:
         self.cp, self.keys, self.base = cp, keys, base or Baselines()
         self.segmented = bool(cp.segment_by and cp.segment_by in df.columns)
         self.df = df.withColumn("_seg", S.segment_of(cp.segment_by) if self.segmented else F.lit("all"))
+        self.plain = self.df                    # without the bin columns
         self.segment = F.col("_seg") if self.segmented else F.lit(None).cast("string")
         self.aggs: dict[str, Column] = {"n_rows": F.count(F.lit(1))}
         self.totals: set[str] = {"n_rows"}
@@ -107,6 +107,7 @@ class _Compiler:
         self.base_side: list[DataFrame] = []    # joined on _seg
         self.rows: list[Column] = []            # per segment
         self.batch_rows: list[Column] = []      # once per batch
+        self.ordered: dict[str, bool] = {}      # field -> KS wanted
         self.seq = 0
 
     def next(self) -> int:
@@ -257,6 +258,10 @@ class _Compiler:
                                   .select("_seg", *[F.col(c).alias(prefix + c) for c in cols]))
         return prefix
 
+    def _ordered(self, field: str, ks: bool) -> None:
+        """Ask for the median and optionally the KS test of a field; both share one pass."""
+        self.ordered[field] = self.ordered.get(field, False) or ks
+
     def unit(self, field: str, stat: str, limit: float) -> None:
         name = f"unit:{field}"
         if not self.has(field):
@@ -267,8 +272,7 @@ class _Compiler:
         if stat == "mean":
             self.aggs[f"mean_{field}"] = F.avg(S.clean_number(field))
         else:
-            values = self.df.select(*self.keys, "_seg", S.clean_number(field).alias("x"))
-            self.side.append(exact_quantiles(values, [*self.keys, "_seg"], "x", {f"median_{field}": 0.5}))
+            self._ordered(field, ks=False)
         current, ref = F.col(f"{stat}_{field}"), F.col(prefix + stat)
         ratio = self.metric(self.next(), F.when(
             (current <= 0) | (ref <= 0),
@@ -288,9 +292,7 @@ class _Compiler:
             return self.unjudged(f"ks:{field}", "numeric_drift", field, n)
         common = dict(kind="score", check_type="numeric_drift", field=field, segment=self.segment, rows=n,
                       few_of="rows", no_base=F.col(prefix + "sample_count").isNull())
-        ks = drift.ks_stats(self.df, self.base.sample, self.keys, self.cp.name, field)
-        self.side.append(ks.select(*self.keys, "_seg", *[F.col(c).alias(f"{c}_{field}") for c in ("ks_d", "ks_p")]))
-
+        self._ordered(field, ks=True)
         self.df = drift.with_bins(self.df, self.base.numeric, self.cp.name, field, f"bin_{field}")
         for i in range(PSI_BINS):
             self.aggs[f"cur_{field}_{i}"] = F.count_if(F.col(f"bin_{field}") == i)
@@ -359,6 +361,10 @@ class _Compiler:
             batch = Window.partitionBy(*self.keys)
             out = out.select("*", *[F.sum(n).over(batch).alias(f"t_{n}") for n in sorted(self.totals)],
                              (F.row_number().over(batch.orderBy("_seg")) == 1).alias("_first"))
+        for field, ks in self.ordered.items():
+            found = drift.ordered_stats(self.plain, self.keys, field, self.base.sample if ks else None, self.cp.name)
+            names = ["median"] + (["ks_d", "ks_p"] if ks else [])
+            self.side.append(found.select(*self.keys, "_seg", *[F.col(c).alias(f"{c}_{field}") for c in names]))
         for s in self.base_side:
             out = lookup_join(out, s, ["_seg"])
         for s in self.side:

@@ -45,23 +45,39 @@ def psi_score(prefix: str, ref: str = "bin_counts", bins: str = "n_bins"):
     return F.when(F.col(bins) < 2, F.lit(0.0)).otherwise(score)
 
 
-def ks_stats(df: DataFrame, sample: DataFrame, keys: list[str], checkpoint: str, field: str) -> DataFrame:
-    """Two-sample KS statistic, sizes and p-value per (keys, _seg). The two step functions are
-    compared at every value of either side with sliced running sums."""
-    cur = (df.select(*keys, "_seg", S.clean_number(field).alias("x")).where(F.col("x").isNotNull())
-           .groupBy(*keys, "_seg", "x").agg(F.count(F.lit(1)).alias("n_cur")))
-    ref = at_key(sample, checkpoint, field).groupBy("_seg", "x").agg(F.count(F.lit(1)).alias("n_ref"))
-    groups = df.where(F.col(field).isNotNull()).select(*keys, "_seg").distinct()
-    zero = F.lit(0).cast("bigint")
-    both = (cur.withColumn("n_ref", zero)
-            .unionByName(groups.join(ref, "_seg").withColumn("n_cur", zero)
-                         .select(*keys, "_seg", "x", "n_cur", "n_ref"))
-            .groupBy(*keys, "_seg", "x").agg(F.sum("n_cur").alias("n_cur"), F.sum("n_ref").alias("n_ref")))
-    run = prefix_sums(both, [*keys, "_seg"], "x", ["n_cur", "n_ref"]).where(F.col("all_n_ref") > 0)
-    gap = F.abs(F.col("cum_n_cur") / F.col("all_n_cur") - F.col("cum_n_ref") / F.col("all_n_ref"))
-    return (run.groupBy(*keys, "_seg")
-            .agg(F.max(gap).alias("ks_d"), F.max("all_n_ref").alias("ks_n"), F.max("all_n_cur").alias("ks_m"))
-            .withColumn("ks_p", ks_pvalue(F.col("ks_d"), F.col("ks_n"), F.col("ks_m"))))
+def ordered_stats(df: DataFrame, keys: list[str], field: str, sample: DataFrame | None = None,
+                  checkpoint: str | None = None) -> DataFrame:
+    """Median and, with a baseline sample, the two-sample KS test per (keys, _seg), from one sliced
+    running count of the collapsed values.
+
+    Between two current values the current step function is constant, so the largest gap lies at a
+    current value or just before one. The baseline steps are therefore ranked once per distinct
+    (segment, value), however many batches share the segment."""
+    seg = [*keys, "_seg"]
+    cur = (df.select(*seg, S.clean_number(field).alias("x")).where(F.col("x").isNotNull())
+           .groupBy(*seg, "x").agg(F.count(F.lit(1)).alias("n")))
+    run = prefix_sums(cur, seg, "x", ["n"])
+    pos = F.lit(0.5) * (F.col("all_n") - F.lit(1))
+    start = F.col("cum_n") - F.col("n")
+
+    def at(rank):
+        return F.max(F.when((start <= rank) & (rank < F.col("cum_n")), F.col("x")))
+
+    aggs = [at(F.floor(pos)).alias("_lo"), at(F.ceil(pos)).alias("_hi"), F.max("all_n").alias("ks_m")]
+    if sample is not None:
+        ref = at_key(sample, checkpoint, field).groupBy("_seg", "x").agg(F.count(F.lit(1)).alias("n_ref"))
+        values = (cur.select("_seg", "x").distinct().withColumn("n_ref", F.lit(0).cast("bigint"))
+                  .unionByName(ref).groupBy("_seg", "x").agg(F.sum("n_ref").alias("n_ref")))
+        steps = (prefix_sums(values, ["_seg"], "x", ["n_ref"]).where(F.col("all_n_ref") > 0))
+        run = run.join(steps, ["_seg", "x"], "left")
+        upto = F.col("cum_n_ref") / F.col("all_n_ref")
+        before = (F.col("cum_n_ref") - F.col("n_ref")) / F.col("all_n_ref")
+        gap = F.greatest(F.abs(F.col("cum_n") / F.col("all_n") - upto), F.abs(start / F.col("all_n") - before))
+        aggs += [F.max(gap).alias("ks_d"), F.max("all_n_ref").alias("ks_n")]
+    out = run.groupBy(*seg).agg(*aggs).withColumn("median", (F.col("_lo") + F.col("_hi")) / F.lit(2.0)).drop("_lo", "_hi")
+    if sample is not None:
+        out = out.withColumn("ks_p", ks_pvalue(F.col("ks_d"), F.col("ks_n"), F.col("ks_m")))
+    return out
 
 
 def oov_stats(df: DataFrame, vocab: DataFrame, keys: list[str], checkpoint: str, field: str) -> DataFrame:
@@ -91,4 +107,4 @@ def template_stats(df: DataFrame, templates: DataFrame, keys: list[str], checkpo
     return counts.join(sample, [*keys, "_seg"], "left")
 
 
-__all__ = ["KEY", "at_key", "with_bins", "bin_counts", "psi_score", "ks_stats", "oov_stats", "template_stats"]
+__all__ = ["KEY", "at_key", "with_bins", "bin_counts", "psi_score", "ordered_stats", "oov_stats", "template_stats"]
