@@ -308,13 +308,13 @@ recursive("alert_lineage", GUARDED + [GRAPH, REACH], """SELECT scenario AS pipel
 sql("alert_lineage_2hop", GUARDED + [GRAPH], """SELECT scenario AS pipeline, alert_id, nullif(root_field, '') AS root_field, o AS affected_outputs
   FROM latest LEFT JOIN (SELECT a.source, string_agg(DISTINCT b.target, ', ' ORDER BY b.target) AS o FROM links a JOIN links b ON b.source = a.target
     WHERE b.type = 'produces' GROUP BY a.source) r ON r.source = 'field:' || root_field""")
-sql("alert_stream_events", UNGUARDED, f"""SELECT scenario AS pipeline, checkpoint, alert_id, batch_no, first_batch, {_SEV} AS severity, alert_message AS message,
+sql("alert_stream_events", UNGUARDED, f"""SELECT * REPLACE (replace(alert_id, 'web_analytics:', pipeline || ':') AS alert_id) FROM (SELECT scenario AS pipeline, checkpoint, alert_id, batch_no, first_batch, {_SEV} AS severity, alert_message AS message,
     CASE WHEN worst IS NULL THEN 'opened' ELSE 'changed' END AS event FROM chg
   UNION ALL SELECT e.scenario, e.checkpoint, e.alert_id, e.nb, e.first_batch, f.severity, f.message, 'closed' FROM epi e JOIN (
     SELECT scenario, checkpoint, root, segment, island, arg_max({_SEV}, batch_no * 1000 + check_seq) AS severity,
       arg_max(alert_message, batch_no * 1000 + check_seq) AS message FROM chg GROUP BY ALL) f
     ON f.scenario = e.scenario AND f.checkpoint = e.checkpoint AND f.root = e.root AND f.segment IS NOT DISTINCT FROM e.segment AND f.island = e.island
-  WHERE e.nb <> -1""")
+  WHERE e.nb <> -1)""")
 
 # --- faults ---
 PAY_ONE = [PAY, i.scenario_frame("scen", "pay_raw", i.PAY_FAULTS, "transaction_id", PM, "amount_cents")]

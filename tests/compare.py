@@ -48,6 +48,12 @@ def compare(spark, con, name, folder):
     want, wcols = rows_of(cols, cur.fetchall())
     if gcols != wcols:
         return len(got), f"columns {gcols} != {wcols}"
+    sparks = dict(df.dtypes)
+    ducks = {d[0]: str(d[1]).lower() for d in cur.description}
+    same = {"bigint": "bigint", "int": "integer", "string": "varchar", "double": "double", "boolean": "boolean", "date": "date"}
+    odd = {k: (sparks[k], ducks[k]) for k in sparks if same.get(sparks[k], sparks[k]) != ducks[k]}
+    if odd:
+        print("   types", name, odd)
     if got != want:
         gs, ws = set(got), set(want)
         a, b = [r for r in got if r not in ws], [r for r in want if r not in gs]
