@@ -225,7 +225,7 @@ sql("guard_off", WEB_SCEN, "SELECT scenario, batch_no, count(*) AS n_rows FROM c
 BLOCK = ["\nblocked AS (SELECT scenario, batch_no, min(cp_order) FILTER (WHERE status = 'fail') AS b FROM results GROUP BY ALL)"]
 sql("guard_passed", ALL_WEB + BLOCK, """SELECT scenario, batch_no, count(*) AS n_rows FROM clean LEFT JOIN blocked USING (scenario, batch_no)
   WHERE b IS NULL OR b > 2 GROUP BY ALL""")
-sql("guard_quarantine", ALL_WEB + BLOCK, """SELECT scenario, batch_no, count(*) AS n_rows, round(sum(duration_s), 3) AS seconds
+sql("guard_quarantine", ALL_WEB + BLOCK, """SELECT scenario, batch_no, count(*) AS n_rows, round(sum(duration_s), 6) AS seconds
   FROM clean JOIN blocked USING (scenario, batch_no) WHERE b <= 2 GROUP BY ALL""")
 sql("batch_outcome", ALL_WEB + BLOCK, """SELECT scenario, batch_no,
   CASE WHEN NOT crash THEN (['after_ingest', 'after_clean', 'after_enrich', 'after_aggregate'])[b] END AS blocked_at,

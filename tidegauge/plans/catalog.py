@@ -476,7 +476,7 @@ def guard_passed(spark, d):
 @query
 def guard_quarantine(spark, d):
     out = guard.quarantined_data(_frames(spark, d)["after_clean"], _stops(spark, d), ev.RUN, 2)
-    return out.groupBy("scenario", "batch_no").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("duration_s"), 3).alias("seconds"))
+    return out.groupBy("scenario", "batch_no").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("duration_s"), 6).alias("seconds"))
 
 
 @query
