@@ -9,18 +9,16 @@ PSI_EPS = 1e-6
 PSI_BINS = 10
 
 
-def psi_of(ref: list[Column], cur: list[Column], bins: Column) -> Column:
-    """Population stability index over the first `bins` of the given bin counts."""
-    def total(parts: list[Column]) -> Column:
-        return sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0)).cast("double")
-
-    ref_all, cur_all = total(ref), total(cur)
-    out = F.lit(0.0)
-    for i, (r, c) in enumerate(zip(ref, cur)):
-        rs = F.coalesce(r, F.lit(0)) / ref_all + F.lit(PSI_EPS)
-        cs = F.coalesce(c, F.lit(0)) / cur_all + F.lit(PSI_EPS)
-        out = out + F.when(F.lit(i) < bins, (cs - rs) * F.log(cs / rs)).otherwise(F.lit(0.0))
-    return out
+def psi_of(ref_shares: Column, cur_counts: Column, cur_total: Column) -> Column:
+    """Population stability index of bin counts (array) against the baseline's bin shares (array).
+    Entries past the baseline's bins are ignored."""
+    def term(r: Column, c: Column) -> Column:
+        rs = r + F.lit(PSI_EPS)
+        cs = c / cur_total + F.lit(PSI_EPS)
+        return (cs - rs) * F.log(cs / rs)
+
+    used = F.slice(cur_counts, F.lit(1), F.size(ref_shares))
+    return F.aggregate(F.zip_with(ref_shares, used, term), F.lit(0.0), lambda acc, t: acc + t)
 
 
 def ks_pvalue(d: Column, n: Column, m: Column) -> Column:

@@ -65,9 +65,12 @@ def sample_bins(sample: DataFrame) -> DataFrame:
     binned = sample.join(edges, KEY).withColumn("bin", bin_of(F.col("x"), inner_edges()))
     counts = binned.groupBy(*KEY).agg(*[
         F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(PSI_BINS)])
+    all_bins = F.array(*[F.col(f"b{i}") for i in range(PSI_BINS)])
+    n_bins = F.greatest(F.size("edges") - F.lit(1), F.lit(0))
+    total = sum((F.col(f"b{i}") for i in range(PSI_BINS)), F.lit(0))
     return edges.join(counts, KEY).select(
-        *KEY, "edges", (F.size("edges") - F.lit(1)).alias("n_bins"),
-        F.array(*[F.col(f"b{i}") for i in range(PSI_BINS)]).alias("bin_counts"))
+        *KEY, "edges", F.slice(all_bins, F.lit(1), n_bins).alias("bin_counts"), total.alias("sample_size")).withColumn(
+        "bin_shares", F.transform("bin_counts", lambda c: c / F.col("sample_size"))).drop("sample_size")
 
 
 def inner_edges():
@@ -118,7 +121,7 @@ def segment_volume(df: DataFrame, batches: list[int], checkpoint: str, segment_b
 class Baselines:
     """The frozen tables. Any of them may be None when a pipeline profiles no such field."""
 
-    numeric: DataFrame | None = None   # KEY, sample_count, mean, median, std, edges, n_bins, bin_counts
+    numeric: DataFrame | None = None   # KEY, sample_count, mean, median, std, edges, bin_counts, bin_shares
     sample: DataFrame | None = None    # KEY, x
     text: DataFrame | None = None      # KEY, sample_count
     vocab: DataFrame | None = None     # KEY, token

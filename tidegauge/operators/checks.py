@@ -18,7 +18,6 @@ from tidegauge.functions import scalars as S
 from tidegauge.functions.joins import lookup_join
 from tidegauge.operators import drift
 from tidegauge.operators.baseline import Baselines
-from tidegauge.functions.stats import PSI_BINS
 from tidegauge.plans.contracts import Checkpoint, Contract, Spec
 
 MIN_SAMPLE = 30
@@ -97,7 +96,7 @@ class _Compiler:
         self.cp, self.keys, self.base = cp, keys, base or Baselines()
         self.segmented = bool(cp.segment_by and cp.segment_by in df.columns)
         self.df = df.withColumn("_seg", S.segment_of(cp.segment_by) if self.segmented else F.lit("all"))
-        self.plain = self.df                    # without the bin columns
+        self.plain = self.df                    # without the edge columns
         self.segment = F.col("_seg") if self.segmented else F.lit(None).cast("string")
         self.aggs: dict[str, Column] = {"n_rows": F.count(F.lit(1))}
         self.totals: set[str] = {"n_rows"}
@@ -253,7 +252,7 @@ class _Compiler:
         if self.base.numeric is None:
             return ""
         if not any(prefix + "mean" in d.columns for d in self.base_side):
-            cols = ["mean", "median", "sample_count", "n_bins", "bin_counts"]
+            cols = ["mean", "median", "sample_count", "bin_shares"]
             self.base_side.append(drift.at_key(self.base.numeric, self.cp.name, field)
                                   .select("_seg", *[F.col(c).alias(prefix + c) for c in cols]))
         return prefix
@@ -293,10 +292,11 @@ class _Compiler:
         common = dict(kind="score", check_type="numeric_drift", field=field, segment=self.segment, rows=n,
                       few_of="rows", no_base=F.col(prefix + "sample_count").isNull())
         self._ordered(field, ks=True)
-        self.df = drift.with_bins(self.df, self.base.numeric, self.cp.name, field, f"bin_{field}")
-        for i in range(PSI_BINS):
-            self.aggs[f"cur_{field}_{i}"] = F.count_if(F.col(f"bin_{field}") == i)
-        psi = self.metric(self.next(), drift.psi_score(f"cur_{field}_", prefix + "bin_counts", prefix + "n_bins"))
+        edge = f"edge_{field}_"
+        self.df = drift.with_edges(self.df, self.base.numeric, self.cp.name, field, edge)
+        self.aggs.update(drift.edge_counts(field, edge))
+        psi = self.metric(self.next(), drift.psi_score(
+            drift.bins_from_edges(n, edge), n, F.col(prefix + "bin_shares")))
         self.rows.append(_measure(check_seq=self.seq, check=f"psi:{field}", metric=psi, threshold=spec.psi_threshold,
                                   ok=psi <= spec.psi_threshold, extra="PSI", **common))
         d, p = F.col(f"ks_d_{field}"), F.col(f"ks_p_{field}")

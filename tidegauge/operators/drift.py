@@ -5,7 +5,7 @@ before any join, so a frequent word, message or value costs one row per batch.""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,7 +13,7 @@ from tidegauge.functions import scalars as S
 from tidegauge.functions.joins import lookup_join
 from tidegauge.functions.ordered import prefix_sums
 from tidegauge.functions.stats import PSI_BINS, ks_pvalue, psi_of
-from tidegauge.operators.baseline import KEY, bin_of, inner_edges
+from tidegauge.operators.baseline import inner_edges
 
 SAMPLE_TEMPLATES = 3
 
@@ -24,25 +24,29 @@ def at_key(table: DataFrame, checkpoint: str, field: str) -> DataFrame:
             .drop("checkpoint", "field").withColumnRenamed("segment", "_seg"))
 
 
-def with_bins(df: DataFrame, numeric: DataFrame, checkpoint: str, field: str, out: str) -> DataFrame:
-    """Add the PSI bin number of `field` under the segment's baseline edges (null without a value
-    or a baseline). Needs the `_seg` column."""
-    edges = at_key(numeric, checkpoint, field).select("_seg", "edges")
-    joined = lookup_join(df, edges, ["_seg"])
+def with_edges(df: DataFrame, numeric: DataFrame, checkpoint: str, field: str, prefix: str) -> DataFrame:
+    """Add the segment's inner bin edges as plain columns `<prefix>0..8` (null where the baseline has
+    fewer bins or is missing). Needs the `_seg` column."""
+    edges = at_key(numeric, checkpoint, field).select(
+        "_seg", *[e.alias(f"{prefix}{i}") for i, e in enumerate(inner_edges())])
+    return lookup_join(df, edges, ["_seg"])
+
+
+def edge_counts(field: str, prefix: str) -> dict[str, Column]:
+    """Aggregates: how many values reach each inner edge. One comparison per row and edge; bin counts
+    are differences of neighbours."""
     x = S.clean_number(field)
-    return joined.withColumn(out, F.when(x.isNotNull() & F.col("edges").isNotNull(),
-                                         bin_of(x, inner_edges()))).drop("edges")
+    return {f"ge_{prefix}{i}": F.count_if(x >= F.col(f"{prefix}{i}")) for i in range(PSI_BINS - 1)}
 
 
-def bin_counts(column: str, prefix: str):
-    return [F.count_if(F.col(column) == i).alias(f"{prefix}{i}") for i in range(PSI_BINS)]
+def bins_from_edges(total: Column, prefix: str) -> list[Column]:
+    reach = [total] + [F.col(f"ge_{prefix}{i}") for i in range(PSI_BINS - 1)] + [F.lit(0)]
+    return [reach[i] - reach[i + 1] for i in range(PSI_BINS)]
 
 
-def psi_score(prefix: str, ref: str = "bin_counts", bins: str = "n_bins"):
+def psi_score(current: list[Column], total: Column, shares: Column) -> Column:
     """PSI of the counted bins; 0 when the baseline has fewer than two bins (no spread)."""
-    score = psi_of([F.get(F.col(ref), F.lit(i)) for i in range(PSI_BINS)],
-                   [F.col(f"{prefix}{i}") for i in range(PSI_BINS)], F.col(bins))
-    return F.when(F.col(bins) < 2, F.lit(0.0)).otherwise(score)
+    return F.when(F.size(shares) < 2, F.lit(0.0)).otherwise(psi_of(shares, F.array(*current), total))
 
 
 def ordered_stats(df: DataFrame, keys: list[str], field: str, sample: DataFrame | None = None,
@@ -106,5 +110,3 @@ def template_stats(df: DataFrame, templates: DataFrame, keys: list[str], checkpo
               .agg(F.sort_array(F.collect_list("template")).alias("new_sample")))
     return counts.join(sample, [*keys, "_seg"], "left")
 
-
-__all__ = ["KEY", "at_key", "with_bins", "bin_counts", "psi_score", "ordered_stats", "oov_stats", "template_stats"]

@@ -12,7 +12,7 @@ from tidegauge.functions import scalars as S
 from tidegauge.operators import alerts, baseline, checks, drift, faults, guard, lineage, reports, scoring, stages
 from tidegauge.plans import behavior, contracts, evaluation as ev, graphs, payments, registry, web
 from tidegauge.plans.contracts import Checkpoint, Contract, Spec
-from tidegauge.session import cut, scratch_path, staged
+from tidegauge.session import cut, scratch_path, spread, staged
 from tidegauge.sources import jsonl, sinks, views
 from tidegauge.streaming import alerts as alert_stream
 from tidegauge.streaming import batches as batch_stream
@@ -51,7 +51,7 @@ def _base(spark, d, pipeline="web_analytics"):
 def _frames(spark, d, pipeline="web_analytics"):
     def make():
         p = ev.PIPELINES[pipeline]
-        scen = staged(faults.apply_scenarios(_raw(spark, d, pipeline), faults.catalog(pipeline), p.row_id), "scenarios")
+        scen = staged(faults.apply_scenarios(spread(_raw(spark, d, pipeline)), faults.catalog(pipeline), p.row_id), "scenarios")
         return p.frames(scen, tuple(ev.RUN))
     return _once(spark, d, f"frames-{pipeline}", make)
 

@@ -1,7 +1,8 @@
 """End-to-end runs: scenario frames -> stage outputs -> contract results -> alerts -> scores.
 
 Scenario and batch are columns, so all batches of all scenarios of a pipeline form one plan. The
-deduplicated stage output feeds many checks, so it is written once as a stage table."""
+scenario rows and the deduplicated stage output feed many checks, so each is written once as a
+stage table."""
 
 from __future__ import annotations
 
@@ -81,7 +82,7 @@ def scenario_results(raw: DataFrame, pipeline: str, fault_list: list[faults.Faul
                      contract: contracts.Contract | None = None) -> tuple[DataFrame | None, DataFrame]:
     """(all check results before the guard acts, batches that crash)."""
     p = PIPELINES[pipeline]
-    scen = faults.apply_scenarios(spread(raw), fault_list, p.row_id)
+    scen = staged(faults.apply_scenarios(spread(raw), fault_list, p.row_id), "scenarios")
     frames = p.frames(scen, tuple(RUN))
     contract = contract or contracts.CONTRACTS[pipeline]
     return checks.run_contract(frames, contract, p.orders, RUN, base), crashes(scen, p)
