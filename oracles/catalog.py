@@ -402,11 +402,13 @@ recursive("lineage_affected_outputs", [SALES, WALK], """SELECT DISTINCT pipeline
 sql("lineage_unused_fields", [SALES], """SELECT DISTINCT pipeline, substr(target, 7) AS field FROM edges w WHERE type = 'writes' AND NOT EXISTS (
     SELECT 1 FROM edges u WHERE u.pipeline = w.pipeline AND u.source = w.target AND (u.type IN ('reads', 'produces')
       OR u.type = 'derives' AND u.target NOT IN ('field:nation_3', 'field:nation_7')))""")
-sql("lineage_stage_summary", [SALES], """
-  SELECT pipeline, 'stage:' || stage AS stage, count(DISTINCT part) AS reads, count(DISTINCT supp) AS writes,
-    (SELECT count(*) FROM (SELECT DISTINCT d.part, d.supp FROM sales d WHERE d.pipeline = s.pipeline AND EXISTS (
-      SELECT 1 FROM sales w WHERE w.pipeline = d.pipeline AND w.supp = d.supp AND w.stage = s.stage))) AS transforms, '' AS produces
-  FROM sales s GROUP BY pipeline, s.stage""")
+sql("lineage_stage_summary", [SALES, """
+roles AS (
+  SELECT DISTINCT pipeline, 'stage:' || stage AS stage, unnest(['reads', 'writes']) AS role, unnest([part, supp]) AS label FROM sales
+  UNION SELECT d.pipeline, 'stage:' || w.stage, 'transforms', d.part || '->' || d.supp
+  FROM (SELECT DISTINCT pipeline, part, supp FROM sales) d JOIN (SELECT DISTINCT pipeline, supp, stage FROM sales) w
+    ON w.pipeline = d.pipeline AND w.supp = d.supp)"""],
+    "SELECT pipeline, stage, role, count(*) AS n, min(label) AS first_label, max(label) AS last_label FROM roles GROUP BY ALL")
 OBS = """
 observed AS (SELECT DISTINCT 'line_' || l_linenumber AS pipeline, unnest(['part_' || l_partkey, 'supp_' || l_suppkey, 'status_' || l_linestatus]) AS label
   FROM lineitem WHERE l_returnflag = 'R')"""

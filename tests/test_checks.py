@@ -174,3 +174,12 @@ def test_contract_config():
     with pytest.raises(ValueError):
         Spec("unit", baseline_stat="mode")
     assert checks.run_contract({}, Contract("p", ()), {}, KEYS) is None
+
+
+def test_a_check_that_cannot_be_built_is_an_error_row(spark, monkeypatch):
+    def boom(self, field, limit):
+        raise RuntimeError("no")
+    monkeypatch.setattr(checks._Compiler, "nulls", boom)
+    rows = run(frame(spark, [1.0] * 40), ("f", (Spec("nulls"), Spec("range", min=0.0))))
+    assert [(r.check, r.status, r.message) for r in rows] == [
+        ("nulls:f", "error", "check crashed: RuntimeError: no"), ("range:f", "pass", "")]

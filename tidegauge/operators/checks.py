@@ -336,6 +336,11 @@ class _Compiler:
                                   threshold=spec.template_threshold, ok=share <= spec.template_threshold,
                                   detail=F.array_join(f"new_sample_{field}", " | "), extra=shown, **common))
 
+    def crashed(self, field: str, spec: Spec, error: Exception) -> None:
+        self.batch_rows.append(_measure(
+            check_seq=self.next(), check=f"{spec.type}:{field}", check_type=spec.type, fixed="error",
+            extra=f"check crashed: {type(error).__name__}: {error}"))
+
     def field_check(self, field: str, spec: Spec) -> None:
         if spec.type == "schema" and spec.allowed is not None:
             self.key_set(field, spec.allowed)
@@ -418,7 +423,10 @@ def run_checkpoint(df: DataFrame, pipeline: str, cp: Checkpoint, order: int, key
         parts.append(segment_volume(df, cp, keys, base, c.next()))
     for field, specs in cp.fields:
         for spec in specs:
-            c.field_check(field, spec)
+            try:
+                c.field_check(field, spec)
+            except Exception as error:  # noqa: BLE001 - a check that cannot be built is recorded, not fatal
+                c.crashed(field, spec, error)
     fused = c.measured()
     if fused is not None:
         parts.insert(0, fused)

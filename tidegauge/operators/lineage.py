@@ -3,7 +3,9 @@ observed columns. A catalogue of many pipelines is one pair of tables keyed by `
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,8 +98,9 @@ def unused_fields(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def stage_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per stage: fields read and written, derivations whose target the stage's function wrote, and
-    outputs tied to it (a source it reads or writes, or evidence in the function's file)."""
+    """What each stage does, one row per stage, role and label: fields it reads and writes, derivations
+    (transforms) whose target its function wrote, and outputs it produces (a source it reads or
+    writes, or evidence in the function's file). Rows, not lists: a stage may touch any number."""
     kind = nodes.select("pipeline", "id", "type", "label", "file")
     stages = nodes.where(F.col("type") == "stage").select(
         "pipeline", F.col("id").alias("stage"), F.col("label").alias("stage_label"), "stage_order",
@@ -105,7 +108,7 @@ def stage_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     fields = kind.where(F.col("type") == "field").select("pipeline", F.col("id").alias("fid"), F.col("label").alias("flabel"))
     outs = kind.where(F.col("type") == "output").select("pipeline", F.col("id").alias("oid"), F.col("label").alias("olabel"))
 
-    def edge(t: str, *cols):
+    def edge(t: str, *cols) -> DataFrame:
         return edges.where(F.col("type") == t).select("pipeline", *cols)
 
     reads = edge("reads", F.col("source").alias("fid"), F.col("target").alias("fn"))
@@ -114,27 +117,22 @@ def stage_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     produces = edge("produces", F.col("source").alias("fid"), F.col("target").alias("oid"), F.col("file").alias("efile"))
     src = fields.select("pipeline", F.col("fid").alias("sid"), F.col("flabel").alias("slabel"))
 
-    read = reads.join(fields, ["pipeline", "fid"]).groupBy("pipeline", "fn").agg(
-        F.array_sort(F.collect_set("flabel")).alias("reads"))
-    wrote = writes.join(fields, ["pipeline", "fid"]).groupBy("pipeline", "fn").agg(
-        F.array_sort(F.collect_set("flabel")).alias("writes"))
-    transforms = (derives.join(fields, ["pipeline", "fid"]).join(src, ["pipeline", "sid"])
-                  .join(writes.distinct(), ["pipeline", "fid"])
-                  .groupBy("pipeline", "fn").agg(F.array_sort(F.collect_set(F.concat(
-                      "slabel", F.lit("->"), "flabel"))).alias("transforms")))
+    def role(df: DataFrame, name: str, label: Column) -> DataFrame:
+        return df.select("pipeline", "fn", F.lit(name).alias("role"), label.alias("label"))
+
     touched = reads.select("pipeline", "fn", "fid").union(writes.select("pipeline", "fn", "fid")).distinct()
     by_touch = produces.join(touched, ["pipeline", "fid"]).select("pipeline", "fn", "oid")
     fn_file = kind.where((F.col("type") == "function") & (F.col("file") != "")).select(
         "pipeline", F.col("id").alias("fn"), F.col("file").alias("efile"))
     by_file = produces.where(F.col("efile") != "").join(fn_file, ["pipeline", "efile"]).select("pipeline", "fn", "oid")
-    made = (by_touch.union(by_file).distinct().join(outs, ["pipeline", "oid"]).groupBy("pipeline", "fn")
-            .agg(F.array_sort(F.collect_set("olabel")).alias("produces")))
-    out = stages
-    for part in (read, wrote, transforms, made):
-        out = out.join(part, ["pipeline", "fn"], "left")
-    joined = {n: F.coalesce(F.array_join(n, ","), F.lit("")) for n in ("reads", "writes", "transforms", "produces")}
-    return out.select("pipeline", "stage", "stage_order", "stage_label",
-                      *[c.alias(n) for n, c in joined.items()])
+    parts = [
+        role(reads.join(fields, ["pipeline", "fid"]), "reads", F.col("flabel")),
+        role(writes.join(fields, ["pipeline", "fid"]), "writes", F.col("flabel")),
+        role(derives.join(fields, ["pipeline", "fid"]).join(src, ["pipeline", "sid"])
+             .join(writes.distinct(), ["pipeline", "fid"]), "transforms", F.concat("slabel", F.lit("->"), "flabel")),
+        role(by_touch.union(by_file).distinct().join(outs, ["pipeline", "oid"]), "produces", F.col("olabel"))]
+    rows = reduce(DataFrame.unionByName, parts).distinct()
+    return stages.join(rows, ["pipeline", "fn"]).select("pipeline", "stage", "stage_order", "stage_label", "role", "label")
 
 
 def merge_origin(nodes: DataFrame, observed: DataFrame) -> DataFrame:

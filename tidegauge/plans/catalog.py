@@ -618,7 +618,7 @@ def alert_stream_events(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder, out = scratch_path(spark, "alerts-in"), scratch_path(spark, "alerts-out")
-    rows = alert_stream.alert_input(_unguarded(spark, d)[0].withColumn("pipeline", F.col("scenario")))
+    rows = alert_stream.alert_input(_unguarded(spark, d)[0].withColumn("pipeline", F.col("scenario")), buckets=4)
     rows = cut(rows)
     for b in range(1, ev.N_BATCHES + 1):
         rows.where(F.col("batch_no") == b).coalesce(1).write.mode("append").parquet(folder)
@@ -860,10 +860,8 @@ def lineage_unused_fields(spark, d):
 @query
 def lineage_stage_summary(spark, d):
     nodes, edges = _sales(spark, d)
-    out = lineage.stage_summary(nodes, edges)
-    size = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, ","))).cast("bigint")
-    return out.select("pipeline", "stage", size("reads").alias("reads"), size("writes").alias("writes"),
-                      size("transforms").alias("transforms"), "produces")
+    return lineage.stage_summary(nodes, edges).groupBy("pipeline", "stage", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("first_label"), F.max("label").alias("last_label"))
 
 
 def _observed(spark, d):

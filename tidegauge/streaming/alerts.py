@@ -1,8 +1,10 @@
 """The alert lifecycle as keyed state.
 
-State is keyed by (pipeline, checkpoint), not by problem: an alert closes when its checkpoint was
-seen without the problem failing, and a problem that stops failing sends no row of its own. The
-input is check results, already aggregated to one row per batch, check and segment."""
+An alert closes when its checkpoint was seen without the problem failing, and a problem that stops
+failing sends no row of its own. State is therefore keyed by (pipeline, checkpoint, bucket of the
+problem), and the small "checkpoint seen" markers are repeated for every bucket: a checkpoint with
+very many segments is spread over many tasks. The input is check results, already aggregated to
+one row per batch, check and segment."""
 
 from __future__ import annotations
 
@@ -17,14 +19,15 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidegauge.operators.alerts import problems
 
-INPUT = ["pipeline", "checkpoint", "batch_no", "cp_order", "check_seq", "root", "segment", "alert_id", "alert_message", "rank"]
+BUCKETS = 16
+INPUT = ["pipeline", "checkpoint", "bucket", "batch_no", "cp_order", "check_seq", "root", "segment", "alert_id", "alert_message", "rank"]
 OUTPUT = ("pipeline string, checkpoint string, alert_id string, batch_no int, check_seq int, first_batch int, "
           "severity string, message string, event string")
 _NAMES = {3: "high", 2: "medium", 1: "low"}
 
 
 class AlertState(StatefulProcessor):
-    """Open alerts of one checkpoint: (root, segment) -> rank, message, first batch."""
+    """Open alerts of one checkpoint bucket: (root, segment) -> rank, message, first batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getMapState(
@@ -51,10 +54,10 @@ class AlertState(StatefulProcessor):
                 else:
                     continue
                 now = state[problem]
-                out.append((*key, r.alert_id, int(batch_no), int(r.check_seq), now[2], _NAMES[now[0]], now[1], event))
+                out.append((*key[:2], r.alert_id, int(batch_no), int(r.check_seq), now[2], _NAMES[now[0]], now[1], event))
             for problem in [p for p in state if p not in failing]:
                 gone = state.pop(problem)
-                out.append((*key, gone[3], int(batch_no), 0, gone[2], _NAMES[gone[0]], gone[1], "closed"))
+                out.append((*key[:2], gone[3], int(batch_no), 0, gone[2], _NAMES[gone[0]], gone[1], "closed"))
         for problem in before - set(state):
             self.open.removeKey(problem)
         for problem, value in state.items():
@@ -65,12 +68,13 @@ class AlertState(StatefulProcessor):
         pass
 
 
-def alert_input(results: DataFrame) -> DataFrame:
+def alert_input(results: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """What the state needs of each result: failing rows in full, other rows only to mark their
     checkpoint as seen."""
-    bad = problems(results).select(*[c for c in INPUT if c != "segment"], F.coalesce("segment", F.lit("")).alias("segment"))
+    bucket = F.pmod(F.hash("root", "segment"), F.lit(buckets))
+    bad = problems(results).withColumn("segment", F.coalesce("segment", F.lit(""))).withColumn("bucket", bucket)
     seen = (results.select("pipeline", "checkpoint", "batch_no", "cp_order").distinct()
-            .withColumns({"check_seq": F.lit(0), "root": F.lit(None).cast("string"), "segment": F.lit(""),
+            .withColumns({"bucket": F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))), "check_seq": F.lit(0), "root": F.lit(None).cast("string"), "segment": F.lit(""),
                           "alert_id": F.lit(None).cast("string"), "alert_message": F.lit(None).cast("string"),
                           "rank": F.lit(0)}))
     return bad.select(*INPUT).unionByName(seen.select(*INPUT))
@@ -79,5 +83,5 @@ def alert_input(results: DataFrame) -> DataFrame:
 def alert_stream(stream: DataFrame) -> DataFrame:
     """Opened / changed / closed alert rows from a stream of `alert_input` rows. A micro-batch must
     hold whole batches of a checkpoint; batches arrive in order."""
-    return stream.groupBy("pipeline", "checkpoint").transformWithStateInPandas(
+    return stream.groupBy("pipeline", "checkpoint", "bucket").transformWithStateInPandas(
         statefulProcessor=AlertState(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
