@@ -130,7 +130,7 @@ _PAY = """SELECT * REPLACE (round(total_volume_usd, 2) AS total_volume_usd, roun
   round(error_rate, 6) AS error_rate, round(decline_rate, 6) AS decline_rate) FROM ag"""
 sql("payments_reconcile", [PAY, i.pay_clean("cl", "pay_raw"), i.pay_enrich("en", "cl"), i.reconcile("ag", "en")], _PAY)
 sql("payments_reconcile_true_dates", [PAY, i.pay_clean("cl", "pay_raw"), i.pay_enrich("en", "cl", "ms"), i.reconcile("ag", "en")], _PAY)
-sql("pipeline_payments_sql", [PAY, i.pay_clean_sql("cl", "pay_raw"), i.pay_enrich("en", "cl", "ms"), i.reconcile("ag", "en")], _PAY)
+sql("payments_sql_feed", [PAY, i.pay_clean_sql("cl", "pay_raw"), i.pay_enrich("en", "cl", "ms"), i.reconcile("ag", "en")], _PAY)
 
 # --- checks ---
 sql("segment_split", [WEB], "SELECT batch_no, coalesce(user_id, 'nan') AS segment, count(*) AS n_rows FROM web_raw GROUP BY ALL")

@@ -11,7 +11,7 @@ from tests.compare import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
 FAMILIES = """src_web_jsonl src_payments_jsonl src_batch_stream dedup_keep_first dedup_keep_earliest web_daily_metrics behavior_user_rollup
-payments_reconcile pipeline_payments_sql chk_schema chk_range chk_key_set chk_unit chk_segment_volume drift_psi drift_ks drift_oov drift_template
+payments_reconcile payments_sql_feed chk_schema chk_range chk_key_set chk_unit chk_segment_volume drift_psi drift_ks drift_oov drift_template
 drift_text_documents chk_contract contract_for_decisions guard_enforce batch_outcome bl_numeric bl_bins bl_sample bl_segment_volume alert_episodes
 alert_changes alert_latest alert_lineage alert_stream_events inj_text_change inj_null_half score_scenario score_system score_by_check
 lineage_downstream lineage_stage_summary lineage_merge_report profile_stage equivalence_diff review_status""".split()

@@ -291,7 +291,7 @@ def payments_reconcile_true_dates(spark, d):
 
 
 @query
-def pipeline_payments_sql(spark, d):
+def payments_sql_feed(spark, d):
     return _r(_r(payments.run_sql_feed(views.payments_raw(spark, d)), *_PAY_MONEY), "total_volume_usd", digits=2)
 
 
@@ -386,7 +386,7 @@ def drift_template(spark, d):
 
 def _messages(spark, d):
     """Whole documents as log messages; the first three feeds are the baseline."""
-    msgs = views.messages(spark, d).withColumn("scenario", F.lit("documents"))
+    msgs = spread(views.messages(spark, d)).withColumn("scenario", F.lit("documents"))
     plan = baseline.BaselinePlan((), (("after_ingest", "text", "lang"),), ())
     base = _once(spark, d, "base-messages", lambda: baseline.build(
         {"after_ingest": msgs.where(F.col("batch_no").isin(*ev.BASELINE_BATCHES))}, plan, "event_id", ev.BASELINE_BATCHES).freeze())
