@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 5
@@ -24,9 +24,9 @@ def match(alerts: DataFrame, truth: DataFrame, run: list[str], window: int = WIN
                          hit.alias("is_match"))
 
 
-def scenarios(matched: DataFrame, truth: DataFrame, systems: DataFrame | None, run: list[str]) -> DataFrame:
+def scenarios(matched: DataFrame, truth: DataFrame, systems: Column | None, run: list[str]) -> DataFrame:
     """Per run: detected, lag, matched alert, true and false positives. Runs without any alert keep a
-    row when `systems` lists the systems to report."""
+    row; `systems` is the array of system names to report, when `run` has a system."""
     hit = F.col("is_match")
     agg = matched.groupBy(*run).agg(
         F.min(F.when(hit, F.col("first_batch"))).alias("_first"),
@@ -34,7 +34,7 @@ def scenarios(matched: DataFrame, truth: DataFrame, systems: DataFrame | None, r
         F.count_if(hit).alias("true_positives"), F.count_if(~hit).alias("false_positives"))
     base = truth.select("scenario", "fault_type", "onset_batch")
     if systems is not None:
-        base = base.withColumn("system", F.explode(systems)) if not isinstance(systems, DataFrame) else base.crossJoin(systems)
+        base = base.withColumn("system", F.explode(systems))
     out = base.join(agg, run, "left")
     return out.select(
         *run, "fault_type", F.col("_first").isNotNull().alias("detected"),
