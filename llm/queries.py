@@ -21,3 +21,9 @@ def query(f):
 def op1_suffix_dedup(spark, folder):
     from llm.suffix_dedup import remove_repeats
     return remove_repeats(docs_of(spark, folder), digest=True)
+
+
+@query
+def op10_decontamination(spark, folder):
+    from llm.decontaminate import report
+    return report(docs_of(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")).drop("kept_text")
