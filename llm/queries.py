@@ -27,3 +27,9 @@ def op1_suffix_dedup(spark, folder):
 def op10_decontamination(spark, folder):
     from llm.decontaminate import report
     return report(docs_of(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")).drop("kept_text")
+
+
+@query
+def op9_near_dedup(spark, folder):
+    from llm.setsketch import classes
+    return classes(docs_of(spark, folder), threshold=0.85)
