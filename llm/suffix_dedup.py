@@ -32,7 +32,7 @@ from llm.textbytes import CHUNK, RollingHash, combine, mix, row_groups, sliding_
 
 LENGTH, Q = 100, 48
 _POSITION = np.uint64((1 << 24) - 1)
-RECORD = "head long, tail long, id long, done_to int"
+_FINISHED = np.uint64(63)
 
 
 def pointers(data: np.ndarray, offsets: np.ndarray, length: int, q: int):
@@ -107,15 +107,14 @@ def _initial(length: int, q: int):
             o2, s2, e2 = runs(owner[again], s[again], e[again] + length)
             keep = ~again
             m, c, own, s, e = m[keep], c[keep], owner[keep], s[keep].astype(np.uint64), e[keep].astype(np.uint64)
-            # fixed fields: 36 bits of bucket and 56 of identifier, then 30 of start and 6 of count
+            # 36 bits of bucket and 56 of identifier, then 30 of start and 6 of count; a finished range has its length
+            # (28 bits) for the identifier and a count of 63
             head = ((m >> np.uint64(28)) << np.uint64(28)) | (c >> np.uint64(36))
             tail = (((c >> np.uint64(8)) & np.uint64((1 << 28) - 1)) << np.uint64(36)) | (s << np.uint64(6)) | (e - s)
             head2 = mix(o2.astype(np.uint64) + s2.astype(np.uint64))
-            done = pa.array(np.r_[np.zeros(len(own), np.int32), e2.astype(np.int32)],
-                            mask=np.r_[np.ones(len(own), bool), np.zeros(len(o2), bool)])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.r_[head, head2].view(np.int64)), pa.array(np.r_[tail, s2.astype(np.uint64)].view(np.int64)),
-                pa.array(np.r_[own, o2]), done], names=["head", "tail", "id", "done_to"])
+            tail2 = ((e2 - s2).astype(np.uint64) << np.uint64(36)) | (s2.astype(np.uint64) << np.uint64(6)) | _FINISHED
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[head, head2].view(np.int64)), pa.array(np.r_[tail, tail2].view(np.int64)),
+                                              pa.array(np.r_[own, o2])], names=["head", "tail", "id"])
     return records
 
 
@@ -129,13 +128,12 @@ def _refine(length: int):
             head = batch.column("head").to_numpy().view(np.uint64)
             tail = batch.column("tail").to_numpy().view(np.uint64)
             ids = batch.column("id").to_numpy()
-            done = batch.column("done_to")
-            passed = np.asarray(done.is_valid())
-            out = [(ids[passed], tail[passed].astype(np.int64), done.drop_null().to_numpy().astype(np.int64), False)]
-            head, tail, ids = head[~passed], tail[~passed], ids[~passed]
+            passed = (tail & np.uint64(63)) == _FINISHED
+            start = ((tail >> np.uint64(6)) & np.uint64((1 << 30) - 1)).astype(np.int64)
+            out = [(ids[passed], start[passed], start[passed] + (tail[passed] >> np.uint64(36)).astype(np.int64), False)]
+            head, tail, ids, start = (x[~passed] for x in (head, tail, ids, start))
             if len(head):
                 m, c_hi, c_lo = head >> np.uint64(28), head, tail >> np.uint64(36)
-                start = ((tail >> np.uint64(6)) & np.uint64((1 << 30) - 1)).astype(np.int64)
                 end = start + (tail & np.uint64(63)).astype(np.int64)
                 pm, pc = (m[:1] + np.uint64(1), (c_hi[:1], c_lo[:1])) if last_m is None else (last_m, last_c)
                 new_m = np.r_[pm, m[:-1]] != m
@@ -205,11 +203,10 @@ def _strings(length: int):
             again = later_than_first(h, own, at)
             o2, s2, e2 = runs(own[again], at[again], at[again] + length)
             h, at, own = h[~again], at[~again], own[~again]
-            done = pa.array(np.r_[np.zeros(len(own), np.int32), e2.astype(np.int32)],
-                            mask=np.r_[np.ones(len(own), bool), np.zeros(len(o2), bool)])
+            # a string's place has no length; a finished range has one
+            place = (np.r_[at, s2] << 32) | np.r_[np.zeros(len(at), np.int64), e2 - s2]
             key = np.r_[h, mix(o2.astype(np.uint64) + s2.astype(np.uint64))].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.r_[own, o2]), pa.array(np.r_[at, s2].astype(np.int32)), done],
-                                             names=["key", "id", "start", "done_to"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.r_[own, o2]), pa.array(place)], names=["key", "id", "place"])
     return grams
 
 
@@ -218,10 +215,10 @@ def _repeats(length: int):
     def stream(batches):
         key0 = own0 = at0 = None
         for batch in batches:
-            done = batch.column("done_to")
-            passed = np.asarray(done.is_valid())
-            key, ids, at = (batch.column(k).to_numpy() for k in ("key", "id", "start"))
-            out = [(ids[passed], at[passed], done.drop_null().to_numpy())]
+            key, ids, place = (batch.column(k).to_numpy() for k in ("key", "id", "place"))
+            at, size = place >> 32, place & 0xFFFFFFFF
+            passed = size > 0
+            out = [(ids[passed], at[passed], (at + size)[passed])]
             key, ids, at = key[~passed], ids[~passed], at[~passed]
             if len(key):
                 head = np.r_[True, key[1:] != key[:-1]]
@@ -242,9 +239,9 @@ def _repeats(length: int):
 def repeat_ranges(texts: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[DataFrame, DataFrame]:
     """Ranges (id, start, stop) of repeated bytes of `keyed` texts, overlapping ones included; and the texts, dealt by id
     as the ranges are."""
-    if not q < length < q + 64:
-        raise ValueError("q must be below length, and by less than 64: six bits hold a record's count")
-    records = texts.mapInArrow(_initial(length, q), RECORD)
+    if not q < length < q + 63:
+        raise ValueError("q must be below length, and by less than 63: six bits hold a record's count")
+    records = texts.mapInArrow(_initial(length, q), "head long, tail long, id long")
     dealt = records.repartition(F.shiftrightunsigned("head", 28)).sortWithinPartitions(
         "head", F.shiftrightunsigned("tail", 36), "id", "tail")
     found = dealt.mapInArrow(_refine(length), "id long, start int, stop int, open boolean")
@@ -253,8 +250,8 @@ def repeat_ranges(texts: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[D
                                     F.collect_list(F.when(~F.col("open"), F.struct("start", "stop"))).alias("closed"))
     by = texts.repartition("id")
     opened = by.join(flags.where(F.size("opened") > 0).select("id", "opened"), "id")
-    strings = opened.mapInArrow(_strings(length), "key long, id long, start int, done_to int")
-    sorted_strings = strings.repartition("key").sortWithinPartitions("key", "id", "start")
+    strings = opened.mapInArrow(_strings(length), "key long, id long, place long")
+    sorted_strings = strings.repartition("key").sortWithinPartitions("key", "id", "place")
     late = sorted_strings.mapInArrow(_repeats(length), "id long, start int, stop int")
     late = late.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("late"))
     return flags.select("id", "closed").join(late, "id", "full"), by
