@@ -33,3 +33,15 @@ def op10_decontamination(spark, folder):
 def op9_near_dedup(spark, folder):
     from llm.setsketch import classes
     return classes(docs_of(spark, folder), threshold=0.85)
+
+
+@query
+def op5_token_counts(spark, folder):
+    from llm.token_counts import count_tokens
+    return count_tokens(docs_of(spark, folder))
+
+
+@query
+def op8_language_id(spark, folder):
+    from llm.language import identify
+    return identify(docs_of(spark, folder))
