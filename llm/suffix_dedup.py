@@ -249,41 +249,44 @@ def repeat_ranges(texts: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[D
     flags = found.groupBy("id").agg(spans.alias("opened"),
                                     F.collect_list(F.when(~F.col("open"), F.struct("start", "stop"))).alias("closed"))
     by = texts.repartition("id")
-    opened = by.join(flags.where(F.size("opened") > 0).select("id", "opened"), "id")
+    # both lists go along in both uses of `flags`, so that its exchange is one and is used twice
+    opened = by.join(flags.where(F.size("opened") > 0), "id")
     strings = opened.mapInArrow(_strings(length), "key long, id long, place long")
     sorted_strings = strings.repartition("key").sortWithinPartitions("key", "id", "place")
     late = sorted_strings.mapInArrow(_repeats(length), "id long, start int, stop int")
     late = late.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("late"))
-    return flags.select("id", "closed").join(late, "id", "full"), by
+    return flags.join(late, "id", "full"), by
 
 
 def _cut(digest_only: bool):
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest_only else "kept_text"]
+
     def cut(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            n = len(batch)
-            delta = np.zeros(len(data) + 1, np.int32)
-            for name in ("closed", "late"):
-                col = batch.column(name)
-                lists = col.flatten()
-                count = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0))
-                own = np.repeat(np.arange(n), count)
-                size = offsets[own + 1] - offsets[own]
-                np.add.at(delta, offsets[own] + np.minimum(lists.field("start").to_numpy(), size), 1)
-                np.add.at(delta, offsets[own] + np.minimum(lists.field("stop").to_numpy(), size), -1)
-            gone = np.cumsum(delta[:-1]) > 0
-            before = np.r_[False, gone[:-1]][:len(gone)]
-            before[offsets[:-1][offsets[:-1] < offsets[1:]]] = False
-            total = np.r_[0, np.cumsum(gone)]
-            begun = np.r_[0, np.cumsum(gone & ~before)]
-            kept, kept_at = data[~gone].tobytes(), offsets - total[offsets]
-            texts = [kept[kept_at[i]:kept_at[i + 1]] for i in range(n)]
-            last = (pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()) if digest_only
-                    else pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string()))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]]),
-                pa.array(begun[offsets[1:]] - begun[offsets[:-1]]), last],
-                names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest_only else "kept_text"])
+            for a, b in row_groups(offsets):
+                yield group(batch.slice(a, b - a), data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+
+    def group(batch, data, offsets):
+        n = len(batch)
+        delta = np.zeros(len(data) + 1, np.int32)
+        for name in ("closed", "late"):
+            col = batch.column(name)
+            lists = col.flatten()
+            own = np.repeat(np.arange(n), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0)))
+            size = np.diff(offsets)[own]
+            np.add.at(delta, offsets[own] + np.minimum(lists.field("start").to_numpy(), size), 1)
+            np.add.at(delta, offsets[own] + np.minimum(lists.field("stop").to_numpy(), size), -1)
+        gone = np.cumsum(delta[:-1], dtype=np.int32) > 0
+        before = np.r_[False, gone[:-1]][:len(gone)]
+        before[offsets[:-1][offsets[:-1] < offsets[1:]]] = False
+        total = np.r_[0, np.cumsum(gone)][offsets]
+        begun = np.r_[0, np.cumsum(gone & ~before)][offsets]
+        kept, kept_at = data[~gone].tobytes(), offsets - total
+        texts = [kept[kept_at[i]:kept_at[i + 1]] for i in range(n)]
+        last = [hashlib.sha256(x).hexdigest() if digest_only else x.decode("utf-8", "ignore") for x in texts]
+        return pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, (np.diff(offsets), np.diff(total), np.diff(begun))),
+                                           pa.array(last, pa.string())], names=names)
     return cut
 
 
@@ -293,6 +296,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the cut are left out) or with `digest` the SHA-256 of all kept bytes."""
     ranges, texts = repeat_ranges(keyed(docs, id_col, text_col), length, q)
     last = "kept_sha256 string" if digest else "kept_text string"
-    out = texts.join(ranges, "id", "left").select("id", "text", "closed", "late").mapInArrow(
+    out = texts.join(ranges, "id", "left").mapInArrow(
         _cut(digest), f"id long, n_bytes long, n_removed long, n_spans long, {last}")
     return out.select(unkeyed().alias(id_col), *out.columns[1:])
