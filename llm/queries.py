@@ -45,3 +45,9 @@ def op5_token_counts(spark, folder):
 def op8_language_id(spark, folder):
     from llm.language import identify
     return identify(docs_of(spark, folder))
+
+
+@query
+def op3_toxicity(spark, folder):
+    from llm.toxicity import score
+    return score(docs_of(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
