@@ -51,3 +51,9 @@ def op8_language_id(spark, folder):
 def op3_toxicity(spark, folder):
     from llm.toxicity import score
     return score(docs_of(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query
+def op2_quality(spark, folder):
+    from llm.quality import score
+    return score(docs_of(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))

@@ -64,8 +64,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """(label, text) of at most `most` rows of the learning folds, one of each group of near-copies."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(fold(F.col("id"), 5) != 0)
+    # `most` rows of three numbers: may be broadcast
     first = known.select("label", "id", F.xxhash64("id").alias("h")).orderBy("h").limit(most)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(first, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(first), "id")
     least = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
     return rows.withColumn("least", least).dropDuplicates(["label", "least"]).select("label", "text")
 
