@@ -165,28 +165,80 @@ def _likely(cut: float, threshold: float):
     return likely
 
 
+def _pairs_of(first: int, stop: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs to compare in one work item: all of a block, or those across its two blocks."""
+    if side[first:stop].max() < 0:
+        a, b = np.triu_indices(stop - first, 1)
+        return a + first, b + first
+    left, right = first + np.flatnonzero(side[first:stop] == 0), first + np.flatnonzero(side[first:stop] == 1)
+    return np.repeat(left, len(right)), np.tile(right, len(left))
+
+
+def _compare(t: pa.RecordBatch, cut: float, threshold: float, most: int | None) -> pa.RecordBatch:
+    """Likely pairs across components in whole work items. A pair that shares several bands is judged in its first."""
+    item = np.stack([t.column(k).to_numpy() for k in ("key", "i", "j")])
+    bounds = np.flatnonzero(np.r_[True, (item[:, 1:] != item[:, :-1]).any(0), True])
+    ids, comp, side, band = (t.column(k).to_numpy() for k in ("id", "component", "side", "band"))
+    n, reg = t.column("n").to_numpy().astype(float), _registers(t.column("registers"))
+    found: list[tuple[np.ndarray, ...]] = []
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def judge(a, b):
+        for x in range(0, len(a), 1 << 14):
+            i, j = a[x:x + (1 << 14)], b[x:x + (1 << 14)]
+            same = reg[i] == reg[j]
+            ok = same.mean(1) >= cut - 0.06
+            i, j, same = i[ok], j[ok], same[ok]
+            ok = same[:, :BANDS * ROWS].reshape(len(i), BANDS, ROWS).all(2).argmax(1) == band[i]
+            i, j = i[ok], j[ok]
+            if len(i):
+                est = likely_jaccard(reg[i], reg[j], n[i], n[j])
+                found.append((i[est >= cut], j[est >= cut], est[est >= cut]))
+
+    def flush():
+        if waiting:
+            judge(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
+            waiting.clear()
+
+    total = 0
+    for first, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        a, b = _pairs_of(first, stop, side)
+        ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) >= (threshold - 1e-9) * np.maximum(n[a], n[b]))
+        waiting.append((a[ok], b[ok]))
+        total += int(ok.sum())
+        if total > 1 << 16:
+            flush()
+            total = 0
+    flush()
+    a, b, est = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    if most and len(a):
+        end, pair, j = np.r_[a, b], np.r_[np.arange(len(a)), np.arange(len(a))], np.r_[est, est]
+        order = np.lexsort((pair, -j, end))
+        start = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]])
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+        keep = np.unique(pair[order[rank < most]])
+        a, b = a[keep], b[keep]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b]).astype(np.int64)),
+                                       pa.array(np.maximum(ids[a], ids[b]).astype(np.int64))], names=["a", "b"])
+
+
 def _across(cut: float, threshold: float, most: int | None):
-    """Likely pairs of two blocks of a bucket in different components; with `most`, each entry's likeliest."""
-    def across(table: pa.Table) -> pa.Table:
-        side, ids, comp = (table.column(k).to_numpy() for k in ("side", "id", "component"))
-        n, reg = table.column("n").to_numpy().astype(float), _registers(table.column("registers").combine_chunks())
-        left = np.flatnonzero(side <= 0)
-        right = np.flatnonzero(side != 0) if (side > 0).any() else left
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in left:
-            to = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= (threshold - 1e-9) * np.maximum(n[right], n[i]))]
-            if right is left and most is None:
-                to = to[ids[to] > ids[i]]
-            same = (reg[to] == reg[i]).mean(1)
-            to = to[same >= cut - 0.1]
-            if len(to):
-                j = likely_jaccard(np.repeat(reg[i:i + 1], len(to), 0), reg[to], np.full(len(to), n[i]), n[to])
-                to, j = to[j >= cut], j[j >= cut]
-                to = to[np.argsort(-j, kind="stable")[:most]] if most else to
-                found.append((np.full(len(to), ids[i]), ids[to]))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-    return across
+    """Compares sorted work items as they stream by; holds back only the last, which may go on (2 * BLOCK rows)."""
+    def stream(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            item = np.stack([batch.column(k).to_numpy() for k in ("key", "i", "j")])
+            last = int(np.flatnonzero((item != item[:, -1:]).any(0))[-1]) + 1 if (item != item[:, -1:]).any() else 0
+            held = batch.slice(last)
+            if last:
+                yield _compare(batch.slice(0, last), cut, threshold, most)
+        if held is not None:
+            yield _compare(held, cut, threshold, most)
+    return stream
 
 
 def _confirmed(pairs: DataFrame, members: DataFrame, threshold: float, judge: bool) -> DataFrame:
@@ -232,7 +284,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts = keyed(docs, id_col, text_col)
     sketches = staged(texts.mapInArrow(_sketch(width), "id long, n long, d1 long, d2 long, bands array<long>"), "sketches")
     same = sketches.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    entry = same.select("n", F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    entry = same.select("n", F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
     bucket = Window.partitionBy("key")
     entry = staged(entry.withColumn("head", F.min("id").over(bucket.orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
                    .withColumn("before", F.lag("id").over(bucket.orderBy("n", "id")))
@@ -247,16 +299,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     links = _confirmed(pairs, members, threshold, True)
     comp = components(links)
     for most in (2, None):
-        far = entry.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        far = entry.join(comp, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
         mixed = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         far = far.withColumn("lo", F.min("component").over(mixed)).withColumn("hi", F.max("component").over(mixed)).where("lo <> hi")
         far = far.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / BLOCK))
         far = far.withColumn("blocks", F.max("block").over(mixed) + 1)
         work = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j, "
                       "case when x = block then -1 when block < x then 0 else 1 end as side))")
-        far = far.select("key", "id", "component", F.explode(work).alias("w")).select("key", "id", "component", "w.*")
+        far = far.select("key", "band", "id", "component", F.explode(work).alias("w")).select("key", "band", "id", "component", "w.*")
         far = far.join(members.select("id", "n", "registers"), "id")
-        pairs = far.groupBy("key", "i", "j").applyInArrow(_across(cut, threshold, most), "a long, b long").distinct()
+        far = far.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        pairs = far.mapInArrow(_across(cut, threshold, most), "a long, b long").distinct()
         links = links.unionByName(_confirmed(pairs, members, threshold, False))
         comp = components(links)
 
