@@ -57,3 +57,9 @@ def op3_toxicity(spark, folder):
 def op2_quality(spark, folder):
     from llm.quality import score
     return score(docs_of(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query
+def op7_pii(spark, folder):
+    from llm.pii import report
+    return report(docs_of(spark, folder))
