@@ -63,3 +63,9 @@ def op2_quality(spark, folder):
 def op7_pii(spark, folder):
     from llm.pii import report
     return report(docs_of(spark, folder))
+
+
+@query
+def op4_simhash(spark, folder):
+    from llm.simhash import edited_likeness
+    return edited_likeness(docs_of(spark, folder))
