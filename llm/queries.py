@@ -69,3 +69,9 @@ def op7_pii(spark, folder):
 def op4_simhash(spark, folder):
     from llm.simhash import edited_likeness
     return edited_likeness(docs_of(spark, folder))
+
+
+@query
+def op6_sentencepiece(spark, folder):
+    from llm.sentencepieces import encode
+    return encode(docs_of(spark, folder)).drop("ids")

@@ -4,7 +4,7 @@ A document's set is its distinct five-word shingles. Register i of its sketch is
 floor(1 - log_b(min over the set of h_i)), h_i exponential: two sketches merge by their maxima, and registers agree with
 a probability that follows the Jaccard similarity.
 
-1. One pass over the texts gives the set's size, a 128-bit digest and the band keys (six registers a band). Documents of
+1. One pass over the texts gives the set's size, a 128-bit digest and the band keys (`rows_for` registers each). Documents of
    equal sets form a class, represented by its smallest id; from here on only representatives count.
 2. Representatives that share a band key are neighbours. Only those get a full sketch and their set written down.
 3. Candidates are judged by the joint likelihood of their registers given both set sizes, then confirmed on the full sets.
@@ -15,8 +15,8 @@ a probability that follows the Jaccard similarity.
    nothing that the sketches call likely, so no link that would join two components is lost. Large buckets are compared
    block by block.
 
-With 42 bands of six registers, two sets at a similarity of 0.85 share none with probability 2e-9; the likelihood cut-off of
-0.77 over 384 registers is more than four standard deviations below 0.85. Both follow `threshold`.
+With 42 bands of six registers, two sets at a similarity of 0.85 share none with probability 2e-9 (0.8, five registers: 6e-8);
+the likelihood cut-off is 4.4 standard deviations below the threshold.
 
 Defined cases: null or empty texts and texts without words have an empty set and are linked with nothing; texts of fewer
 words than a shingle have one shingle; rows that share an id are linked; a null id is smaller than all others and yields a
@@ -35,8 +35,8 @@ from llm.common import keyed, unkeyed
 from llm.textbytes import LOWER, RollingHash, mix, row_groups, sentence_hashes, text_bytes, word_spans
 from tidegauge.session import staged
 
-WIDTH, BANDS, ROWS, REGISTERS, BLOCK = 5, 42, 6, 384, 1024
-BASE, SLACK = 1.001, 0.08
+WIDTH, BANDS, REGISTERS, BLOCK = 5, 42, 384, 1024
+BASE = 1.001
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 _rng = np.random.default_rng(20240901)
@@ -44,6 +44,16 @@ _MULT = _rng.integers(0, 1 << 32, (2, REGISTERS), dtype=np.uint64).astype(np.uin
 _MIDDLE = 32000
 
 
+def rows_for(threshold: float) -> int:
+    """Registers in a band: six at a threshold of 0.85, five at 0.8, so that a pair just there shares a band all but surely."""
+    return min(REGISTERS // BANDS, max(1, int(math.log(0.325) / math.log(threshold)))) if threshold < 1 else REGISTERS // BANDS
+
+
+def cut_for(threshold: float) -> float:
+    """What a pair's likely similarity must reach to be confirmed: 4.4 standard deviations below the threshold."""
+    return threshold - 4.4 * math.sqrt(max(threshold * (1 - threshold), 0.05) / REGISTERS)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
     """Sorted distinct shingle hashes of each row, and the row bounds in them."""
     low = LOWER[data]
@@ -104,14 +114,14 @@ def _rows(batches):
             yield ids.slice(a, b - a), data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
 
 
-def _sketch(width: int):
+def _sketch(width: int, rows: int):
     def sketch(batches):
         for ids, data, offsets in _rows(batches):
             h, bounds = shingle_sets(data, offsets, width)
             full, n = np.flatnonzero(np.diff(bounds)), len(ids)
-            reg = registers(minima(h, bounds, BANDS * ROWS)).astype(np.uint64).reshape(len(full), BANDS, ROWS)
+            reg = registers(minima(h, bounds, BANDS * rows)).astype(np.uint64).reshape(len(full), BANDS, rows)
             key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(full), 0)
-            for i in range(ROWS):
+            for i in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + reg[:, :, i])
             digest = np.zeros((2, n), np.uint64)
             for i, x in enumerate((mix(h), mix(h ^ np.uint64(0x5851F42D4C957F2D)))):
@@ -155,7 +165,9 @@ def _confirm(threshold: float):
     return confirm
 
 
-def _likely(cut: float, threshold: float):
+def _likely(threshold: float):
+    cut = cut_for(threshold)
+
     def likely(batches):
         for batch in batches:
             na, nb = (batch.column(k).to_numpy().astype(float) for k in ("n_a", "n_b"))
@@ -174,8 +186,9 @@ def _pairs_of(first: int, stop: int, side: np.ndarray) -> tuple[np.ndarray, np.n
     return np.repeat(left, len(right)), np.tile(right, len(left))
 
 
-def _compare(t: pa.RecordBatch, cut: float, threshold: float, most: int | None) -> pa.RecordBatch:
+def _compare(t: pa.RecordBatch, threshold: float, most: int | None) -> pa.RecordBatch:
     """Likely pairs across components in whole work items. A pair that shares several bands is judged in its first."""
+    cut, rows = cut_for(threshold), rows_for(threshold)
     item = np.stack([t.column(k).to_numpy() for k in ("key", "i", "j")])
     bounds = np.flatnonzero(np.r_[True, (item[:, 1:] != item[:, :-1]).any(0), True])
     ids, comp, side, band = (t.column(k).to_numpy() for k in ("id", "component", "side", "band"))
@@ -189,7 +202,7 @@ def _compare(t: pa.RecordBatch, cut: float, threshold: float, most: int | None)
             same = reg[i] == reg[j]
             ok = same.mean(1) >= cut - 0.06
             i, j, same = i[ok], j[ok], same[ok]
-            ok = same[:, :BANDS * ROWS].reshape(len(i), BANDS, ROWS).all(2).argmax(1) == band[i]
+            ok = same[:, :BANDS * rows].reshape(len(i), BANDS, rows).all(2).argmax(1) == band[i]
             i, j = i[ok], j[ok]
             if len(i):
                 est = likely_jaccard(reg[i], reg[j], n[i], n[j])
@@ -222,7 +235,7 @@ def _compare(t: pa.RecordBatch, cut: float, threshold: float, most: int | None)
                                        pa.array(np.maximum(ids[a], ids[b]).astype(np.int64))], names=["a", "b"])
 
 
-def _across(cut: float, threshold: float, most: int | None):
+def _across(threshold: float, most: int | None):
     """Compares sorted work items as they stream by; holds back only the last, which may go on (2 * BLOCK rows)."""
     def stream(batches):
         held = None
@@ -235,9 +248,9 @@ def _across(cut: float, threshold: float, most: int | None):
             last = int(np.flatnonzero((item != item[:, -1:]).any(0))[-1]) + 1 if (item != item[:, -1:]).any() else 0
             held = batch.slice(last)
             if last:
-                yield _compare(batch.slice(0, last), cut, threshold, most)
+                yield _compare(batch.slice(0, last), threshold, most)
         if held is not None:
-            yield _compare(held, cut, threshold, most)
+            yield _compare(held, threshold, most)
     return stream
 
 
@@ -249,7 +262,7 @@ def _confirmed(pairs: DataFrame, members: DataFrame, threshold: float, judge: bo
     if judge:
         regs = (("n", "n_"), ("registers", "r_"))
         pairs = pairs.join(side("a", *regs), "a").join(side("b", *regs), "b").mapInArrow(
-            _likely(threshold - SLACK, threshold), "a long, b long")
+            _likely(threshold), "a long, b long")
     sets = (("shingles", "shingles_"),)
     full = pairs.join(side("a", *sets), "a").join(side("b", *sets), "b")
     return staged(full.mapInArrow(_confirm(threshold), "a long, b long"), "links")
@@ -280,9 +293,8 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
             width: int = WIDTH) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
-    cut = threshold - SLACK
     texts = keyed(docs, id_col, text_col)
-    sketches = staged(texts.mapInArrow(_sketch(width), "id long, n long, d1 long, d2 long, bands array<long>"), "sketches")
+    sketches = staged(texts.mapInArrow(_sketch(width, rows_for(threshold)), "id long, n long, d1 long, d2 long, bands array<long>"), "sketches")
     same = sketches.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     entry = same.select("n", F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
     bucket = Window.partitionBy("key")
@@ -309,7 +321,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         far = far.select("key", "band", "id", "component", F.explode(work).alias("w")).select("key", "band", "id", "component", "w.*")
         far = far.join(members.select("id", "n", "registers"), "id")
         far = far.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = far.mapInArrow(_across(cut, threshold, most), "a long, b long").distinct()
+        pairs = far.mapInArrow(_across(threshold, most), "a long, b long").distinct()
         links = links.unionByName(_confirmed(pairs, members, threshold, False))
         comp = components(links)
 
