@@ -244,7 +244,8 @@ def repeat_ranges(texts: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[D
     records = texts.mapInArrow(_initial(length, q), "head long, tail long, id long")
     dealt = records.repartition(F.shiftrightunsigned("head", 28)).sortWithinPartitions(
         "head", F.shiftrightunsigned("tail", 36), "id", "tail")
-    found = dealt.mapInArrow(_refine(length), "id long, start int, stop int, open boolean")
+    # ids are never null here; saying so keeps an inner join below from adding the filter to its own copy of the plan
+    found = dealt.mapInArrow(_refine(length), "id long, start int, stop int, open boolean").where("id is not null")
     spans = F.collect_list(F.when(F.col("open"), F.struct("start", "stop")))
     flags = found.groupBy("id").agg(spans.alias("opened"),
                                     F.collect_list(F.when(~F.col("open"), F.struct("start", "stop"))).alias("closed"))
