@@ -143,6 +143,13 @@ check("chk_range", WEB_SCEN, [c.in_range("scen", "after_ingest", 1, 1, "duration
       "clean", "type_change_android", "gradual_drift_ios")
 check("chk_volume", PAY_SCEN, [c.volume("scen", "after_ingest", 1, 1, 1300, 1000000000)], "clean", "feed_stops_wallet")
 check("chk_key_set", PAY_SCEN, [c.key_set("scen", "after_ingest", 1, 1, "status", STATUS)], "clean", "invalid_status_ach")
+sql("chk_key_set_values", PAY_SCEN, f"""SELECT scenario, batch_no, status AS value, count(*) AS n FROM scen
+  WHERE scenario IN ('clean', 'invalid_status_ach') AND status IS NOT NULL AND status NOT IN {STATUS} GROUP BY ALL""")
+sql("chk_range_text", [WEB, """
+b AS (SELECT batch_no, count(DISTINCT coalesce(client_version, 'nan')) AS segs,
+  count(*) FILTER (WHERE error_message IS NOT NULL AND try_cast(error_message AS DOUBLE) IS NULL) AS k FROM web_raw GROUP BY 1)"""],
+    """SELECT batch_no, 'range:error_message' AS check_name, CASE WHEN k > 0 THEN 'check cannot run: ' || k || ' values are no numbers' END AS error,
+  CASE WHEN k > 0 THEN CAST(1 AS BIGINT) ELSE segs END AS n FROM b UNION ALL SELECT batch_no, 'null_rate:user_id', NULL, segs FROM b""")
 check("chk_cardinality", WEB_SCEN, [c.cardinality("scen", "after_ingest", 1, 1, "client_version", 5), c.cardinality("scen", "after_ingest", 1, 2, "platform", 3)],
       "clean", "feed_stops_ios")
 check("chk_unit", WEB_SCEN + WEB_BASE, [WEB_RESULTS[9]], "clean", "unit_change_android")
@@ -247,7 +254,7 @@ sql("bl_numeric", [WEB, *WEB_BASE], """SELECT 'after_clean' AS checkpoint, 'dura
   round(median, 6) AS median, round(std, 6) AS std FROM bn_stats""")
 sql("baseline_save_load", [WEB, *WEB_BASE], """SELECT seg AS segment, sample_count, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std,
   usual AS volume_median FROM bn_stats LEFT JOIN bv USING (seg)""")
-sql("bl_sample", [WEB, i.web_clean("cl", "web_raw", "batch_no, "), i.numeric_baseline("cl", "duration_s", CV, "event_id").replace("<= 10000", "<= 500")],
+sql("bl_sample", [WEB, i.web_clean("cl", "web_raw", "batch_no, "), i.numeric_baseline("cl", "duration_s", CV, "event_id", limit=500)],
     "SELECT seg AS segment, x FROM bn_sample")
 sql("bl_bins", [WEB, *WEB_BASE], """SELECT seg AS segment, CAST(pos AS BIGINT) AS pos, edges[pos + 1] AS edge,
   CASE WHEN pos < 10 THEN coalesce(n, 0) END AS bin_count
@@ -411,7 +418,7 @@ roles AS (
     "SELECT pipeline, stage, role, count(*) AS n, min(label) AS first_label, max(label) AS last_label FROM roles GROUP BY ALL")
 OBS = """
 observed AS (SELECT DISTINCT 'line_' || l_linenumber AS pipeline, unnest(['part_' || l_partkey, 'supp_' || l_suppkey, 'status_' || l_linestatus]) AS label
-  FROM lineitem WHERE l_returnflag = 'R')"""
+  FROM lineitem)"""
 MERGED = OBS + """,
 merged AS (SELECT coalesce(n.pipeline, o.pipeline) AS pipeline, coalesce(n.type, 'field') AS type, coalesce(n.id, 'field:' || o.label) AS id,
     CASE WHEN n.id IS NULL THEN 'runtime' WHEN o.label IS NULL THEN 'static' ELSE 'both' END AS origin

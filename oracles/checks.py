@@ -49,9 +49,9 @@ def in_range(t, cp, o, seq, field, seg, lo, hi, limit=0.0, kind=None):
     out = row(cp, o, seq, f"range:{field}", "range", field, "seg" if seg else NOSEG, st, ms, "CASE WHEN n >= 30 THEN r END", "n",
               f"{src} WHERE textual = 0")
     if kind:
-        msg = "'check crashed: TypeError: ''<'' not supported between instances of ''str'' and ''float'''"
+        msg = "'check cannot run: ' || k || ' values are no numbers'"
         out += "\nUNION ALL\n" + row(cp, o, seq, f"range:{field}", "range", None, NOSEG, "'error'", msg, "NULL", "NULL",
-                                     f"(SELECT DISTINCT {RUN} FROM {t} WHERE {kind} = 'text')")
+                                     f"(SELECT {RUN}, count(*) AS k FROM {t} WHERE {kind} = 'text' GROUP BY ALL)")
     return out
 
 

@@ -226,7 +226,8 @@ def truth(faults: list[tuple], pipeline: str = "", n_batches: int = 10) -> str:
     return f"truth AS (SELECT * FROM (VALUES {', '.join(rows)}) AS t(scenario, injection_id, fault_type, field, inj_segment, onset_batch))"
 
 
-def numeric_baseline(table: str, field: str, seg: str, row_id: str, p: str = "bn") -> str:
+def numeric_baseline(table: str, field: str, seg: str, row_id: str, p: str = "bn", limit: int | None = None) -> str:
+    cut = f"QUALIFY row_number() OVER (PARTITION BY seg ORDER BY {h32('42', 'id')}, id, x) <= {limit}" if limit else ""
     qs = ", ".join(f"{i / 10}" for i in range(11))
     return f"""
 {p}_v AS (SELECT coalesce(CAST({seg} AS VARCHAR), 'nan') AS seg, CAST({row_id} AS VARCHAR) AS id, CAST({field} AS DOUBLE) AS x FROM {table}),
@@ -234,8 +235,7 @@ def numeric_baseline(table: str, field: str, seg: str, row_id: str, p: str = "bn
   SELECT seg, count(x) AS sample_count, coalesce(avg(x), 0) AS mean, coalesce(median(x), 0) AS median,
     coalesce(stddev_samp(x), 0) AS std FROM {p}_v GROUP BY seg),
 {p}_sample AS (
-  SELECT seg, x FROM {p}_v WHERE x IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY seg ORDER BY {h32('42', 'id')}, id, x) <= 10000),
+  SELECT seg, x FROM {p}_v WHERE x IS NOT NULL {cut}),
 {p}_q AS (SELECT seg, quantile_cont(x, [{qs}]) AS q FROM {p}_sample GROUP BY seg),
 {p}_edges AS (SELECT seg, list_sort(list_distinct(list_transform(q, lambda e: round(e, 9)))) AS edges FROM {p}_q),
 {p}_bins AS (

@@ -82,8 +82,6 @@ def test_crash_counts_only_if_not_blocked_before(spark):
     crashed = spark.createDataFrame([(1, 1), (2, 1)], "batch_no int, crash_order int")
     out = {x.batch_no: x for x in guard.batch_outcome(r, ["batch_no"], crashed, "clean").collect()}
     assert out[1].blocked_at == "a" and out[1].crashed_at is None and out[2].crashed_at == "clean"
-    err = guard.crashing_check(["batch_no"], r, "p", "a", 1, 1, "boom", "schema", RuntimeError("no")).collect()
-    assert {(e.status, e.message) for e in err} == {("error", "check crashed: RuntimeError: no")}
 
 
 def test_scoring_rule(spark):
@@ -138,3 +136,31 @@ def test_ground_truth_ids():
     ids = {f.scenario: f.injection_id for f in faults.catalog("payment_processing")}
     assert ids["invalid_status_ach"] == "invalid_enum:status:ach:4" and ids["clean"] == "clean"
     assert [len(faults.catalog(p)) for p in ("web_analytics", "user_behavior", "payment_processing")] == [8, 6, 7]
+
+
+def test_streamed_transitions_equal_a_walk_over_the_batches(spark):
+    """Two arrivals on top of each other give what a plain walk gives: opened, changed (worse or another message), closed."""
+    from tidegauge.streaming.alerts import transitions
+    steps = [(1, "a", "f", "v1", "warn", "m1"), (1, "a", "g", None, "pass", ""), (2, "a", "f", "v1", "fail", "m1"), (3, "a", "f", "v1", "warn", "m2"),
+             (3, "b", "f", "v1", "error", "x"), (4, "a", "g", None, "fail", "gone"), (5, "a", "g", None, "fail", "gone"), (5, "b", "f", "v1", "pass", ""),
+             (6, "a", "f", "v1", "fail", "m1"), (6, "a", "g", None, "pass", "")]
+    rows = spark.createDataFrame([("p", cp, 1, k, b, f"c:{f}", f, s, st, m) for k, (b, cp, f, s, st, m) in enumerate(steps)],
+                                 "pipeline string, checkpoint string, cp_order int, check_seq int, batch_no int, check string, field string, segment string, status string, message string")
+    rank = {"warn": 2, "fail": 3, "error": 3}
+    want, state = [], {}
+    for b in sorted({s[0] for s in steps}):
+        for cp in sorted({s[1] for s in steps if s[0] == b}):
+            bad = [s for s in steps if s[0] == b and s[1] == cp and s[4] in rank]
+            for _, _, f, seg, st, m in bad:
+                worst, said, first = state.get((cp, f, seg), (0, None, b))
+                if not worst or rank[st] > worst or m != said:
+                    want.append((cp, f, b, first, "changed" if worst else "opened"))
+                state[cp, f, seg] = (max(worst, rank[st]), m, first)
+            for key in [k for k in state if k[0] == cp and k[1:] not in {(s[2], s[3]) for s in bad}]:
+                want.append((cp, key[1], b, state.pop(key)[2], "closed"))
+    got, still = [], None
+    for part in (rows.where("batch_no <= 3"), rows.where("batch_no > 3")):
+        events, still = transitions(part, still)
+        got += [(e.checkpoint, e.alert_id.split(":")[1], e.batch_no, e.first_batch, e.event) for e in events.collect()]
+    assert sorted(got) == sorted(want)
+    assert {(r.checkpoint, r.field) for r in still.collect()} == {(k[0], k[1]) for k in state}

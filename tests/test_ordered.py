@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.functions import joins, ordered
+from tidegauge.functions import ordered
 from tidegauge.functions.scalars import hash32
 from tidegauge.operators import faults, stages
 
@@ -56,14 +56,6 @@ def test_smallest_by_hash_is_exact(spark):
     assert set(got.id) == set(want.id)
 
 
-def test_lookup_join_salted_path_equals_broadcast(spark):
-    big = spark.createDataFrame(skewed()).withColumnRenamed("k", "seg")
-    small = spark.createDataFrame([("hot", 1), ("a", 2)], "seg string, v int")
-    a = joins.lookup_join(big, small, ["seg"]).select("id", "v")
-    b = joins.lookup_join(big, small, ["seg"], max_rows=1).select("id", "v")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and b.count() == 6000
-
-
 def test_positions_and_finding_faults(spark):
     rows = [(b, i * 40_000, f"e{b}-{i}") for b in (1, 2) for i in range(25)]
     df = spark.createDataFrame(rows, "batch_no int, line_no long, event_id string")
@@ -81,3 +73,10 @@ def test_dedup_keeps_first_with_hot_copies(spark):
     got = {r.event_id: r.line_no for r in out.collect()}
     assert len(got) == 52 and got["hot"] == 0 and got[None] == 3
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_infinities_have_a_place(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", -inf), ("a", -1.5), ("a", 0.0), ("a", 2.0), ("a", inf), ("b", inf), ("b", inf)], "k string, x double")
+    q = {r.k: r for r in ordered.exact_quantiles(df, ["k"], "x", {"mid": 0.5, "top": 1.0, "low": 0.0}).collect()}
+    assert (q["a"].low, q["a"].mid, q["a"].top) == (-inf, 0.0, inf) and q["b"].mid == inf

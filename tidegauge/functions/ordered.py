@@ -23,8 +23,9 @@ def order_slice(value: Column | str) -> Column:
     """Bucket number that never decreases with the value: log2 scale, sign aware. Depends on the
     value alone, so every branch and every retry cuts a group the same way."""
     v = as_col(value).cast("double")
-    level = F.coalesce(F.floor(F.log2(F.abs(v)) * F.lit(float(SLICES_PER_OCTAVE))).cast("bigint"),
-                       F.lit(0).cast("bigint"))
+    edge = F.lit(float(_CENTRE - 1))  # infinities share the outermost slices
+    scale = F.greatest(F.least(F.log2(F.abs(v)) * F.lit(float(SLICES_PER_OCTAVE)), edge), -edge)
+    level = F.coalesce(F.floor(scale).cast("bigint"), F.lit(0).cast("bigint"))
     return (F.when(v > 0, F.lit(_CENTRE) + level)
             .when(v < 0, -(F.lit(_CENTRE) + level))
             .otherwise(F.lit(0).cast("bigint")))
@@ -85,8 +86,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
                   F.max(F.when(holds(high[name], "_at", "_w"), F.col("_v"))).alias(f"_hi_{name}")]
     found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
     return found.select(*keys, *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (position[n] - low[n])
-         ).alias(n) for n in probs])
+        F.when(F.col(f"_lo_{n}") == F.col(f"_hi_{n}"), F.col(f"_lo_{n}")).otherwise(
+            F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (position[n] - low[n])).alias(n) for n in probs])
 
 
 def smallest_by_hash(df: DataFrame, keys: list[str], hash_col: str, tie: list[str],

@@ -94,11 +94,21 @@ def draw(seed: str, *ids: Column | str) -> Column:
 
 
 def clean_number(value: Column | str) -> Column:
-    """NaN counts as missing."""
-    v = as_col(value).cast("double")
+    """NaN counts as missing, and so does text that is no number (`uncastable` counts that)."""
+    v = as_col(value).try_cast("double")
     return F.when(F.isnan(v), None).otherwise(v)
 
 
+def uncastable(value: Column | str) -> Column:
+    """Whether a value is there but is no number."""
+    return as_col(value).isNotNull() & as_col(value).try_cast("double").isNull()
+
+
+def text_key(text: Column | str) -> dict[str, Column]:
+    """A 128-bit key of a text, as two longs."""
+    return {"h1": F.xxhash64(as_col(text)), "h2": F.xxhash64(F.lit("second"), as_col(text))}
+
+
 def mask_template(text: Column | str) -> Column:
     """Digit runs become `<NUM>` so messages differing only in numbers share a template."""
     return F.regexp_replace(as_col(text), r"\p{Nd}+", "<NUM>")

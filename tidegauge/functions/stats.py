@@ -11,10 +11,10 @@ PSI_BINS = 10
 
 def psi_of(ref_shares: Column, cur_counts: Column, cur_total: Column) -> Column:
     """Population stability index of bin counts (array) against the baseline's bin shares (array).
-    Entries past the baseline's bins are ignored."""
+    Entries past the baseline's bins are ignored; null when there is no current value."""
     def term(r: Column, c: Column) -> Column:
         rs = r + F.lit(PSI_EPS)
-        cs = c / cur_total + F.lit(PSI_EPS)
+        cs = F.when(cur_total > 0, c / cur_total) + F.lit(PSI_EPS)
         return (cs - rs) * F.log(cs / rs)
 
     used = F.slice(cur_counts, F.lit(1), F.size(ref_shares))

@@ -1,8 +1,9 @@
 """Frozen baselines: what normal looks like per checkpoint, field and segment.
 
 All tables are long and keyed (checkpoint, field, segment); an unsegmented profile uses the
-segment `all`. Samples are bounded (10 000 values per key), everything else is a grouped
-aggregate, so one profile never depends on one task seeing a whole segment."""
+segment `all`. Numeric values are kept whole, collapsed to (value, count); everything is a grouped
+aggregate, so one profile never depends on one task seeing a whole segment. A bounded sample is there
+for who asks for one; nothing here depends on it."""
 
 from __future__ import annotations
 
@@ -19,7 +20,6 @@ from tidegauge.functions.ordered import exact_quantiles, smallest_by_hash
 from tidegauge.functions.stats import PSI_BINS
 from tidegauge.session import cut
 
-MAX_SAMPLE = 10_000
 SAMPLE_SEED = "42"
 KEY = ["checkpoint", "field", "segment"]
 TOP_TEMPLATES = 20
@@ -46,7 +46,7 @@ def numeric_stats(df: DataFrame, checkpoint: str, field: str, segment_by: str |
 
 
 def numeric_sample(df: DataFrame, checkpoint: str, field: str, segment_by: str | None,
-                   row_id: str, limit: int = MAX_SAMPLE) -> DataFrame:
+                   row_id: str, limit: int) -> DataFrame:
     """At most `limit` values per segment, chosen by a hash of the row id."""
     v = (df.select(_segment(segment_by).alias("segment"), F.col(row_id).cast("string").alias("id"),
                    S.clean_number(field).alias("x"))
@@ -56,21 +56,25 @@ def numeric_sample(df: DataFrame, checkpoint: str, field: str, segment_by: str |
                 checkpoint, field)
 
 
-def sample_bins(sample: DataFrame) -> DataFrame:
-    """Decile edges of the bounded sample (repeated edges removed) and its bin counts. The sample
-    is at most `MAX_SAMPLE` rows per key, which bounds the built-in percentile."""
-    probs = F.array(*[F.lit(i / PSI_BINS) for i in range(PSI_BINS + 1)])
-    edges = (sample.groupBy(*KEY).agg(F.percentile("x", probs).alias("q"))
-             .select(*KEY, F.array_distinct(F.transform("q", lambda e: F.round(e, 9))).alias("edges")))
-    binned = sample.join(edges, KEY).withColumn("bin", bin_of(F.col("x"), inner_edges()))
+def numeric_values(df: DataFrame, checkpoint: str, field: str, segment_by: str | None) -> DataFrame:
+    """Every value of a segment with its count."""
+    v = df.select(_segment(segment_by).alias("segment"), S.clean_number(field).alias("x")).where(F.col("x").isNotNull())
+    return _tag(v.groupBy("segment", "x").agg(F.count(F.lit(1)).alias("n")), checkpoint, field)
+
+
+def value_bins(values: DataFrame) -> DataFrame:
+    """Decile edges of all values (repeated edges removed) and the count in each bin."""
+    q = exact_quantiles(values, KEY, "x", {f"q{i}": i / PSI_BINS for i in range(PSI_BINS + 1)}, weight="n")
+    edges = q.select(*KEY, F.array_distinct(F.array(*[F.round(f"q{i}", 9) for i in range(PSI_BINS + 1)])).alias("edges"))
+    binned = values.join(edges, KEY).withColumn("bin", bin_of(F.col("x"), inner_edges()))
     counts = binned.groupBy(*KEY).agg(*[
-        F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(PSI_BINS)])
+        F.sum(F.when(F.col("bin") == i, F.col("n")).otherwise(0)).alias(f"b{i}") for i in range(PSI_BINS)])
     all_bins = F.array(*[F.col(f"b{i}") for i in range(PSI_BINS)])
     n_bins = F.greatest(F.size("edges") - F.lit(1), F.lit(0))
     total = sum((F.col(f"b{i}") for i in range(PSI_BINS)), F.lit(0))
     return edges.join(counts, KEY).select(
-        *KEY, "edges", F.slice(all_bins, F.lit(1), n_bins).alias("bin_counts"), total.alias("sample_size")).withColumn(
-        "bin_shares", F.transform("bin_counts", lambda c: c / F.col("sample_size"))).drop("sample_size")
+        *KEY, "edges", F.slice(all_bins, F.lit(1), n_bins).alias("bin_counts"), total.alias("total")).withColumn(
+        "bin_shares", F.transform("bin_counts", lambda c: c / F.col("total"))).drop("total")
 
 
 def inner_edges():
@@ -90,9 +94,11 @@ def vocabulary(df: DataFrame, checkpoint: str, field: str, segment_by: str | Non
 
 
 def templates(df: DataFrame, checkpoint: str, field: str, segment_by: str | None) -> DataFrame:
+    """Masked messages with their counts, grouped by a 128-bit hash: whole texts are no shuffle keys."""
     masked = (df.where(F.col(field).isNotNull())
-              .select(_segment(segment_by).alias("segment"), S.mask_template(field).alias("template")))
-    return _tag(masked.groupBy("segment", "template").agg(F.count(F.lit(1)).alias("n")), checkpoint, field)
+              .select(_segment(segment_by).alias("segment"), S.mask_template(field).alias("template")).withColumns(S.text_key("template")))
+    found = masked.groupBy("segment", "h1", "h2").agg(F.first("template").alias("template"), F.count(F.lit(1)).alias("n"))
+    return _tag(found.select("segment", "template", "n"), checkpoint, field)
 
 
 def text_counts(df: DataFrame, checkpoint: str, field: str, segment_by: str | None) -> DataFrame:
@@ -122,7 +128,7 @@ class Baselines:
     """The frozen tables. Any of them may be None when a pipeline profiles no such field."""
 
     numeric: DataFrame | None = None   # KEY, sample_count, mean, median, std, edges, bin_counts, bin_shares
-    sample: DataFrame | None = None    # KEY, x
+    values: DataFrame | None = None    # KEY, x, n
     text: DataFrame | None = None      # KEY, sample_count
     vocab: DataFrame | None = None     # KEY, token
     templates: DataFrame | None = None  # KEY, template, n
@@ -139,7 +145,7 @@ class Baselines:
 
     @staticmethod
     def load(spark: SparkSession, folder: str, names: tuple[str, ...] = (
-            "numeric", "sample", "text", "vocab", "templates", "volume")) -> "Baselines":
+            "numeric", "values", "text", "vocab", "templates", "volume")) -> "Baselines":
         return Baselines(**{n: spark.read.parquet(os.path.join(folder, n)) for n in names})
 
 
@@ -171,14 +177,13 @@ def _all(parts: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def build(frames: dict[str, DataFrame], plan: BaselinePlan, row_id: str,
-          batches: list[int]) -> Baselines:
+def build(frames: dict[str, DataFrame], plan: BaselinePlan, batches: list[int]) -> Baselines:
     """Profile clean frames (checkpoint name -> frame with a batch_no column)."""
-    sample = _all([numeric_sample(frames[cp], cp, f, seg, row_id) for cp, f, seg in plan.numeric])
+    values = _all([numeric_values(frames[cp], cp, f, seg) for cp, f, seg in plan.numeric])
     stats = _all([numeric_stats(frames[cp], cp, f, seg) for cp, f, seg in plan.numeric])
-    numeric = stats.join(sample_bins(sample), KEY, "left") if stats is not None else None
+    numeric = stats.join(value_bins(values), KEY, "left") if stats is not None else None
     return Baselines(
-        numeric=numeric, sample=sample,
+        numeric=numeric, values=values,
         text=_all([text_counts(frames[cp], cp, f, seg) for cp, f, seg in plan.text]),
         vocab=_all([vocabulary(frames[cp], cp, f, seg) for cp, f, seg in plan.text]),
         templates=_all([templates(frames[cp], cp, f, seg) for cp, f, seg in plan.text]),
@@ -186,14 +191,14 @@ def build(frames: dict[str, DataFrame], plan: BaselinePlan, row_id: str,
 
 
 def profiles(base: Baselines) -> DataFrame:
-    """Export rows: percentiles of the sample for numeric keys, vocabulary size and the most
+    """Export rows: percentiles of all values for numeric keys, vocabulary size and the most
     frequent templates for text keys."""
     parts = []
     if base.numeric is not None:
-        probs = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)])
-        q = base.sample.groupBy(*KEY).agg(F.percentile("x", probs).alias("q"))
+        names = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p100": 1.0}
+        q = exact_quantiles(base.values, KEY, "x", names, weight="n")
         parts.append(base.numeric.join(q, KEY, "left").select(
-            *KEY, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p0", "p25", "p50", "p75", "p95", "p100"))],
+            *KEY, *names,
             "mean", F.col("std").alias("stddev"), F.lit(None).cast("bigint").alias("cardinality"),
             F.lit(None).cast("string").alias("top_values"), "sample_count"))
     if base.text is not None:

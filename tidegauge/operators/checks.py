@@ -15,7 +15,6 @@ from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from tidegauge.functions import scalars as S
-from tidegauge.functions.joins import lookup_join
 from tidegauge.operators import drift
 from tidegauge.operators.baseline import Baselines
 from tidegauge.plans.contracts import Checkpoint, Contract, Spec
@@ -89,6 +88,12 @@ def _graded(df: DataFrame, keys: list[str]) -> DataFrame:
         F.when(judged, F.col("detail")).alias("detail"))
 
 
+def unexpected_values(df: DataFrame, keys: list[str], field: str, allowed: tuple[str, ...]) -> DataFrame:
+    """Every value outside the allowed set with its count, as rows; the check's message shows the first `KEY_SET_SHOWN`."""
+    v = F.col(field).cast("string")
+    return df.where(v.isNotNull() & ~v.isin(*allowed)).groupBy(*keys, v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
 class _Compiler:
     """Collects the aggregates, side results and measured rows of one checkpoint."""
 
@@ -177,7 +182,7 @@ class _Compiler:
             return self.missing(name, "schema", field)
         odd = F.col(field).isNotNull() & ~F.col(field).cast("string").isin(*allowed)
         self.aggs[f"odd_{field}"] = F.count_if(odd)
-        values = self.df.where(odd).select(*self.keys, F.col(field).cast("string").alias("v")).distinct()
+        values = unexpected_values(self.df, self.keys, field, allowed).withColumnRenamed("value", "v")
         rank = F.row_number().over(Window.partitionBy(*self.keys).orderBy("v"))
         shown = (values.withColumn("r", rank).where(F.col("r") <= KEY_SET_SHOWN).groupBy(*self.keys)
                  .agg(F.array_join(F.sort_array(F.collect_list("v")), ", ").alias(f"odd_shown_{field}")))
@@ -231,21 +236,28 @@ class _Compiler:
         n, seq = self._count(field), self.next()
         self.aggs[f"out_{seq}"] = F.count_if(below | above)
         rate = self.metric(seq, F.col(f"out_{seq}") / F.when(n > 0, n))
-        row = _measure(
+        row = self.unless_text(field, name, "range", seq, _measure(
             check_seq=seq, kind="share", check=name, check_type="range", field=field, segment=self.segment, rows=n,
             metric=rate, threshold=spec.max_violation_rate, ok=rate <= spec.max_violation_rate,
-            few_of="non-null rows", extra=f" of values fall outside [{spec.min}, {spec.max}]")
-        if self.has(f"{field}_kind"):
-            # Text in the batch cannot be compared with a bound: the check fails to run, once.
-            self.aggs[f"text_{field}"] = F.count_if(F.col(f"{field}_kind") == "text")
-            broken = self.total(f"text_{field}") > 0
-            sign = "<" if spec.min is not None else ">"
-            self.batch_rows.append(F.when(broken, _measure(
-                check_seq=seq, check=name, check_type="range", fixed="error", extra=
-                f"check crashed: TypeError: '{sign}' not supported between instances of 'str' and 'float'")))
-            row = F.when(~broken, row)
+            few_of="non-null rows", extra=f" of values fall outside [{spec.min}, {spec.max}]"))
         self.rows.append(row)
 
+    def unless_text(self, field: str, name: str, check_type: str, seq: int, row: Column) -> Column:
+        """`row`, unless the batch holds text where the check needs numbers: then the check cannot run, which is one `error` row
+        for the whole batch, and everything else still reports."""
+        if self.has(f"{field}_kind"):
+            text = F.col(f"{field}_kind") == "text"
+        elif not isinstance(self.df.schema[field].dataType, NumericType):
+            text = S.uncastable(field)
+        else:
+            return row
+        self.aggs[f"text_{field}"] = F.count_if(text)
+        n = self.total(f"text_{field}")
+        self.batch_rows.append(F.when(n > 0, _measure(
+            check_seq=seq, check=name, check_type=check_type, fixed="error",
+            extra=F.concat(F.lit("check cannot run: "), n.cast("string"), F.lit(" values are no numbers")))))
+        return F.when(n == 0, row)
+
     def _numeric_base(self, field: str) -> str:
         """Join the numeric baseline of `field` (once) and return its column prefix."""
         prefix = f"base_{field}_"
@@ -276,10 +288,10 @@ class _Compiler:
         ratio = self.metric(self.next(), F.when(
             (current <= 0) | (ref <= 0),
             F.when(current != ref, F.lit(float("inf"))).otherwise(F.lit(0.0))).otherwise(F.log10(current / ref)))
-        self.rows.append(_measure(
+        self.rows.append(self.unless_text(field, name, "unit", self.seq, _measure(
             check_seq=self.seq, kind="unit", check=name, check_type="unit", field=field, segment=self.segment, rows=n,
             metric=ratio, threshold=limit, baseline=ref, ok=F.abs(ratio) <= limit, few_of="rows", extra=stat,
-            no_base=F.col(prefix + "sample_count").isNull()))
+            no_base=F.col(prefix + "sample_count").isNull())))
 
     def numeric_drift(self, field: str, spec: Spec) -> None:
         if not self.has(field):
@@ -297,12 +309,14 @@ class _Compiler:
         self.aggs.update(drift.edge_counts(field, edge))
         psi = self.metric(self.next(), drift.psi_score(
             drift.bins_from_edges(n, edge), n, F.col(prefix + "bin_shares")))
-        self.rows.append(_measure(check_seq=self.seq, check=f"psi:{field}", metric=psi, threshold=spec.psi_threshold,
-                                  ok=psi <= spec.psi_threshold, extra="PSI", **common))
+        self.rows.append(self.unless_text(field, f"psi:{field}", "numeric_drift", self.seq, _measure(
+            check_seq=self.seq, check=f"psi:{field}", metric=psi, threshold=spec.psi_threshold, ok=psi <= spec.psi_threshold,
+            extra="PSI", **common)))
         d, p = F.col(f"ks_d_{field}"), F.col(f"ks_p_{field}")
         drifted = (p < spec.ks_alpha) & (d >= KS_MIN_STATISTIC)
-        self.rows.append(_measure(check_seq=self.next(), check=f"ks:{field}", metric=d, threshold=spec.ks_alpha,
-                                  ok=~drifted, extra="KS", **common))
+        seq = self.next()
+        self.rows.append(self.unless_text(field, f"ks:{field}", "numeric_drift", seq, _measure(
+            check_seq=seq, check=f"ks:{field}", metric=d, threshold=spec.ks_alpha, ok=~drifted, extra="KS", **common)))
 
     def text_drift(self, field: str, spec: Spec) -> None:
         if not self.has(field):
@@ -363,15 +377,14 @@ class _Compiler:
         """The wide row per (keys, segment): the one fused aggregation plus the side results."""
         out = self.df.groupBy(*self.keys, "_seg").agg(*[c.alias(n) for n, c in self.aggs.items()])
         if self.batch_rows or any(n != "n_rows" for n in self.totals):
-            batch = Window.partitionBy(*self.keys)
-            out = out.select("*", *[F.sum(n).over(batch).alias(f"t_{n}") for n in sorted(self.totals)],
-                             (F.row_number().over(batch.orderBy("_seg")) == 1).alias("_first"))
+            totals = out.groupBy(*self.keys).agg(*[F.sum(n).alias(f"t_{n}") for n in sorted(self.totals)], F.min("_seg").alias("_one"))
+            out = out.join(totals, self.keys).withColumn("_first", F.col("_seg") == F.col("_one"))
         for field, ks in self.ordered.items():
-            found = drift.ordered_stats(self.plain, self.keys, field, self.base.sample if ks else None, self.cp.name)
+            found = drift.ordered_stats(self.plain, self.keys, field, self.base.values if ks else None, self.cp.name)
             names = ["median"] + (["ks_d", "ks_p"] if ks else [])
             self.side.append(found.select(*self.keys, "_seg", *[F.col(c).alias(f"{c}_{field}") for c in names]))
         for s in self.base_side:
-            out = lookup_join(out, s, ["_seg"])
+            out = out.join(s, "_seg", "left")
         for s in self.side:
             out = out.join(s, [*self.keys, "_seg"], "left")
         for s in self.batch_side:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.functions import scalars as S
-from tidegauge.functions.joins import lookup_join
 from tidegauge.functions.ordered import prefix_sums
 from tidegauge.functions.stats import PSI_BINS, ks_pvalue, psi_of
 from tidegauge.operators.baseline import inner_edges
@@ -29,7 +28,7 @@ def with_edges(df: DataFrame, numeric: DataFrame, checkpoint: str, field: str, p
     fewer bins or is missing). Needs the `_seg` column."""
     edges = at_key(numeric, checkpoint, field).select(
         "_seg", *[e.alias(f"{prefix}{i}") for i, e in enumerate(inner_edges())])
-    return lookup_join(df, edges, ["_seg"])
+    return df.join(edges, "_seg", "left")
 
 
 def edge_counts(field: str, prefix: str) -> dict[str, Column]:
@@ -49,9 +48,9 @@ def psi_score(current: list[Column], total: Column, shares: Column) -> Column:
     return F.when(F.size(shares) < 2, F.lit(0.0)).otherwise(psi_of(shares, F.array(*current), total))
 
 
-def ordered_stats(df: DataFrame, keys: list[str], field: str, sample: DataFrame | None = None,
+def ordered_stats(df: DataFrame, keys: list[str], field: str, known: DataFrame | None = None,
                   checkpoint: str | None = None) -> DataFrame:
-    """Median and, with a baseline sample, the two-sample KS test per (keys, _seg), from one sliced
+    """Median and, with the baseline's collapsed values, the two-sample KS test per (keys, _seg), from one sliced
     running count of the collapsed values.
 
     Between two current values the current step function is constant, so the largest gap lies at a
@@ -68,8 +67,8 @@ def ordered_stats(df: DataFrame, keys: list[str], field: str, sample: DataFrame
         return F.max(F.when((start <= rank) & (rank < F.col("cum_n")), F.col("x")))
 
     aggs = [at(F.floor(pos)).alias("_lo"), at(F.ceil(pos)).alias("_hi"), F.max("all_n").alias("ks_m")]
-    if sample is not None:
-        ref = at_key(sample, checkpoint, field).groupBy("_seg", "x").agg(F.count(F.lit(1)).alias("n_ref"))
+    if known is not None:
+        ref = at_key(known, checkpoint, field).groupBy("_seg", "x").agg(F.sum("n").alias("n_ref"))
         values = (cur.select("_seg", "x").distinct().withColumn("n_ref", F.lit(0).cast("bigint"))
                   .unionByName(ref).groupBy("_seg", "x").agg(F.sum("n_ref").alias("n_ref")))
         steps = (prefix_sums(values, ["_seg"], "x", ["n_ref"]).where(F.col("all_n_ref") > 0))
@@ -79,7 +78,7 @@ def ordered_stats(df: DataFrame, keys: list[str], field: str, sample: DataFrame
         gap = F.greatest(F.abs(F.col("cum_n") / F.col("all_n") - upto), F.abs(start / F.col("all_n") - before))
         aggs += [F.max(gap).alias("ks_d"), F.max("all_n_ref").alias("ks_n")]
     out = run.groupBy(*seg).agg(*aggs).withColumn("median", (F.col("_lo") + F.col("_hi")) / F.lit(2.0)).drop("_lo", "_hi")
-    if sample is not None:
+    if known is not None:
         out = out.withColumn("ks_p", ks_pvalue(F.col("ks_d"), F.col("ks_n"), F.col("ks_m")))
     return out
 
@@ -89,7 +88,7 @@ def oov_stats(df: DataFrame, vocab: DataFrame, keys: list[str], checkpoint: str,
     words = (df.select(*keys, "_seg", F.explode(S.word_tokens(field)).alias("token"))
              .groupBy(*keys, "_seg", "token").agg(F.count(F.lit(1)).alias("n")))
     known = at_key(vocab, checkpoint, field).withColumn("known", F.lit(True))
-    joined = lookup_join(words, known, ["_seg", "token"])
+    joined = words.join(known, ["_seg", "token"], "left")
     return joined.groupBy(*keys, "_seg").agg(
         F.sum("n").alias("tokens"),
         F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("new_tokens"))
@@ -97,12 +96,14 @@ def oov_stats(df: DataFrame, vocab: DataFrame, keys: list[str], checkpoint: str,
 
 def template_stats(df: DataFrame, templates: DataFrame, keys: list[str], checkpoint: str,
                    field: str) -> DataFrame:
-    """Records whose masked template is new, and the three smallest new templates."""
+    """Records whose masked template is new, and the smallest `SAMPLE_TEMPLATES` new templates, for the message. Templates are
+    whole messages, so rows are shuffled and joined on a 128-bit hash; the text rides along for the sample only."""
     masked = (df.where(F.col(field).isNotNull())
               .select(*keys, "_seg", S.mask_template(field).alias("template"))
-              .groupBy(*keys, "_seg", "template").agg(F.count(F.lit(1)).alias("n")))
-    known = at_key(templates, checkpoint, field).select("_seg", "template", F.lit(True).alias("known"))
-    fresh = lookup_join(masked, known, ["_seg", "template"]).where(F.col("known").isNull())
+              .withColumns(S.text_key("template")).groupBy(*keys, "_seg", "h1", "h2")
+              .agg(F.count(F.lit(1)).alias("n"), F.first("template").alias("template")))
+    known = at_key(templates, checkpoint, field).withColumns(S.text_key("template")).select("_seg", "h1", "h2")
+    fresh = masked.join(known, ["_seg", "h1", "h2"], "left_anti")
     counts = fresh.groupBy(*keys, "_seg").agg(F.sum("n").alias("new_records"))
     rank = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy("template"))
     sample = (fresh.select(*keys, "_seg", "template").withColumn("r", rank)

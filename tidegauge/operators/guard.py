@@ -79,13 +79,3 @@ def batch_summary(results: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(st == "pass").alias("passed"), F.count_if(st == "warn").alias("warned"),
         F.count_if(st == "fail").alias("failed"), (F.count_if(st == "fail") > 0).alias("blocked"),
         F.array_join(F.array_sort(F.collect_set(F.when(st == "fail", F.col("check")))), ",").alias("failing_checks"))
-
-
-def crashing_check(keys: list[str], df: DataFrame, pipeline: str, checkpoint: str, order: int, seq: int,
-                   check: str, check_type: str, error: Exception) -> DataFrame:
-    """A check whose plan could not be built is recorded as an `error` row per batch (fail open)."""
-    values = {"check_seq": seq, "check": check, "check_type": check_type, "status": "error",
-              "message": f"check crashed: {type(error).__name__}: {error}"}
-    return df.select(*keys).distinct().select(
-        *keys, F.lit(pipeline).alias("pipeline"), F.lit(checkpoint).alias("checkpoint"),
-        F.lit(order).alias("cp_order"), *[F.lit(values.get(n)).cast(t).alias(n) for n, t in RESULT_FIELDS])

@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 from tidegauge.session import cut
 
 DATA_LINKS = ("derives", "produces")
-MAX_ROUNDS = 64
 
 
 def dedup_nodes(nodes: DataFrame, order: list[str]) -> DataFrame:
@@ -32,7 +31,7 @@ def lineage_edges(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("type").isin(*DATA_LINKS)).select("pipeline", "source", "target").distinct()
 
 
-def reach(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(pipeline, start, node) pairs with a path of data links from start to node, start excluded.
 
     Frontier rounds: only pairs found last are extended, pairs already known are removed with an
@@ -48,16 +47,13 @@ def reach(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int = M
                     .select("pipeline", F.col("source").alias("start"), F.col("target").alias("node")))
     frontier = cut(frontier.distinct())
     found = frontier
-    for _ in range(max_rounds):
+    while True:
         longer = (frontier.join(step, ["pipeline", "node"])
                   .select("pipeline", "start", F.col("next").alias("node")).distinct())
         frontier = cut(longer.join(found, ["pipeline", "start", "node"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return found.where(F.col("start") != F.col("node"))
         found = found.unionByName(frontier)
-    else:
-        raise RuntimeError(f"lineage deeper than {max_rounds} links; raise max_rounds")
-    return found.where(F.col("start") != F.col("node"))
 
 
 def downstream(nodes: DataFrame, edges: DataFrame, node_type: str | None = None,

@@ -68,7 +68,7 @@ def learn(raw: DataFrame, pipeline: str, batches: list[int] | None = None) -> Ba
     """Profile the learning batches, each batch cleaned on its own."""
     p, known = PIPELINES[pipeline], batches or BASELINE_BATCHES
     frames = p.frames(raw.where(F.col("batch_no").isin(*known)), ("batch_no",))
-    return build(frames, PLANS[pipeline], p.row_id, known)
+    return build(frames, PLANS[pipeline], known)
 
 
 def crashes(scen: DataFrame, p: Pipeline) -> DataFrame:

@@ -53,6 +53,22 @@ def upsert_alerts(old: DataFrame | None, new: DataFrame, at: list[str]) -> DataF
         *[F.min(order)[c].alias(c) for c in at], F.count(F.lit(1)).alias("writes"))
 
 
+def _before(df: DataFrame, folder: str, epoch: int) -> DataFrame | None:
+    return df.sparkSession.read.parquet(f"{folder}/epoch={epoch - 1}") if epoch else None
+
+
+def write_alerts(new: DataFrame, folder: str, epoch: int, at: list[str]) -> None:
+    """The alert table of an epoch: the one before it with `new` upserted. A replayed epoch overwrites itself, so that applying
+    the same rows twice changes nothing."""
+    old = _before(new, folder, epoch)
+    upsert_alerts(old.drop("writes") if old is not None else None, new, at).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+
+def write_rows(new: DataFrame, folder: str, epoch: int, key: list[str], version: str) -> None:
+    """The same for tables where the last version of a key wins."""
+    upsert_rows(_before(new, folder, epoch), new, key, version).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+
 def upsert_rows(old: DataFrame | None, new: DataFrame, key: list[str], version: str) -> DataFrame:
     """Last version per key wins (baseline profiles)."""
     rows = new if old is None else old.unionByName(new, allowMissingColumns=True)

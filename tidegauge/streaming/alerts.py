@@ -1,87 +1,64 @@
-"""The alert lifecycle as keyed state.
+"""The alert lifecycle on a stream of check results, by the same set operations as in batch.
 
-An alert closes when its checkpoint was seen without the problem failing, and a problem that stops
-failing sends no row of its own. State is therefore keyed by (pipeline, checkpoint, bucket of the
-problem), and the small "checkpoint seen" markers are repeated for every bucket: a checkpoint with
-very many segments is spread over many tasks. The input is check results, already aggregated to
-one row per batch, check and segment."""
+Each micro-batch is joined to what was open before it: an open problem is carried as one result row at the batch where its
+checkpoint was last seen, with its worst severity and first batch. Runs of failing batches, worsening and closing are then
+windows over (problem, batch). Nothing is held per key in a task, and a replayed epoch overwrites its own folders."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tidegauge.operators.alerts import problems
+from tidegauge.operators.alerts import problems, severity_name
 
-BUCKETS = 16
-INPUT = ["pipeline", "checkpoint", "bucket", "batch_no", "cp_order", "check_seq", "root", "segment", "alert_id", "alert_message", "rank"]
-OUTPUT = ("pipeline string, checkpoint string, alert_id string, batch_no int, check_seq int, first_batch int, "
-          "severity string, message string, event string")
-_NAMES = {3: "high", 2: "medium", 1: "low"}
+RESULT = ["pipeline", "checkpoint", "cp_order", "check_seq", "batch_no", "check", "field", "segment", "status", "message"]
+CARRIED = ["first_before", "worst_before"]
+KEY = ["pipeline", "checkpoint", "root", "segment"]
 
 
-class AlertState(StatefulProcessor):
-    """Open alerts of one checkpoint bucket: (root, segment) -> rank, message, first batch."""
+def transitions(results: DataFrame, still_open: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, open problems) of whole batches of results on top of what was open. A batch must not come back later."""
+    new = results.select(*RESULT, F.lit(None).cast("int").alias("first_before"), F.lit(None).cast("int").alias("worst_before"))
+    rows = new if still_open is None else still_open.select(*RESULT, *CARRIED).unionByName(new)
+    cp = Window.partitionBy("pipeline", "checkpoint").orderBy("batch_no")
+    seen = (rows.select("pipeline", "checkpoint", "batch_no").distinct()
+            .withColumn("seen_no", F.row_number().over(cp)).withColumn("next_batch", F.lead("batch_no").over(cp)))
+    bad = problems(rows).join(seen, ["pipeline", "checkpoint", "batch_no"])
+    bad = bad.withColumn("rank", F.greatest("rank", F.coalesce("worst_before", F.lit(0))))
+    bad = bad.withColumn("run", F.col("seen_no") - F.dense_rank().over(Window.partitionBy(*KEY).orderBy("batch_no")))
+    order = Window.partitionBy(*KEY, "run").orderBy("batch_no", "cp_order", "check_seq")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    bad = bad.withColumns({"earlier": F.max("rank").over(before), "said": F.lag("alert_message").over(order), "worst": F.max("rank").over(whole),
+                           "first_batch": F.coalesce(F.max("first_before").over(whole), F.min("batch_no").over(whole)),
+                           "is_last": F.lead("batch_no").over(order).isNull()})
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getMapState(
-            "open", StructType([StructField("root", StringType()), StructField("segment", StringType())]),
-            StructType([StructField("rank", IntegerType()), StructField("message", StringType()),
-                        StructField("first_batch", IntegerType()), StructField("alert_id", StringType())]))
+    def event(df: DataFrame, batch, rank, name) -> DataFrame:
+        return df.select("pipeline", "checkpoint", "alert_id", batch.alias("batch_no"), "first_batch", severity_name(rank).alias("severity"),
+                         F.col("alert_message").alias("message"), name.alias("event"))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["batch_no", "cp_order", "check_seq"], kind="stable")
-        state = {k: list(v) for k, v in self.open.iterator()}
-        before, out = set(state), []
-        for batch_no, batch in frame.groupby("batch_no", sort=True):
-            failing = set()
-            for r in batch[batch["rank"] > 1].itertuples():
-                problem = (r.root, r.segment)
-                failing.add(problem)
-                known = state.get(problem)
-                if known is None:
-                    state[problem] = [int(r.rank), r.alert_message, int(batch_no), r.alert_id]
-                    event = "opened"
-                elif r.rank > known[0] or r.alert_message != known[1]:
-                    known[0], known[1] = max(known[0], int(r.rank)), r.alert_message
-                    event = "changed"
-                else:
-                    continue
-                now = state[problem]
-                out.append((*key[:2], r.alert_id, int(batch_no), int(r.check_seq), now[2], _NAMES[now[0]], now[1], event))
-            for problem in [p for p in state if p not in failing]:
-                gone = state.pop(problem)
-                out.append((*key[:2], gone[3], int(batch_no), 0, gone[2], _NAMES[gone[0]], gone[1], "closed"))
-        for problem in before - set(state):
-            self.open.removeKey(problem)
-        for problem, value in state.items():
-            self.open.updateValue(problem, tuple(value))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    fresh = F.col("first_before").isNull()
+    news = bad.where(fresh & (F.col("earlier").isNull() | (F.col("rank") > F.col("earlier")) | (F.col("alert_message") != F.col("said"))))
+    ended = bad.where(F.col("is_last") & F.col("next_batch").isNotNull())
+    events = event(news, F.col("batch_no"), F.greatest("rank", F.coalesce("earlier", F.lit(0))),
+                   F.when(F.col("earlier").isNull(), "opened").otherwise("changed")).unionByName(
+        event(ended, F.col("next_batch"), F.col("worst"), F.lit("closed")))
+    left = bad.where(F.col("is_last") & F.col("next_batch").isNull())
+    return events, left.select(*RESULT, F.col("first_batch").cast("int").alias("first_before"), F.col("worst").cast("int").alias("worst_before"))
 
-    def close(self) -> None:
-        pass
 
+def follow(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Process what has arrived: events go to `out`/events, open problems to `out`/open, one folder an epoch."""
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{out}/open/epoch={epoch - 1}") if epoch else None
+        events, still_open = transitions(batch, before)
+        still_open.write.mode("overwrite").parquet(f"{out}/open/epoch={epoch}")
+        events.write.mode("overwrite").parquet(f"{out}/events/epoch={epoch}")
 
-def alert_input(results: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """What the state needs of each result: failing rows in full, other rows only to mark their
-    checkpoint as seen."""
-    bucket = F.pmod(F.hash("root", "segment"), F.lit(buckets))
-    bad = problems(results).withColumn("segment", F.coalesce("segment", F.lit(""))).withColumn("bucket", bucket)
-    seen = (results.select("pipeline", "checkpoint", "batch_no", "cp_order").distinct()
-            .withColumns({"bucket": F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))), "check_seq": F.lit(0), "root": F.lit(None).cast("string"), "segment": F.lit(""),
-                          "alert_id": F.lit(None).cast("string"), "alert_message": F.lit(None).cast("string"),
-                          "rank": F.lit(0)}))
-    return bad.select(*INPUT).unionByName(seen.select(*INPUT))
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
-def alert_stream(stream: DataFrame) -> DataFrame:
-    """Opened / changed / closed alert rows from a stream of `alert_input` rows. A micro-batch must
-    hold whole batches of a checkpoint; batches arrive in order."""
-    return stream.groupBy("pipeline", "checkpoint", "bucket").transformWithStateInPandas(
-        statefulProcessor=AlertState(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+def events(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/events").drop("epoch")
