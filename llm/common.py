@@ -23,6 +23,13 @@ def unkeyed(column: str = "id") -> Column:
     return F.when(F.col(column) != F.lit(NULL_ID), F.col(column))
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows with a column `h`: those whose hash of `key` falls into that share of the range, 2 * most at the very most.
+    One count, no sort, so what tasks send on does not grow with their number; all rows if there are fewer."""
+    share = min(1.0, most / max(1, rows.count()))
+    return rows.withColumn("h", F.xxhash64(key)).where(F.col("h") <= F.lit(min((1 << 63) - 1, int((1 << 64) * share) - (1 << 63)))).limit(2 * most)
+
+
 def fold(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; null ids count as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

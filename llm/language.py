@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams per language on a bounded sample of labelled rows (`TRAIN_ROWS`, the smallest ids by hash); every
+Training counts n-grams per language on a bounded sample of labelled rows (about `TRAIN_ROWS`, by the id's hash); every
 task folds its texts into one (language, bucket) table first, so what the driver adds up has languages x 2**BITS cells at
 most. The matrix of log probabilities is broadcast (2**BITS rows, one column a language). Scoring is a sparse product: a
 batch's n-grams, hashed in numpy, pick rows of the matrix, which are summed per document.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import fold
+from llm.common import bounded_sample, fold
 from llm.textbytes import mix, row_groups, text_bytes
 
 BITS, SIZES, TRAIN_ROWS, ALPHA, TEMPER = 15, (1, 2, 3), 20_000, 0.5, 32.0
@@ -95,12 +95,10 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = TRAIN_ROWS) -> DataFrame:
-    """At most `most` labelled rows of the learning folds, chosen by the id's hash."""
-    rows = docs.where((fold(docs[id_col], 4) != 2) & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    picked = rows.select(F.xxhash64(id_col).alias("h"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    # a threshold on the hash, not a sort of whole texts: only as many hashes as wanted are ranked
-    cut = picked.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return picked.where(F.col("h") <= F.lit(cut)) if cut is not None else picked.limit(0)
+    """About `most` labelled rows of the learning folds, chosen by the id's hash."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
+    rows = rows.where((fold(F.col("id"), 4) != 2) & F.col("lang").isNotNull())
+    return bounded_sample(rows, "id", most).where("text is not null").select("text", "lang")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

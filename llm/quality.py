@@ -1,7 +1,7 @@
 """Quality classifier: a sparse ensemble of rules over text statistics.
 
 1. Statistics of the whole text are Spark column expressions.
-2. Boosted trees of small depth are grown on a bounded sample of labelled rows (`TRAIN_ROWS`, smallest ids by hash; only the
+2. Boosted trees of small depth are grown on a bounded sample of labelled rows (about `TRAIN_ROWS`, by the id's hash; only the
    sample's dozen numbers a row reach the driver). Every path from a root to a node is a conjunctive rule.
 3. A lasso-penalised logistic regression over the rules keeps few of them; its penalty is chosen on a part of the sample.
 4. The kept rules are compiled into one Spark column: the score of any table is a projection, without shuffle or Python.
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import fold
+from llm.common import bounded_sample, fold
 
 TRAIN_ROWS, TREES, DEPTH, BINS, SHRINK = 12_000, 30, 3, 24, 0.4
 STATISTICS = ("chars", "words", "word_size", "distinct_words", "distinct_lines", "symbols", "pipes", "shouts", "capitals", "digits", "stops")
@@ -144,7 +144,7 @@ def compiled(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int):
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(fold(F.col("id"), 3) != 1)
-    first = known.withColumn("h", F.xxhash64("id")).orderBy("h").limit(most)  # `most` rows of three numbers: may be broadcast
+    first = bounded_sample(known, "id", most)  # 2 * most rows of three numbers at most: may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(first), "id")
     numbers = sorted(with_statistics(rows).drop("text").select("h", "label", *STATISTICS).collect())
     x = np.array([r[2:] for r in numbers], float).reshape(-1, len(STATISTICS))

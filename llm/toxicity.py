@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-cased words and their beginnings of 4, 5 and 6 bytes (so inflected forms share a term), as 64-bit hashes.
-Training looks at a bounded sample of labelled rows (`TRAIN_ROWS`, smallest ids by hash; copies and near-copies, told by
+Training looks at a bounded sample of labelled rows (about `TRAIN_ROWS`, by the id's hash; copies and near-copies, told by
 the least word hash, count once). The sample's terms are counted per class in Spark, the `TERMS` most telling ones are
 kept, and a second-order factorization machine learns a weight for each and a factor vector whose inner products weigh
 pairs: an insult next to a group's name can count for more than both alone. Model and sample have fixed bounds, so the fit
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import fold
+from llm.common import bounded_sample, fold
 from llm.decontaminate import WORD_BYTES, look_up
 from llm.textbytes import LOWER, RollingHash, mix, row_groups, text_bytes, word_spans
 
@@ -61,11 +61,10 @@ def _per_class(batches):
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """(label, text) of at most `most` rows of the learning folds, one of each group of near-copies."""
+    """(label, text) of about `most` rows of the learning folds, one of each group of near-copies."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(fold(F.col("id"), 5) != 0)
-    # `most` rows of three numbers: may be broadcast
-    first = known.select("label", "id", F.xxhash64("id").alias("h")).orderBy("h").limit(most)
+    first = bounded_sample(known, "id", most)  # 2 * most rows of three numbers at most: may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(first), "id")
     least = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
     return rows.withColumn("least", least).dropDuplicates(["label", "least"]).select("label", "text")
@@ -144,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                                  names=["label", "terms"])
 
     model = FactorizationMachine(len(vocabulary))
-    known = rows.mapInArrow(encode, "label int, terms array<long>").collect()  # at most TRAIN_ROWS rows of term numbers
+    known = rows.mapInArrow(encode, "label int, terms array<long>").collect()  # bounded by the sample
     y = np.array([r.label for r in known], float)
     x = np.zeros((len(known), len(vocabulary)), np.float32)
     for i, r in enumerate(known):
