@@ -12,7 +12,8 @@ Every `length`-byte string that also starts earlier in the corpus is found exact
    Each but the first is a repeat. The records' updates of step 2 are reused here: nothing finished is looked at again.
 
 Each step is one shuffle of fixed-size records; equal keys are read as a sorted stream, never held as a group. A batch
-settles its own repeats before the shuffle, as one range a run. The text is shuffled once, by id, for steps 3 and 4.
+settles its own repeats before the shuffle, as one range a run. The text is shuffled once, by id and compressed, for step 3 and
+the cut.
 
 Defined cases: null text has no bytes; texts under `length` bytes have no strings and lose nothing; rows that share an id
 pool their marks and never count as earlier than each other; a null id sorts before all others; an empty table gives an
@@ -24,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,27 @@ def batch_pointers(data: np.ndarray, offsets: np.ndarray, length: int, q: int):
     return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64) for k in range(4))
 
 
+def _pack(batches):
+    """Texts as zstd blocks: what the block codec of a shuffle leaves is a third more."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
+
+
+def unpacked(batch: pa.RecordBatch):
+    """Slices of a batch with the bytes and offsets of their texts, in runs of bounded size."""
+    expand, rows, texts, size = zstandard.ZstdDecompressor(), 0, [], 0
+    for x in batch.column("packed"):
+        texts.append(expand.decompress(x.as_py()))
+        size += len(texts[-1])
+        if size >= CHUNK:
+            yield batch.slice(rows, len(texts)), *text_bytes(pa.array(texts, pa.large_binary()))
+            rows, texts, size = rows + len(texts), [], 0
+    if texts:
+        yield batch.slice(rows, len(texts)), *text_bytes(pa.array(texts, pa.large_binary()))
+
+
 def by_id(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, bytes and offsets of a batch, rows in order of their ids."""
     ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -174,27 +197,17 @@ def _strings(length: int):
     """The strings of open records with their hashes; repeats within the batch come out as ranges."""
     def grams(batches):
         for batch in batches:
-            opened = batch.column("opened")
-            lists = opened.flatten()
-            n_open = np.diff(opened.offsets.to_numpy())
-            first = lists.field("start").to_numpy().astype(np.int64)
-            last = lists.field("stop").to_numpy().astype(np.int64)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            data, offsets = text_bytes(batch.column("text"))
-            bounds = np.r_[0, np.cumsum(n_open)]
-            H, P, O = [], [], []  # noqa: E741
-            for a, b in row_groups(offsets):
-                lo, hi = bounds[a], bounds[b]
-                owner = np.repeat(np.arange(a, b), n_open[a:b])
-                size = offsets[owner + 1] - offsets[owner]
-                f = np.minimum(first[lo:hi], size - length)
-                count = np.clip(np.minimum(last[lo:hi], size - length) - f + 1, 0, None) * (size >= length)
-                at = spread_out(f, count)
-                own = np.repeat(owner, count)
-                base = int(offsets[a])
-                whole = RollingHash(data[base:int(offsets[b])])
-                s = at + offsets[own] - base
-                H.append(whole.ranges(s, s + length))
+            H, P, O = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # noqa: E741
+            for part, data, offsets in unpacked(batch):
+                opened = part.column("opened")
+                lists, ids = opened.flatten(), part.column("id").to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(len(part)), np.asarray(pa.compute.list_value_length(opened)))
+                size = np.diff(offsets)[owner]
+                f = np.minimum(lists.field("start").to_numpy().astype(np.int64), size - length)
+                count = np.clip(np.minimum(lists.field("stop").to_numpy(), size - length) - f + 1, 0, None) * (size >= length)
+                at, own = spread_out(f, count), np.repeat(owner, count)
+                s = at + offsets[own]
+                H.append(RollingHash(data).ranges(s, s + length))
                 P.append(at)
                 O.append(ids[own])
             h, at, own = np.concatenate(H), np.concatenate(P), np.concatenate(O)
@@ -249,7 +262,7 @@ def repeat_ranges(texts: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[D
     spans = F.collect_list(F.when(F.col("open"), F.struct("start", "stop")))
     flags = found.groupBy("id").agg(spans.alias("opened"),
                                     F.collect_list(F.when(~F.col("open"), F.struct("start", "stop"))).alias("closed"))
-    by = texts.repartition("id")
+    by = texts.mapInArrow(_pack, "id long, packed binary").repartition("id")
     # both lists go along in both uses of `flags`, so that its exchange is one and is used twice
     opened = by.join(flags.where(F.size("opened") > 0), "id")
     strings = opened.mapInArrow(_strings(length), "key long, id long, place long")
@@ -264,9 +277,8 @@ def _cut(digest_only: bool):
 
     def cut(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for a, b in row_groups(offsets):
-                yield group(batch.slice(a, b - a), data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            for part, data, offsets in unpacked(batch):
+                yield group(part, data, offsets)
 
     def group(batch, data, offsets):
         n = len(batch)
