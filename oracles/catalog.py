@@ -138,6 +138,7 @@ _missing = [c.row("after_ingest", 1, s, n, t, "trace_id", c.NOSEG, f"'{st}'", "'
                   "(SELECT DISTINCT scenario, batch_no FROM scen)") for s, n, t, st in
             ((3, "schema:trace_id", "schema", "fail"), (4, "null_rate:trace_id", "nulls", "error"))]
 check("chk_schema", WEB_SCEN, [WEB_RESULTS[1], WEB_RESULTS[3], *_missing], "clean", "type_change_android", "unit_change_android")
+check("src_batch_contract", WEB_SCEN, WEB_RESULTS[:5], "clean")
 check("chk_null_rate", WEB_SCEN, [WEB_RESULTS[2], WEB_RESULTS[8]], "clean", "new_nullable_web")
 check("chk_range", WEB_SCEN, [c.in_range("scen", "after_ingest", 1, 1, "duration_ms", CV, 0.0, 200000.0, kind=KIND)],
       "clean", "type_change_android", "gradual_drift_ios")

@@ -67,6 +67,13 @@ def test_guard_modes(spark):
     assert guard.guard(r, "observe", ["batch_no"]).count() == 4
     kept = guard.guard(r, "enforce", ["batch_no"])
     assert kept.count() == 3 and kept.where("batch_no = 1 and checkpoint = 'b'").count() == 0
+    assert guard.guard(r, "enforce", ["batch_no"], blocking=("error",)).count() == 4
+    assert guard.guard(r, None, ["batch_no"]).count() == 3
+    spark.conf.set(guard.MODE_SETTING, "observe")
+    try:
+        assert guard.guard(r, None, ["batch_no"]).count() == 4
+    finally:
+        spark.conf.unset(guard.MODE_SETTING)
     stops = guard.blocked_at(r, ["batch_no"])
     data = spark.createDataFrame([(1, "x"), (2, "y")], "batch_no int, v string")
     assert [x.v for x in guard.passed_data(data, stops, ["batch_no"], 1).collect()] == ["y"]

@@ -5,19 +5,27 @@ data instead of an exception inside one batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators.checks import RESULT_FIELDS
-
 MODES = ("off", "observe", "enforce")
+MODE_SETTING = "spark.tidegauge.guard.mode"
+BLOCKING = ("fail",)  # statuses that stop a batch, unless the caller has another policy
+
+
+def configured_mode(spark: SparkSession) -> str:
+    """The mode that the session is configured with; a batch is stopped unless it says otherwise."""
+    mode = spark.conf.get(MODE_SETTING, "enforce")
+    if mode not in MODES:
+        raise ValueError(f"unknown guard mode {mode!r}")
+    return mode
 
 
 def blocked_at(results: DataFrame, keys: list[str], crashed: DataFrame | None = None,
-               enforce: bool = True) -> DataFrame:
-    """Per batch: the first checkpoint order with a FAIL (`blocked_order`, enforce only) and the
+               enforce: bool = True, blocking: tuple[str, ...] = BLOCKING) -> DataFrame:
+    """Per batch: the first checkpoint order with a blocking status (`blocked_order`, enforce only) and the
     stage order after which the batch crashed (`crash_order`). Batches without either have no row."""
-    block = F.min(F.when(F.col("status") == "fail", F.col("cp_order"))) if enforce else F.lit(None).cast("int")
+    block = F.min(F.when(F.col("status").isin(*blocking), F.col("cp_order"))) if enforce else F.lit(None).cast("int")
     out = results.groupBy(*keys).agg(block.alias("blocked_order"))
     if crashed is not None:
         out = out.join(crashed.select(*keys, "crash_order"), keys, "full")
@@ -33,14 +41,16 @@ def reachable_results(results: DataFrame, stops: DataFrame, keys: list[str]) ->
             .where(F.col("_last").isNull() | (F.col("cp_order") <= F.col("_last"))).drop("_last"))
 
 
-def guard(results: DataFrame | None, mode: str, keys: list[str],
-          crashed: DataFrame | None = None) -> DataFrame | None:
-    """Recorded results under a guard mode. `off` records nothing."""
+def guard(results: DataFrame | None, mode: str | None, keys: list[str], crashed: DataFrame | None = None,
+          blocking: tuple[str, ...] = BLOCKING) -> DataFrame | None:
+    """Recorded results under a guard mode (None: the session's). `off` records nothing."""
+    if mode is None and results is not None:
+        mode = configured_mode(results.sparkSession)
     if mode not in MODES:
         raise ValueError(f"unknown guard mode {mode!r}")
     if mode == "off" or results is None:
         return None
-    return reachable_results(results, blocked_at(results, keys, crashed, mode == "enforce"), keys)
+    return reachable_results(results, blocked_at(results, keys, crashed, mode == "enforce", blocking), keys)
 
 
 def passed_data(df: DataFrame, stops: DataFrame, keys: list[str], order: int) -> DataFrame:

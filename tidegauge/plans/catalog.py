@@ -128,6 +128,21 @@ def src_batch_stream(spark, d):
         F.sum("n_rows").alias("n_rows"), F.sum("null_users").alias("null_users"), F.sum("numbers").alias("numbers"))
 
 
+@query
+def src_batch_contract(spark, d):
+    """Arriving batches meet the contract of the first checkpoint; the results are read back from the results table."""
+    folder = jsonl.write_batches(raw := views.web_raw(spark, d), jsonl.web_documents(raw), scratch_path(spark, "contract-in"))
+    out, cp = scratch_path(spark, "contract-out"), contracts.WEB.only("schema", "nulls", "range", volume=True).at("after_ingest")
+
+    def judged(lines: DataFrame) -> DataFrame:
+        rows = jsonl.flatten_web(lines).withColumn("scenario", F.lit("clean"))
+        return checks.run_checkpoint(rows, "web_analytics", cp, 1, ev.RUN)
+
+    # whole batches only: all that has arrived is one micro-batch
+    batch_stream.check_on_arrival(batch_stream.stream_lines(spark, folder, files_per_trigger=1 << 30), judged, out, scratch_path(spark, "contract-cp"))
+    return _shape(spark.read.parquet(out).drop("epoch"))
+
+
 @query
 def sink_batch_jsonl(spark, d):
     """Lines and distinct keys per written batch file."""
