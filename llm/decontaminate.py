@@ -1,8 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton over words.
 
-The automaton of all normalised test items is built once from the benchmark, whose size is checked: items are dealt into
-groups of at most `group_chars` characters, one automaton a group, so what is broadcast has a fixed bound however large the
-benchmark grows. Documents stream through: at each word the automaton's state is the longest suffix of the text that occurs
+Items are dealt by hash into groups of about `group_chars` characters, one automaton a group, so what is broadcast and held by a
+task has a fixed bound however large the benchmark grows. One group, the usual case, is one pass without a shuffle; more groups
+are as many passes, whose hits are written down and joined to the texts by a 128-bit hash. Documents stream through: at each word the automaton's state is the longest suffix of the text that occurs
 in an item, and its length says whether a window ends here. Words outside the items' vocabulary reset the match, so only
 runs of known words that are long enough are walked; that skips nothing, as no window contains an unknown word.
 
@@ -16,16 +16,20 @@ pass through `decontaminate` untouched."""
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.textbytes import LOWER, RollingHash, row_groups, text_bytes, word_spans
+from tidegauge.session import staged
 
-WIDTH, MAX_COVERAGE, GROUP_CHARS = 10, 0.5, 1 << 23
+WIDTH, MAX_COVERAGE, GROUP_CHARS = 10, 0.5, 1 << 20
+HITS = "struct<starts:array<int>,stops:array<int>,names:array<string>>"
+KEYS, FOUND = ("__text_hash_1", "__text_hash_2"), "__benchmark_hits"
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[48:58] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True
 
@@ -118,23 +122,22 @@ class SuffixAutomaton:
 
 
 def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH,
-             group_chars: int = GROUP_CHARS) -> list[tuple[np.ndarray, SuffixAutomaton]]:
-    """One (sorted vocabulary, automaton) for each group of items."""
+             group_chars: int = GROUP_CHARS) -> Iterator[tuple[np.ndarray, SuffixAutomaton] | None]:
+    """First None if there are several groups; then one (sorted vocabulary, automaton) for each group of items in turn."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"),
                              F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = int(total // group_chars) + 1
     part = F.pmod(F.xxhash64("name", "text"), F.lit(groups))
-    out = []
+    if groups > 1:
+        yield None
     for k in range(groups):
         rows = items.where(part == k).collect()  # a group of bounded size
         data, offsets = text_bytes(pa.array([r.text for r in rows], pa.string()))
         _, _, hashes, first = words_of(data, offsets)
         if len(hashes):
             vocabulary, ids = np.unique(hashes, return_inverse=True)
-            out.append((vocabulary, SuffixAutomaton(
-                [(r.name, ids[first[i]:first[i + 1]].tolist()) for i, r in enumerate(rows)], width)))
-    return out
+            yield vocabulary, SuffixAutomaton([(r.name, ids[first[i]:first[i + 1]].tolist()) for i, r in enumerate(rows)], width)
 
 
 def _runs_of_known(ids: np.ndarray, row: np.ndarray, least: int):
@@ -159,8 +162,10 @@ def look_up(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def hits_in(texts: pa.Array, matchers):
-    """For each row in turn: its bytes, word starts, word ends, hit flags and the names of the items found."""
+def hits_in(texts: pa.Array, matcher, known: pa.Array | None = None):
+    """For each row in turn: its bytes, word starts, word ends, hit flags and the names of the items found; by a matcher, or as
+    `known` from earlier passes."""
+    before = known.to_pylist() if known is not None else None
     data, offsets = text_bytes(texts)
     for a, b in row_groups(offsets):
         part, own = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
@@ -168,7 +173,14 @@ def hits_in(texts: pa.Array, matchers):
         row = np.repeat(np.arange(b - a), np.diff(first))
         delta = np.zeros(len(hashes) + 1, np.int64)
         names: dict[int, set[str]] = {}
-        for vocabulary, automaton in matchers:
+        for i in range(a, b) if before else ():
+            if before[i]:
+                base = first[i - a]
+                np.add.at(delta, base + np.array(before[i]["starts"], np.int64), 1)
+                np.add.at(delta, base + np.array(before[i]["stops"], np.int64), -1)
+                names[i - a] = set(before[i]["names"])
+        if matcher is not None:
+            vocabulary, automaton = matcher
             ids = look_up(vocabulary, hashes)
             for start, stop in _runs_of_known(ids, row, automaton.least):
                 found = names.setdefault(int(row[start]), set())
@@ -196,17 +208,57 @@ def without(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, flags: np.nd
     return b"".join([*out, text[at:].tobytes()]).decode()
 
 
+def _text_key(text: Column) -> dict[str, Column]:
+    return dict(zip(KEYS, (F.xxhash64(text), F.xxhash64(F.lit("second"), text)), strict=True))
+
+
+def located(docs: DataFrame, text: Column, benchmark: DataFrame, width: int, group_chars: int):
+    """`docs` as they are and a broadcast matcher; or, for several groups, `docs` with a column of all passes' hits and None."""
+    found = automata(benchmark, width=width, group_chars=group_chars)
+    nothing = (np.zeros(0, np.uint64), SuffixAutomaton([], width))
+    first = next(found, nothing)
+    context, passes = docs.sparkSession.sparkContext, []
+    if first is not None:
+        return docs, context.broadcast(None if first is nothing else first)
+    texts = docs.select(F.coalesce(text, F.lit("")).alias("text")).withColumns(_text_key(F.col("text"))).dropDuplicates(list(KEYS))
+    for matcher in found:
+        shared = context.broadcast(matcher)
+
+        def spans(batches, shared=shared):
+            for batch in batches:
+                keep, rows = [], []
+                for i, (_, _, _, flags, names) in enumerate(hits_in(batch.column("text"), shared.value)):
+                    if names:
+                        edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
+                        keep.append(i)
+                        rows.append({"starts": np.flatnonzero(edge == 1).tolist(), "stops": np.flatnonzero(edge == -1).tolist(), "names": sorted(names)})
+                at = pa.array(keep, pa.int64())
+                kind = pa.struct([("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("names", pa.list_(pa.string()))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in KEYS), pa.array(rows, kind)], names=[*KEYS, FOUND])
+
+        passes.append(staged(texts.mapInArrow(spans, f"{KEYS[0]} long, {KEYS[1]} long, {FOUND} {HITS}"), "benchmark-hits"))
+        shared.unpersist()
+    if not passes:
+        return docs, context.broadcast(None)
+    every = passes[0]
+    for part in passes[1:]:
+        every = every.unionByName(part)
+    merged = every.groupBy(*KEYS).agg(F.struct(*[F.flatten(F.collect_list(f"{FOUND}.{k}")).alias(k) for k in ("starts", "stops", "names")]).alias(FOUND))
+    keyed = docs.withColumns(_text_key(F.coalesce(text, F.lit(""))))
+    return keyed.join(merged, list(KEYS), "left").select(*docs.columns, FOUND), None
+
+
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
            group_chars: int = GROUP_CHARS) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, kept_text and coverage."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(x) for x in automata(benchmark, width=width, group_chars=group_chars)]
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, kept_text (null if nothing is hit)."""
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain, shared = located(plain, F.col("text"), benchmark, width, group_chars)
 
     def judge(batches):
         for batch in batches:
             rows = []
-            matchers = [x.value for x in shared]
-            for text, starts, ends, flags, names in hits_in(batch.column("text"), matchers):
+            found = batch.column(FOUND) if shared is None else None
+            for text, starts, ends, flags, names in hits_in(batch.column("text"), shared and shared.value, found):
                 n = int(flags.sum())
                 rows.append((len(flags), n, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n > 0,
                              without(text, starts, ends, flags) if n else None))
@@ -216,7 +268,6 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
                     pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()), strict=True)],
                 names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "kept_text"])
 
-    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     out = plain.mapInArrow(judge, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, "
                                   "contaminated boolean, kept_text string")
@@ -227,23 +278,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   max_coverage: float = MAX_COVERAGE, group_chars: int = GROUP_CHARS) -> DataFrame:
     """The documents, all columns, without hit spans; those with more than `max_coverage` of their words hit are dropped.
     A column n_chars, if there, follows the new text."""
-    spark, names = docs.sparkSession, docs.columns
+    names = docs.columns
     at = names.index(text_col)
-    shared = [spark.sparkContext.broadcast(x) for x in automata(benchmark, width=width, group_chars=group_chars)]
+    rows, shared = located(docs, docs[text_col], benchmark, width, group_chars)
 
     def clean(batches):
         for batch in batches:
-            matchers = [x.value for x in shared]
+            found = batch.column(FOUND) if shared is None else None
             texts, keep = batch.column(at).to_pylist(), []
-            for i, (text, starts, ends, flags, _) in enumerate(hits_in(batch.column(at), matchers)):
+            for i, (text, starts, ends, flags, _) in enumerate(hits_in(batch.column(at), shared and shared.value, found)):
                 n = int(flags.sum())
                 keep.append(n <= max_coverage * len(flags))
                 if n and keep[-1]:
                     texts[i] = without(text, starts, ends, flags)
-            arrays = list(batch.columns)
+            arrays = list(batch.columns)[:len(names)]
             arrays[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema.set(at, pa.field(batch.schema.names[at], pa.string()))
-                                             ).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:len(names)]).filter(pa.array(keep, pa.bool_()))
 
-    out = docs.mapInArrow(clean, docs.schema)
+    out = rows.mapInArrow(clean, docs.schema)
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
