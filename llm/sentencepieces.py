@@ -61,19 +61,23 @@ class Pieces:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in order of their first `depth` codes, by prefix doubling."""
-    _, rank = np.unique(codes, return_inverse=True)
-    width = 1
+    """Starts of all suffixes in order of their first `depth` codes, by prefix doubling from keys of three codes."""
+    here = np.bincount(codes, minlength=EDGE + 1) > 0
+    rank = np.cumsum(here)[codes]  # from 1, so that the end is below all; three of them fit a key
+    key, width = np.zeros(len(rank), np.int64), 3
+    for k in range(width):
+        key <<= np.int64(21)
+        key[:len(rank) - k] += rank[k:]
     while True:
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[:-width or None] = rank[width:]
-        key = rank * np.int64(len(rank) + 1) + ahead + 1
-        order = np.argsort(key, kind="stable")
-        width *= 2
+        order = np.argsort(key)
         if width >= depth:
             return order
         rank = np.empty(len(codes), np.int64)
-        rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+        rank[order] = np.cumsum(np.r_[1, key[order][1:] != key[order][:-1]])
+        ahead = np.zeros(len(rank), np.int64)
+        ahead[:max(0, len(rank) - width)] = rank[width:]
+        key = rank * np.int64(len(rank) + 2) + ahead
+        width *= 2
 
 
 def occurrences(pieces: Pieces, codes: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,15 +105,14 @@ def occurrences(pieces: Pieces, codes: np.ndarray, suffixes: np.ndarray) -> tupl
 
 
 def lattice(pieces: Pieces, codes: np.ndarray) -> np.ndarray:
-    """Table (position, length) -> rank of the piece there, or NONE; edges are filled in order of position."""
+    """Table (position, length) -> rank of the piece there, or NONE. Writing each edge to its address sorts the edges by position."""
     suffixes = suffix_array(codes, pieces.longest)
     low, high = occurrences(pieces, codes, suffixes)
     count = high - low
     piece = np.repeat(np.arange(len(count)), count)
     place = suffixes[np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))]
-    order = np.argsort(place, kind="stable")
     table = np.full((len(codes) + 1, pieces.longest + 1), NONE, np.int32)
-    table[place[order], pieces.lengths[piece[order]]] = pieces.rank[piece[order]]
+    table[place, pieces.lengths[piece]] = pieces.rank[piece]
     return table
 
 
@@ -229,6 +232,14 @@ def _bytes(pieces: Pieces, code: int) -> list[int]:
     return [pieces.byte_ids[b] for b in raw] if pieces.byte_ids else [pieces.unknown]
 
 
+class Numbers(dict):
+    """Words in order of appearance, each with its number."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Encoder:
     """Encodes texts; keeps at most about KNOWN words with their ids from run to run."""
 
@@ -237,7 +248,7 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,8 +260,7 @@ class Encoder:
         ends = [0]
         for t in texts:
             if t:
-                for w in WORDS.findall(MARK + t.replace(" ", MARK)):
-                    used.append(number.setdefault(w, len(number)))
+                used.extend(map(number.__getitem__, WORDS.findall(MARK + t.replace(" ", MARK))))
             ends.append(len(used))
         new, count = encode_words(self.pieces, list(number)[old:])
         self.ids = np.concatenate([self.ids, new])
