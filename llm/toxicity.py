@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-cased words and their beginnings of 4, 5 and 6 bytes (so inflected forms share a term), as 64-bit hashes.
-Training looks at a bounded sample of labelled rows (about `TRAIN_ROWS`, by the id's hash; copies and near-copies, told by
-the least word hash, count once). The sample's terms are counted per class in Spark, the `TERMS` most telling ones are
+Training looks at a bounded sample of labelled rows (about `TRAIN_ROWS`, by the id's hash; texts of one class that differ
+in nothing but case and white space count once). The sample's terms are counted per class in Spark, the `TERMS` most telling ones are
 kept, and a second-order factorization machine learns a weight for each and a factor vector whose inner products weigh
 pairs: an insult next to a group's name can count for more than both alone. Model and sample have fixed bounds, so the fit
 runs on the driver; scoring needs no shuffle.
@@ -61,13 +61,13 @@ def _per_class(batches):
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """(label, text) of about `most` rows of the learning folds, one of each group of near-copies."""
+    """(label, text) of about `most` rows of the learning folds; of texts that are equal but for case and white space, one of each class."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(fold(F.col("id"), 5) != 0)
     first = bounded_sample(known, "id", most)  # 2 * most rows of three numbers at most: may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(first), "id")
-    least = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
-    return rows.withColumn("least", least).dropDuplicates(["label", "least"]).select("label", "text")
+    whole = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)
+    return rows.withColumn("whole", whole).dropDuplicates(["label", "whole"]).select("label", "text")
 
 
 def telling(rows: DataFrame, most: int) -> np.ndarray:

@@ -67,6 +67,18 @@ def test_pairs_count_for_more_than_their_terms():
     assert both[0] > 0.5 > max(both[1], both[2])
 
 
+def test_only_copies_leave_the_training_sample(spark):
+    """Texts that share words, any of them, all stay; copies up to case and white space count once a class."""
+    texts = [f"the same common words and then {w}" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight")]
+    rows = [(k, t, k % 2) for k, t in enumerate(texts)] + [(100 + k, "  " + t.upper().replace(" ", "\n "), k % 2) for k, t in enumerate(texts)]
+    rows += [(200, texts[0], 1)]
+    learn = [(t, y) for k, t, y in rows if fold(k, 5) != 0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.sample(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), "doc_id", "text", "toxic", 1000).collect()
+    key = lambda t, y: (" ".join(t.lower().split()), y)
+    assert sorted(key(r.text, r.label) for r in got) == sorted({key(t, y) for t, y in learn})
+
+
 def test_rules_are_few_and_compiled(spark):
     rng = np.random.default_rng(0)
     x = rng.random((600, len(quality.STATISTICS)))
