@@ -143,9 +143,11 @@ def _initial(length: int, q: int):
 
 def _refine(length: int):
     """Reads records sorted by bucket, identifier and place. Gives ranges of repeats, and open records (first and last
-    start). Holds one record back: the first of a bucket that has shown one identifier so far."""
+    start). Holds one record back: the first of a bucket that has shown one identifier so far. A record at the very place
+    of its identifier's first one comes from a repeated row, which is no earlier copy: it is neither a repeat nor open again."""
     def stream(batches):
         last_m = last_c = None
+        own0 = at0 = 0
         held = None
         for batch in batches:
             head = batch.column("head").to_numpy().view(np.uint64)
@@ -161,7 +163,9 @@ def _refine(length: int):
                 pm, pc = (m[:1] + np.uint64(1), (c_hi[:1], c_lo[:1])) if last_m is None else (last_m, last_c)
                 new_m = np.r_[pm, m[:-1]] != m
                 new_c = new_m | (np.r_[pc[0], c_hi[:-1]] != c_hi) | (np.r_[pc[1], c_lo[:-1]] != c_lo)
-                again = ~new_c
+                where = np.maximum.accumulate(np.where(new_c, np.arange(len(head)), -1))
+                own1, at1 = np.where(where < 0, own0, ids[where]), np.where(where < 0, at0, start[where])
+                again = (ids > own1) | ((ids == own1) & (start > at1))
                 out.append((ids[again], start[again], end[again] + length, False))
                 first = np.flatnonzero(new_c)
                 group = np.cumsum(new_m)[first]  # group 0 goes on from the batch before
@@ -180,6 +184,7 @@ def _refine(length: int):
                 f = first[is_open]
                 out.append((ids[f], start[f], end[f], True))
                 last_m, last_c = m[-1:], (c_hi[-1:], c_lo[-1:])
+                own0, at0 = own1[-1], at1[-1]
             cat = [np.concatenate([x[k] for x in out]) for k in range(3)]
             flag = np.concatenate([np.full(len(x[0]), x[3]) for x in out])
             yield pa.RecordBatch.from_arrays([pa.array(cat[0]), pa.array(cat[1].astype(np.int32)), pa.array(cat[2].astype(np.int32)),

@@ -44,6 +44,23 @@ def test_repeats_of_other_lengths(spark, length, q):
     assert by_id(suffix_dedup.remove_repeats(df, length=length, q=q, digest=True)) == brute.repeats(texts, length)
 
 
+def test_repeated_rows_are_not_earlier_than_each_other(spark):
+    """Two and three rows of one id and text: what nothing earlier has stays in each, wherever batches and partitions end."""
+    line = lambda k: " ".join(f"{k}w{i * i % 997}" for i in range(120))
+    rows = [(1, line(1))] * 2 + [(2, line(2) + line(2)[:150])] * 3 + [(3, line(3))] + [(4, "x" + line(3))] * 2 + [(5, line(1)[:300] + line(5))] * 2
+    want = {(k, *v) for k, v in brute.repeats(dict(rows).items()).items()}
+    assert {w[2] for w in want if w[0] in (1, 3)} == {0}
+    for parts, size in ((1, "10000"), (5, "10000"), (1, "1"), (5, "3")):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+            got = suffix_dedup.remove_repeats(df, digest=True).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
 def test_kept_text_without_repeats(spark):
     line = "".join(chr(97 + i * i % 26) for i in range(150))
     df = spark.createDataFrame([(1, "a" + line), (2, line + "b")], "doc_id long, text string")
