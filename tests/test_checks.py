@@ -161,6 +161,33 @@ def test_segment_volume(spark):
     assert lost[0].message == "no segment column to count by"
 
 
+def test_silent_batches_fail(spark):
+    """Batches that send nothing have no row to group: derived from the numbers around them, or given as a list."""
+    learn = volumes(spark, {(b, v): n for b in (1, 2, 3) for v, n in (("v1", 70), ("v2", 40))})
+    base = baseline.Baselines(volume=baseline.segment_volume(learn, [1, 2, 3], "cp", "seg"))
+    point = Checkpoint("cp", "seg", min_rows=5, check_segment_volume=True)
+    df = volumes(spark, {(4, "v1"): 70, (4, "v2"): 40, (7, "v1"): 70, (7, "v2"): 40})
+    result = lambda out: {(r.batch_no, r.check, r.segment): (r.status, r.rows, r.message) for r in out.collect()}
+    got = result(checks.run_checkpoint(df, "p", point, 1, KEYS, base))
+    assert len(got) == 4 * 3
+    for b in (5, 6):
+        assert got[b, "volume", None] == ("fail", 0, "0 rows, expected between 5 and None")
+        assert got[b, "segment_volume", "v1"] == ("fail", 0, "'v1' silent this batch")
+    assert {v[0] for k, v in got.items() if k[0] in (4, 7)} == {"pass"}
+    given = result(checks.run_checkpoint(df, "p", point, 1, KEYS, base, spark.createDataFrame([(4,), (9,)], "batch_no int")))
+    assert {k[0] for k, v in given.items() if v[0] == "fail"} == {9} and {k[0] for k in given} == {4, 7, 9}
+    none = result(checks.run_checkpoint(df.limit(0), "p", point, 1, KEYS, base, spark.createDataFrame([(4,)], "batch_no int")))
+    assert {v[0] for v in none.values()} == {"fail"} and len(none) == 3
+    # a stage that loses the last batch, and a scenario that lacks a batch which another has
+    both = {"cp": df.where("batch_no = 4"), "in": df}
+    plan = Contract("p", (Checkpoint("in", "seg", min_rows=5), Checkpoint("cp", "seg", min_rows=5)))
+    lost = checks.run_contract(both, plan, {"in": 1, "cp": 2}, KEYS).where("checkpoint = 'cp' and status = 'fail'").collect()
+    assert sorted(r.batch_no for r in lost) == [5, 6, 7]
+    runs = df.withColumn("scenario", F.lit("a")).union(df.where("batch_no = 4").withColumn("scenario", F.lit("b")))
+    out = checks.run_checkpoint(runs, "p", point, 1, ["scenario", "batch_no"], base).where("check = 'volume' and status = 'fail'").collect()
+    assert sorted((r.scenario, r.batch_no) for r in out) == [("a", 5), ("a", 6), ("b", 5), ("b", 6), ("b", 7)]
+
+
 def test_segment_volume_baseline_counts_silence_only_after_first_seen(spark):
     out = baseline.segment_volume(volumes(spark, {(1, "a"): 10, (2, "b"): 5}), [1, 2], "cp", "seg").collect()
     assert {r.segment: list(r.batch_counts) for r in out} == {"a": [10, 0], "b": [5]}

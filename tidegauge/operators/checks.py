@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 from pyspark.sql.window import Window
 
 from tidegauge.functions import scalars as S
@@ -399,10 +399,32 @@ class _Compiler:
                 .where(F.col("r").isNotNull()).select(*self.keys, "r.*"))
 
 
-def segment_volume(df: DataFrame, cp: Checkpoint, keys: list[str], base: Baselines | None, seq: int) -> DataFrame:
-    """One measured row per batch and segment the baseline knows, present or not. The pairing is an
+def expected_batches(frames: list[DataFrame], keys: list[str], expected: DataFrame | None = None) -> DataFrame:
+    """Keys of every batch that has rows in `frames` or should have: those of the list `expected`, or else every number
+    between the least and the greatest `batch_no` of all rows, for every value of the other keys. Batches that are not
+    numbered are known only by a list."""
+    seen = reduce(DataFrame.union, [f.select(*keys).distinct() for f in frames]).distinct()
+    if expected is None:
+        if "batch_no" not in keys or not isinstance(seen.schema["batch_no"].dataType, IntegralType):
+            return seen
+        numbers = seen.agg(F.sequence(F.min("batch_no"), F.max("batch_no")).alias("n")).select(F.explode("n").alias("batch_no"))
+        others = [k for k in keys if k != "batch_no"]
+        expected = seen.select(*others).distinct().crossJoin(numbers) if others else numbers
+    return expected.select(*keys).union(seen).distinct()
+
+
+def silent_volume(df: DataFrame, cp: Checkpoint, keys: list[str], batches: DataFrame, seq: int) -> DataFrame:
+    """The volume check of the batches without a row in `df`: they are in no aggregate over it."""
+    lo, hi = cp.min_rows, cp.max_rows
+    row = _measure(check_seq=seq, kind="count", check="volume", check_type="volume", rows=0, metric=0, threshold=lo,
+                   ok=(lo is None or lo <= 0) and (hi is None or hi >= 0), extra=f" rows, expected between {lo} and {hi}")
+    return batches.subtract(df.select(*keys)).select(*keys, row.alias("r")).select(*keys, "r.*")
+
+
+def segment_volume(df: DataFrame, cp: Checkpoint, keys: list[str], base: Baselines | None, seq: int,
+                   batches: DataFrame) -> DataFrame:
+    """One measured row per expected batch and segment the baseline knows, present or not. The pairing is an
     equi-join on a hash bucket of the segment, so both sides stay partitioned."""
-    batches = df.select(*keys).distinct()
     common = dict(check_seq=seq, kind="segment_volume", check="segment_volume", check_type="volume")
     known = (base.volume.where(F.col("checkpoint") == cp.name) if base and base.volume is not None else None)
     row = None
@@ -426,14 +448,16 @@ def segment_volume(df: DataFrame, cp: Checkpoint, keys: list[str], base: Baselin
 
 
 def run_checkpoint(df: DataFrame, pipeline: str, cp: Checkpoint, order: int, keys: list[str],
-                   base: Baselines | None = None) -> DataFrame | None:
-    """All results of one checkpoint over every batch in `df` (None when nothing is checked)."""
+                   base: Baselines | None = None, expected: DataFrame | None = None) -> DataFrame | None:
+    """All results of one checkpoint over every batch in `df` (None when nothing is checked). The volume checks also judge
+    batches without rows, see `expected_batches`."""
     c = _Compiler(df, cp, keys, base)
     parts = []
     if cp.min_rows is not None or cp.max_rows is not None:
         c.volume()
+        parts.append(silent_volume(df, cp, keys, expected_batches([df], keys, expected), c.seq))
     if cp.check_segment_volume:
-        parts.append(segment_volume(df, cp, keys, base, c.next()))
+        parts.append(segment_volume(df, cp, keys, base, c.next(), expected_batches([df], keys, expected)))
     for field, specs in cp.fields:
         for spec in specs:
             try:
@@ -451,10 +475,12 @@ def run_checkpoint(df: DataFrame, pipeline: str, cp: Checkpoint, order: int, key
 
 
 def run_contract(frames: dict[str, DataFrame], contract: Contract, orders: dict[str, int], keys: list[str],
-                 base: Baselines | None = None) -> DataFrame | None:
+                 base: Baselines | None = None, expected: DataFrame | None = None) -> DataFrame | None:
     """Results of a whole contract; `frames` maps checkpoint names to stage outputs and `orders`
-    gives each checkpoint its place in the pipeline."""
-    parts = [run_checkpoint(frames[cp.name], contract.pipeline, cp, orders[cp.name], keys, base)
+    gives each checkpoint its place in the pipeline. A batch that any stage still has is expected at all of them."""
+    used = [frames[cp.name] for cp in contract.checkpoints]
+    expected = expected_batches(used, keys, expected) if used else None
+    parts = [run_checkpoint(frames[cp.name], contract.pipeline, cp, orders[cp.name], keys, base, expected)
              for cp in contract.checkpoints]
     parts = [p for p in parts if p is not None]
     return reduce(DataFrame.unionByName, parts) if parts else None
