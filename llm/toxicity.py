@@ -2,10 +2,12 @@
 
 Terms are lower-cased words and their beginnings of 4, 5 and 6 bytes (so inflected forms share a term), as 64-bit hashes.
 Training looks at a bounded sample of labelled rows (about `TRAIN_ROWS`, by the id's hash; texts of one class that differ
-in nothing but case and white space count once). The sample's terms are counted per class in Spark, the `TERMS` most telling ones are
-kept, and a second-order factorization machine learns a weight for each and a factor vector whose inner products weigh
-pairs: an insult next to a group's name can count for more than both alone. Model and sample have fixed bounds, so the fit
-runs on the driver; scoring needs no shuffle.
+in nothing but case and white space count once). Every term
+falls into one of `BUCKETS` buckets by its hash, none is left out beforehand, and a second-order factorization machine learns
+a factor vector for each bucket whose inner products weigh pairs: a group's name that is neutral alone can count next to an
+insult. Pairs weigh by one over the row's number of terms, so that a long text does not drown in them. Own weights are learned
+first, for terms whose presence alone departs from independence of the class by `SURPRISE` deviations (in three texts or more);
+the others have none, but have factors. Model and sample have fixed bounds, so the fit runs on the driver; scoring needs no shuffle.
 
 Defined cases: null or empty text scores as a text without terms; without labels of both classes every score is the base
 rate (0 if there is none); rows are scored one by one; other columns are not read."""
@@ -18,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import bounded_sample, fold
-from llm.decontaminate import WORD_BYTES, look_up
+from llm.decontaminate import WORD_BYTES
 from llm.textbytes import LOWER, RollingHash, mix, row_groups, text_bytes, word_spans
 
-TRAIN_ROWS, TERMS, RANK, BEGINNINGS = 12_000, 512, 4, (4, 5, 6)
-STEPS, RATE, PENALTY, SURPRISE = 300, 0.05, 0.6, 4.5
+TRAIN_ROWS, BUCKETS, RANK, BEGINNINGS = 12_000, 1 << 18, 4, (4, 5, 6)
+ALONE_STEPS, STEPS, RATE, PENALTY, SURPRISE = 150, 50, 0.05, 0.6, 4.5
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,20 +48,6 @@ def _groups(batch):
         yield batch.slice(a, b - a), data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
 
 
-def _per_class(batches):
-    """How many of a run's texts of either class have each term."""
-    for batch in batches:
-        for rows, data, offsets in _groups(batch):
-            label = rows.column("label").to_numpy()
-            h, row = terms(data, offsets)
-            pairs = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-            term, at = np.unique(pairs[0], return_inverse=True)
-            bad = label[pairs[1].astype(np.int64)] == 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(term.view(np.int64)), pa.array(np.bincount(at, bad, len(term)).astype(np.int64)),
-                 pa.array(np.bincount(at, ~bad, len(term)).astype(np.int64))], names=["term", "bad", "good"])
-
-
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
     """(label, text) of about `most` rows of the learning folds; of texts that are equal but for case and white space, one of each class."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
@@ -70,85 +58,116 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return rows.withColumn("whole", whole).dropDuplicates(["label", "whole"]).select("label", "text")
 
 
-def telling(rows: DataFrame, most: int) -> np.ndarray:
-    """The terms whose presence departs most from independence of the class (`SURPRISE` deviations or more, three texts or more), in order."""
-    n = rows.agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")).first()
-    if not n.bad or not n.good:
-        return np.zeros(0, np.uint64)
-    counts = rows.mapInArrow(_per_class, "term long, bad long, good long").groupBy("term").agg(
-        F.sum("bad").alias("b"), F.sum("good").alias("g")).where("b + g >= 3")
-    rate = n.bad / (n.bad + n.good)
-    surprise = (F.abs(F.col("b") - (F.col("b") + F.col("g")) * rate) - 0.5) / F.sqrt((F.col("b") + F.col("g")) * rate * (1 - rate))
-    top = counts.select("term", surprise.alias("s")).where(F.col("s") >= SURPRISE).orderBy(F.desc("s"), "term").limit(most).collect()
-    return np.sort(np.array([r.term for r in top], np.int64).view(np.uint64))
-
-
-def _present(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, vocabulary number) pairs, in order."""
-    if not len(vocabulary):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _present(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bucket) pairs, in order."""
     h, row = terms(data, offsets)
-    found = look_up(vocabulary, h)
-    pairs = np.unique(row[found >= 0] * len(vocabulary) + found[found >= 0])
-    return pairs // len(vocabulary), pairs % len(vocabulary)
+    pairs = np.unique(row.astype(np.int64) * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
+    return pairs // BUCKETS, pairs % BUCKETS
 
 
 class FactorizationMachine:
-    """w0 + sum of w_i + sum over pairs of <v_i, v_j>, for the terms present."""
+    """w0 + sum of w_i + sum over pairs of <v_i, v_j> / number of terms, for the terms present."""
 
     def __init__(self, size: int, rank: int = RANK, seed: int = 3):
-        self.bias, self.weights = 0.0, np.zeros(size)
-        self.factors = np.random.default_rng(seed).normal(0, 0.05, (size, rank))
+        self.bias, self.weights, self.seed = 0.0, np.zeros(size, np.float32), seed
+        self.factors = np.zeros((rank, size), np.float32)  # of a term that no text has shown: nothing
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> FactorizationMachine:
-        """Adam on the weighted logistic loss over a dense 0/1 matrix (bounded by TRAIN_ROWS x TERMS)."""
-        share = np.clip(y.mean(), 1e-6, 1 - 1e-6) if len(y) else 1e-6
+        """The same from a 0/1 matrix."""
+        return self.fit_pairs(*np.nonzero(x), y, steps, rate, penalty)
+
+    def fit_pairs(self, row: np.ndarray, term: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = RATE,
+                  penalty: float = PENALTY) -> FactorizationMachine:
+        """Adam on the weighted logistic loss over distinct (row, term) pairs in order of rows: `ALONE_STEPS` for the weights,
+        then `steps` for all."""
+        n, share = len(y), np.clip(y.mean(), 1e-6, 1 - 1e-6) if len(y) else 1e-6
         self.bias = float(np.log(share / (1 - share)))
+        if not len(row) or y.min() == y.max():
+            return self
+        seen = np.bincount(term, minlength=len(self.weights))
+        used = np.flatnonzero(seen)
+        seen, size = seen[used], len(used)
+        number = np.zeros(len(self.weights), np.int32)
+        number[used] = np.arange(size)
+        term, row = number[term], row.astype(np.int32)
+        by_term = row[np.argsort(term, kind="stable")]
+        term_at, row_at = np.r_[0, np.cumsum(seen)[:-1]], np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        filled, many = row[row_at], np.maximum(1, np.bincount(row, minlength=n)).astype(np.float32)
+
+        def of_rows(values):
+            out = np.zeros(n, np.float32)
+            out[filled] = np.add.reduceat(values[term], row_at)
+            return out
+
+        def of_terms(values):
+            return np.add.reduceat(values[by_term], term_at)
+
         # the rarer class counts for more, by the root of the classes' ratio
         heavy = np.where(y == 1, np.sqrt((1 - share) / share), 1.0)
-        heavy /= heavy.sum() or 1
-        state, penalty = {}, penalty / max(1, len(y))
-        for t in range(1, steps + 1):
-            sums = x @ self.factors
-            z = self.bias + x @ self.weights + 0.5 * ((sums ** 2).sum(1) - x @ (self.factors ** 2).sum(1))
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * heavy
-            of_terms = x.T @ error
-            moves = {"bias": error.sum(), "weights": of_terms + penalty * self.weights,
-                     "factors": x.T @ (error[:, None] * sums) - of_terms[:, None] * self.factors + 10 * penalty * self.factors}
-            for name, g in moves.items():
-                m, v = state.get(name, (0.0, 0.0))
-                state[name] = m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                setattr(self, name, getattr(self, name) - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8))
+        heavy /= heavy.sum()
+        far = np.abs(of_terms((y - share).astype(np.float32))) - 0.5
+        alone = (far >= SURPRISE * np.sqrt(seen * share * (1 - share))) & (seen >= 3)
+        own = alone[term]
+        own_row, own_term = row[own], term[own]
+        # a factor grows where its pairs outweigh several texts' errors: less would learn single texts by heart
+        tight = np.float32(penalty * 25 / 3 * np.mean(np.abs(share - y) * heavy))
+        w, v = np.zeros(size, np.float32), np.random.default_rng(self.seed).normal(0, 0.02, self.factors[:, used].shape).astype(np.float32)
+        state = {}
+
+        def step(name, t, g):
+            m, q = state.get(name, (0.0, 0.0))
+            state[name] = m, q = 0.9 * m + 0.1 * g, 0.999 * q + 0.001 * g * g
+            return rate * (m / (1 - 0.9 ** t)) / (np.sqrt(q / (1 - 0.999 ** t)) + 1e-8)
+
+        for t in range(1, ALONE_STEPS + steps + 1):
+            paired = t > ALONE_STEPS
+            sums = [of_rows(f) for f in v] if paired else []
+            z = self.bias + np.bincount(own_row, w[own_term], n)
+            for f, s in zip(v, sums):
+                z += 0.5 * (s * s - of_rows(f * f)) / many
+            error = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * heavy).astype(np.float32)
+            self.bias -= step("bias", t, float(error.sum()))
+            w = w - step("w", t, np.bincount(own_term, error[own_row], size).astype(np.float32) + np.float32(penalty / n) * w)
+            if paired:
+                each = error / many
+                total = of_terms(each)
+                for k, s in enumerate(sums):
+                    v[k] -= step(k, t - ALONE_STEPS, of_terms(each * s) + (tight - total) * v[k])
+        self.weights[used], self.factors[:, used] = w, v
         return self
 
     def scores(self, row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
         z = np.full(rows, self.bias) + np.bincount(row, self.weights[term], rows)
-        for f in self.factors.T:
-            z += 0.5 * (np.bincount(row, f[term], rows) ** 2 - np.bincount(row, f[term] ** 2, rows))
+        many = np.maximum(1, np.bincount(row, minlength=rows))
+        for f in self.factors:
+            z += 0.5 * (np.bincount(row, f[term], rows) ** 2 - np.bincount(row, f[term] ** 2, rows)) / many
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          most: int = TRAIN_ROWS) -> tuple[np.ndarray, FactorizationMachine]:
-    from tidegauge.session import staged
-    rows = staged(sample(docs, labels, id_col, text_col, label_col, most), "toxicity-sample")
-    vocabulary = telling(rows, TERMS)
+def _encode(batches):
+    for batch in batches:
+        for part, data, offsets in _groups(batch):
+            row, term = _present(data, offsets)
+            counts = np.r_[0, np.cumsum(np.bincount(row, minlength=len(part)))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays(pa.array(counts), pa.array(term.astype(np.int32)))],
+                                             names=["label", "terms"])
 
-    def encode(batches):
-        for batch in batches:
-            for part, data, offsets in _groups(batch):
-                row, term = _present(vocabulary, data, offsets)
-                counts = np.r_[0, np.cumsum(np.bincount(row, minlength=len(part)))].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays(pa.array(counts), pa.array(term))],
-                                                 names=["label", "terms"])
 
-    model = FactorizationMachine(len(vocabulary))
-    known = rows.mapInArrow(encode, "label int, terms array<long>").collect()  # bounded by the sample
-    y = np.array([r.label for r in known], float)
-    x = np.zeros((len(known), len(vocabulary)), np.float32)
-    for i, r in enumerate(known):
-        x[i, r.terms] = 1
-    return vocabulary, model.fit(x, y) if len(vocabulary) else model.fit(x, y, steps=0)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+          most: int = TRAIN_ROWS) -> FactorizationMachine:
+    rows = sample(docs, labels, id_col, text_col, label_col, most)
+    known = rows.mapInArrow(_encode, "label int, terms array<int>").toArrow()  # bounded by the sample
+    lists = known.column("terms").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    y = known.column("label").to_numpy().astype(float)
+    count, term = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64), lists.flatten().to_numpy()
+    # rows come in any order, sums of floats depend on it: by the sum of their terms' hashes, the same each time
+    before = np.r_[np.uint64(0), np.cumsum(mix(term.astype(np.uint64)))]
+    end = np.cumsum(count)
+    order = np.lexsort((before[end] - before[end - count], y))
+    term = lists.take(pa.array(order)).flatten().to_numpy()
+    return FactorizationMachine(BUCKETS).fit_pairs(np.repeat(np.arange(len(y), dtype=np.int32), count[order]), term, y[order])
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -156,9 +175,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
 
     def judge(batches):
-        vocabulary, model = shared.value
+        model = shared.value
         for batch in batches:
-            p = [model.scores(*_present(vocabulary, data, offsets), len(part)) for part, data, offsets in _groups(batch)]
+            p = [model.scores(*_present(data, offsets), len(part)) for part, data, offsets in _groups(batch)]
             p = np.concatenate(p) if p else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(p),
                                               pa.array((p >= 0.5).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
@@ -174,11 +193,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def keep(batches):
-        vocabulary, model = shared.value
+        model = shared.value
         for batch in batches:
             data, offsets = text_bytes(batch.column(at))
             for a, b in row_groups(offsets):
-                row, term = _present(vocabulary, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                row, term = _present(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 yield batch.slice(a, b - a).filter(pa.array(model.scores(row, term, b - a) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -67,6 +67,20 @@ def test_pairs_count_for_more_than_their_terms():
     assert both[0] > 0.5 > max(both[1], both[2])
 
 
+def test_a_pair_of_terms_that_are_neutral_alone_is_learned(spark):
+    """From texts to scores: each of four words is as frequent in clean as in toxic texts, two of their pairs are toxic."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(800):
+        a, b = k % 2, k // 2 % 2
+        words = [f"grp{a}", f"slr{b}", *(f"w{i}" for i in rng.integers(0, 300, 20))]
+        rows.append((k, " ".join(rng.permutation(words)), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    of = {k: y for k, _, y in rows}
+    held = toxicity.score(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).where("held_out").collect()
+    assert len(held) > 100 and np.mean([r.predicted == of[r.doc_id] for r in held]) > 0.95
+
+
 def test_only_copies_leave_the_training_sample(spark):
     """Texts that share words, any of them, all stay; copies up to case and white space count once a class."""
     texts = [f"the same common words and then {w}" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight")]
