@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.chat import CHAT_SQL, op12_chat
 from llm.common import docs_of
+from llm.merkle import op13_merkle
+from llm.negatives import op11_hard_negatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +78,9 @@ def op4_simhash(spark, folder):
 def op6_sentencepiece(spark, folder):
     from llm.sentencepieces import encode
     return encode(docs_of(spark, folder)).drop("ids")
+
+
+query(op11_hard_negatives)
+query(op12_chat)
+query(op13_merkle)
+ORACLES["op12_chat"] = CHAT_SQL
