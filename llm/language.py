@@ -95,10 +95,10 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = TRAIN_ROWS) -> DataFrame:
-    """About `most` labelled rows of the learning folds, chosen by the id's hash."""
+    """About `most` labelled rows of the learning folds, chosen by the hash of id and text; of equal rows one."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.where((fold(F.col("id"), 4) != 2) & F.col("lang").isNotNull())
-    return bounded_sample(rows, "id", most).where("text is not null").select("text", "lang")
+    return bounded_sample(rows.where("text is not null"), ["id", "text"], most).dropDuplicates(["id", "text", "lang"]).select("text", "lang")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

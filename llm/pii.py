@@ -38,10 +38,10 @@ PATTERNS = {
 }
 #: Generators of further candidates.
 EXTRA = {
-    "written_email": r"(?i)(?<![a-z0-9._+\-])[a-z0-9._+\-]{1,64}+ ?[\[(]?(?:at|@)[\])]? ?[a-z0-9\-]{1,63}+ ?[\[(](?:dot|\.)[\])] ?[a-z]{2,12}+",
+    "written_email": r"(?i)(?<![a-z0-9._+\-])[a-z0-9._+\-]++ ?[\[(]?(?:at|@)[\])]? ?[a-z0-9\-]++ ?[\[(](?:dot|\.)[\])] ?[a-z]{2,12}+",
     "number": r"(?<![0-9.+\-])\(?[0-9]{2,5}+[)]?(?:[ .\-]\(?[0-9]{2,5}+[)]?){2,4}(?![0-9])",
-    "secret": r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?[a-z0-9+/_\-]{8,256}+",
-    "mixed": r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,40}[0-9])(?=[0-9]{0,40}[A-Za-z])[A-Za-z0-9]{16,128}+(?![A-Za-z0-9])",
+    "secret": r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?[a-z0-9+/_\-]{8,}+",
+    "mixed": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+",
 }
 ROUNDS, DEPTH, RATE, PRECISION, TRAIN_ROWS = 30, 2, 0.3, 0.9, 20_000
 #: Bins of each feature: cut points, closed on the left.
@@ -198,7 +198,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # hashing needs a plain column: `id` may be a whole row
     taught = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col if key_col is None else key_col).alias("key"))
-    rows = _table(candidates(bounded_sample(taught, "key", train_rows).withColumn("id", F.lit(0)))).collect()  # at most CELLS rows a generator
+    rows = _table(candidates(bounded_sample(taught, ["key", "text"], train_rows).withColumn("id", F.lit(0)))).collect()  # at most CELLS rows a generator
     rows = sorted(rows)
     x = np.array([r[1:-2] for r in rows], float).reshape(-1, len(FEATURES))
     bias, trees, threshold = boost(x, np.array([r.pos for r in rows], float), np.array([r.neg for r in rows], float))

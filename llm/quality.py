@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import bounded_sample, fold
+from llm.common import bounded_sample, fold, one_each
 
 TRAIN_ROWS, TREES, DEPTH, BINS, SHRINK = 12_000, 30, 3, 24, 0.4
 STATISTICS = ("chars", "words", "word_size", "distinct_words", "distinct_lines", "symbols", "pipes", "shouts", "capitals", "digits", "stops")
@@ -144,8 +144,9 @@ def compiled(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int):
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(fold(F.col("id"), 3) != 1)
-    first = bounded_sample(known, "id", most)  # 2 * most rows of three numbers at most: may be broadcast
+    first = bounded_sample(known, "id", most)  # about `most` rows of three numbers: may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(first), "id")
+    rows = one_each(rows)
     numbers = sorted(with_statistics(rows).drop("text").select("h", "label", *STATISTICS).collect())
     x = np.array([r[2:] for r in numbers], float).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r.label for r in numbers], float))

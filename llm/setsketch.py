@@ -5,7 +5,8 @@ floor(1 - log_b(min over the set of h_i)), h_i exponential: two sketches merge b
 a probability that follows the Jaccard similarity.
 
 1. One pass over the texts gives the set's size, a 128-bit digest and the band keys (`rows_for` registers each). Documents of
-   equal sets form a class, represented by its smallest id; from here on only representatives count.
+   equal sets form a class, known by its smallest id and its digest (`UNIT`: ids may be shared by unlike texts); from here on only
+   classes count, and ids come back last.
 2. Representatives that share a band key are neighbours. Only those get a full sketch and their set written down.
 3. Candidates are judged by the joint likelihood of their registers given both set sizes, then confirmed on the full sets.
    Nothing is linked without that.
@@ -19,8 +20,8 @@ With 42 bands of six registers, two sets at a similarity of 0.85 share none with
 the likelihood cut-off is 4.4 standard deviations below the threshold.
 
 Defined cases: null or empty texts and texts without words have an empty set and are linked with nothing; texts of fewer
-words than a shingle have one shingle; rows that share an id are linked; a null id is smaller than all others and yields a
-null component; an empty table gives an empty result; other columns are not read."""
+words than a shingle have one shingle; rows that share an id are documents of their own, linked only if their sets are; a null id is
+smaller than all others and yields a null component; an empty table gives an empty result; other columns are not read."""
 
 from __future__ import annotations
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import keyed, unkeyed
+from llm.common import NULL_ID, keyed, unkeyed
 from llm.textbytes import LOWER, RollingHash, mix, row_groups, sentence_hashes, text_bytes, word_spans
 from tidegauge.session import staged
 
@@ -42,6 +43,9 @@ NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 _rng = np.random.default_rng(20240901)
 _MULT = _rng.integers(0, 1 << 32, (2, REGISTERS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MIDDLE = 32000
+#: A class: its smallest id, then its digest. The smallest unit of a component has the component's smallest id.
+UNIT = "struct<r:bigint,x:bigint,y:bigint>"
+_FIELDS = ("r", "x", "y")
 
 
 def rows_for(threshold: float) -> int:
@@ -106,32 +110,46 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 
 def _rows(batches):
-    """Ids, bytes and offsets in runs of bounded size."""
+    """All columns but the text, bytes and offsets in runs of bounded size."""
     for batch in batches:
-        ids = batch.column("id")
+        others = [batch.column(k) for k in batch.schema.names if k != "text"]
         data, offsets = text_bytes(batch.column("text"))
         for a, b in row_groups(offsets):
-            yield ids.slice(a, b - a), data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+            yield [c.slice(a, b - a) for c in others], data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+
+
+def _digest(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two sums over each set's hashes (zero for an empty set)."""
+    full, digest = np.flatnonzero(np.diff(bounds)), np.zeros((2, len(bounds) - 1), np.uint64)
+    for i, x in enumerate((mix(h), mix(h ^ np.uint64(0x5851F42D4C957F2D)))):
+        digest[i, full] = np.add.reduceat(x, bounds[:-1][full]) if len(full) else 0
+    return digest.view(np.int64)
+
+
+def _units(r, x, y) -> pa.StructArray:
+    return pa.StructArray.from_arrays([r if isinstance(r, pa.Array) else pa.array(r), pa.array(x), pa.array(y)], names=list(_FIELDS))
+
+
+def _parts(units: pa.StructArray) -> np.ndarray:
+    return np.stack([units.field(k).to_numpy() for k in range(3)], 1)
 
 
 def _sketch(width: int, rows: int):
     def sketch(batches):
         for ids, data, offsets in _rows(batches):
             h, bounds = shingle_sets(data, offsets, width)
-            full, n = np.flatnonzero(np.diff(bounds)), len(ids)
+            full, n = np.flatnonzero(np.diff(bounds)), len(offsets) - 1
             reg = registers(minima(h, bounds, BANDS * rows)).astype(np.uint64).reshape(len(full), BANDS, rows)
             key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(full), 0)
             for i in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + reg[:, :, i])
-            digest = np.zeros((2, n), np.uint64)
-            for i, x in enumerate((mix(h), mix(h ^ np.uint64(0x5851F42D4C957F2D)))):
-                digest[i, full] = np.add.reduceat(x, bounds[:-1][full]) if len(full) else 0
+            digest = _digest(h, bounds)
             filled = np.zeros(n + 1, np.int32)
             filled[full + 1] = BANDS
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.diff(bounds)), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
+                [*ids, pa.array(np.diff(bounds)), pa.array(digest[0]), pa.array(digest[1]),
                  pa.ListArray.from_arrays(pa.array(np.cumsum(filled).astype(np.int32)), pa.array(key.ravel().view(np.int64)))],
-                names=["id", "n", "d1", "d2", "bands"])
+                names=["id", "t1", "t2", "n", "d1", "d2", "bands"])
     return sketch
 
 
@@ -140,9 +158,9 @@ def _members(width: int):
         for ids, data, offsets in _rows(batches):
             h, bounds = shingle_sets(data, offsets, width)
             full = np.flatnonzero(np.diff(bounds))
-            reg = registers(minima(h, bounds, REGISTERS))
+            reg, digest = registers(minima(h, bounds, REGISTERS)), _digest(h, bounds)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(full)), pa.array(np.diff(bounds)[full]), pa.array([r.tobytes() for r in reg], pa.binary()),
+                [_units(ids[0].take(pa.array(full)), digest[0, full], digest[1, full]), pa.array(np.diff(bounds)[full]), pa.array([r.tobytes() for r in reg], pa.binary()),
                  pa.array([h[bounds[i]:bounds[i + 1]].tobytes() for i in full], pa.binary())],
                 names=["id", "n", "registers", "shingles"])
     return members
@@ -191,7 +209,8 @@ def _compare(t: pa.RecordBatch, threshold: float, most: int | None) -> pa.Record
     cut, rows = cut_for(threshold), rows_for(threshold)
     item = np.stack([t.column(k).to_numpy() for k in ("key", "i", "j")])
     bounds = np.flatnonzero(np.r_[True, (item[:, 1:] != item[:, :-1]).any(0), True])
-    ids, comp, side, band = (t.column(k).to_numpy() for k in ("id", "component", "side", "band"))
+    side, band, units = t.column("side").to_numpy(), t.column("band").to_numpy(), t.column("id")
+    ids, comp = _parts(units), np.unique(_parts(t.column("component")), axis=0, return_inverse=True)[1].ravel()
     n, reg = t.column("n").to_numpy().astype(float), _registers(t.column("registers"))
     found: list[tuple[np.ndarray, ...]] = []
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -231,8 +250,12 @@ def _compare(t: pa.RecordBatch, threshold: float, most: int | None) -> pa.Record
         rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
         keep = np.unique(pair[order[rank < most]])
         a, b = a[keep], b[keep]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b]).astype(np.int64)),
-                                       pa.array(np.maximum(ids[a], ids[b]).astype(np.int64))], names=["a", "b"])
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    turned = np.zeros(len(a), bool)
+    for k in (2, 1, 0):
+        turned = (ids[a, k] > ids[b, k]) | ((ids[a, k] == ids[b, k]) & turned)
+    low, high = np.where(turned, b, a), np.where(turned, a, b)
+    return pa.RecordBatch.from_arrays([units.take(pa.array(low)), units.take(pa.array(high))], names=["a", "b"])
 
 
 def _across(threshold: float, most: int | None):
@@ -262,19 +285,23 @@ def _confirmed(pairs: DataFrame, members: DataFrame, threshold: float, judge: bo
     if judge:
         regs = (("n", "n_"), ("registers", "r_"))
         pairs = pairs.join(side("a", *regs), "a").join(side("b", *regs), "b").mapInArrow(
-            _likely(threshold), "a long, b long")
+            _likely(threshold), f"a {UNIT}, b {UNIT}")
     sets = (("shingles", "shingles_"),)
     full = pairs.join(side("a", *sets), "a").join(side("b", *sets), "b")
-    return staged(full.mapInArrow(_confirm(threshold), "a long, b long"), "links")
+    return staged(full.mapInArrow(_confirm(threshold), f"a {UNIT}, b {UNIT}"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(id, component) of every linked id, component being the smallest id reachable. Each round points every id at the
-    smallest id that it or a neighbour knows, then follows that id's own pointer; rounds end when nothing moves."""
+    smallest id that it or a neighbour knows, then follows that id's own pointer; rounds end when nothing moves. `before`: the
+    components of some of the links, from which the rounds then start."""
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct()
     both = staged(both, "edges")
-    comp = staged(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("component")), "components")
+    comp = both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("component"))
+    if before is not None:
+        comp = comp.join(before.withColumnRenamed("component", "was"), "id", "left").select("id", F.least("component", "was").alias("component"))
+    comp = staged(comp, "components")
     while True:
         near = both.join(comp.select(F.col("id").alias("other"), F.col("component").alias("seen")), "other").groupBy("id").agg(
             F.min("seen").alias("seen"))
@@ -290,50 +317,81 @@ def components(links: DataFrame) -> DataFrame:
             return comp
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-            width: int = WIDTH) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept."""
+def _far(entry: DataFrame, comp: DataFrame, members: DataFrame) -> DataFrame:
+    """Work items (key, i, j): blocks of a bucket that hold different components, as rows of both. A bucket's rows are cut into blocks in
+    order of component, so that a large component fills blocks of its own, and those are not set against each other."""
+    far = entry.join(comp, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    whole = lambda *by: Window.partitionBy("key", *by)
+    far = far.withColumn("lo", F.min("component").over(whole())).withColumn("hi", F.max("component").over(whole())).where("lo <> hi")
+    far = far.withColumn("block", F.floor((F.row_number().over(whole().orderBy("component", "id")) - 1) / BLOCK))
+    far = far.withColumn("blocks", F.max("block").over(whole()) + 1)
+    far = far.withColumn("mixed", F.min("component").over(whole("block")) != F.max("component").over(whole("block")))
+    # a component's own blocks stand together, from `own` to `last`
+    far = far.withColumn("own", F.min(F.when(~F.col("mixed"), F.col("block"))).over(whole("component")))
+    far = far.withColumn("last", F.max(F.when(~F.col("mixed"), F.col("block"))).over(whole("component")))
+    work = F.expr("transform(filter(sequence(0, blocks - 1), x -> mixed or x < own or x > last), x -> struct(least(x, block) as i, "
+                  "greatest(x, block) as j, case when x = block then -1 when block < x then 0 else 1 end as side))")
+    far = far.select("key", "band", "id", "component", F.explode(work).alias("w")).select("key", "band", "id", "component", "w.*")
+    far = far.join(members.select("id", "n", "registers"), "id")
+    return far.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _assigned(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
+    """One row per document: id (never null), a 128-bit hash of the text (t1, t2), n, and its class and component, null for empty sets."""
     texts = keyed(docs, id_col, text_col)
-    sketches = staged(texts.mapInArrow(_sketch(width, rows_for(threshold)), "id long, n long, d1 long, d2 long, bands array<long>"), "sketches")
+    hashed = texts.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(5), "text").alias("t2"), "text")
+    sketches = staged(hashed.mapInArrow(_sketch(width, rows_for(threshold)), "id long, t1 long, t2 long, n long, d1 long, d2 long, "
+                                        "bands array<long>"), "sketches")
     same = sketches.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    entry = same.select("n", F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
+    same = same.withColumn("unit", F.struct(F.col("rep").alias("r"), F.col("d1").alias("x"), F.col("d2").alias("y")))
+    entry = same.select("n", F.col("unit").alias("id"), F.posexplode("bands").alias("band", "key"))
     bucket = Window.partitionBy("key")
     entry = staged(entry.withColumn("head", F.min("id").over(bucket.orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
                    .withColumn("before", F.lag("id").over(bucket.orderBy("n", "id")))
                    .withColumn("after", F.lead("id").over(bucket.orderBy("n", "id")))
                    .where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("after"), "entries")
-    involved = entry.select("id").distinct()
-    members = staged(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(
-        _members(width), "id long, n long, registers binary, shingles binary"), "members")
+    # all texts of an id that stands for a class: one of them has the class's set, the others are of no class in question
+    involved = entry.select(F.col("id.r").alias("id")).distinct()
+    chosen = hashed.join(involved, "id", "left_semi").dropDuplicates(["id", "t1", "t2"]).select("id", "text")
+    members = staged(chosen.mapInArrow(_members(width), f"id {UNIT}, n long, registers binary, shingles binary"), "members")
 
     ordered = lambda x: F.struct(F.least("id", x).alias("a"), F.greatest("id", x).alias("b"))
     pairs = entry.select(F.explode(F.array(ordered("head"), ordered("before"))).alias("p")).select("p.*").where("a <> b").distinct()
     links = _confirmed(pairs, members, threshold, True)
     comp = components(links)
     for most in (2, None):
-        far = entry.join(comp, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-        mixed = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        far = far.withColumn("lo", F.min("component").over(mixed)).withColumn("hi", F.max("component").over(mixed)).where("lo <> hi")
-        far = far.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / BLOCK))
-        far = far.withColumn("blocks", F.max("block").over(mixed) + 1)
-        work = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j, "
-                      "case when x = block then -1 when block < x then 0 else 1 end as side))")
-        far = far.select("key", "band", "id", "component", F.explode(work).alias("w")).select("key", "band", "id", "component", "w.*")
-        far = far.join(members.select("id", "n", "registers"), "id")
-        far = far.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = far.mapInArrow(_across(threshold, most), "a long, b long").distinct()
+        pairs = _far(entry, comp, members).mapInArrow(_across(threshold, most), f"a {UNIT}, b {UNIT}").distinct()
         links = links.unionByName(_confirmed(pairs, members, threshold, False))
-        comp = components(links)
+        comp = components(links, comp)
+
+    known = same.select("n", "d1", "d2", "unit").join(comp.withColumnRenamed("id", "unit"), "unit", "left").select(
+        "n", "d1", "d2", "unit", F.coalesce("component", "unit").alias("component"))
+    return sketches.select("id", "t1", "t2", "n", "d1", "d2").join(known, ["n", "d1", "d2"], "left").drop("d1", "d2")
 
-    rep = same.select("n", "d1", "d2", F.col("rep").alias("id")).join(comp, "id", "left").select(
-        "n", "d1", "d2", F.coalesce("component", "id").alias("component"))
-    out = sketches.select("id", "n", "d1", "d2").join(rep, ["n", "d1", "d2"], "left").select(
-        "id", "n", F.coalesce("component", "id").alias("component"))
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
+            width: int = WIDTH) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable), kept (it is the document's own)."""
+    out = _assigned(docs, id_col, text_col, threshold, width).select("id", "n", F.coalesce("component.r", "id").alias("component"))
     return out.select(unkeyed().alias(id_col), F.col("n").alias("n_shingles"), unkeyed("component").alias("component_id"),
                       (F.col("id") == F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The documents, all columns, of which one of each near-duplicate group stays: the smallest id's."""
-    drop = classes(docs, id_col, text_col, threshold).where(~F.col("kept")).select(id_col)
-    return docs.join(drop, id_col, "left_anti")
+    """The documents, all columns, of which one row of each near-duplicate group stays: the smallest id's; if several rows share it,
+    that of the least text hash, and of rows equal in id and text any one. Documents without words are in no group and stay."""
+    rows = staged(_assigned(docs, id_col, text_col, threshold, WIDTH).where("component is not null").select(
+        "component", F.struct("id", "t1", "t2").alias("row")), "assigned")
+    best = rows.groupBy("component").agg(F.min("row").alias("best"))
+    copies = rows.groupBy("component", "row").agg(F.count(F.lit(1)).alias("copies"))
+    judged = staged(copies.join(best, "component").select("row.*", "copies", (F.col("row") == F.col("best")).alias("stays")), "judged")
+    on = [F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("_near_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_near_t1"),
+          F.xxhash64(F.lit(5), F.coalesce(docs[text_col], F.lit(""))).alias("_near_t2")]
+    names = ["_near_id", "_near_t1", "_near_t2"]
+    marked = docs.select("*", *on)
+    listed = lambda which: judged.where(which).select(*[F.col(k).alias(n) for k, n in zip(("id", "t1", "t2"), names, strict=True)])
+    repeated = listed("stays and copies > 1")
+    single = marked.join(listed("not stays or copies > 1"), names, "left_anti").drop(*names)
+    if repeated.isEmpty():
+        return single
+    return single.unionByName(marked.join(repeated, names, "left_semi").dropDuplicates(names).drop(*names))

@@ -9,8 +9,8 @@ blocks permuted to the front as its key, finds every pair within the radius by e
 fingerprints only, so equal texts never multiply, and reports a pair in its first table.
 
 `with_next` puts each document beside the one that follows in descending id without sorting the corpus through one task: ids
-fall into ranges of about `PER_BUCKET` documents, ranges follow each other by a windowed lookup that goes up level by level,
-and each range gets a copy of the next one's first document. Whole texts are shuffled once.
+fall into ranges of about `PER_BUCKET` documents, cut at quantiles and quantiles within those (at most `RANGES` times `RANGES`
+ranges, which larger corpora fill more), and each range gets a copy of the next one's first document. Whole texts are shuffled once.
 
 Defined cases: null or empty text has no votes and the fingerprint of all zeros; equal texts have equal fingerprints; a null id
 comes after all others; rows that share an id follow each other by text; a single document follows itself; other columns are
@@ -18,6 +18,7 @@ not read; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from llm.common import keyed, unkeyed
 from tidegauge.session import staged
 
-BITS, BLOCKS, RADIUS, LONGEST, PER_BUCKET, FAN = 64, 6, 3, 12, 1024, 1024
+BITS, BLOCKS, RADIUS, LONGEST, PER_BUCKET, RANGES = 64, 6, 3, 12, 1024, 256
 _LANES = 0x0000000100000001
 
 
@@ -91,36 +92,34 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
     return pairs.select("a", "b", F.bit_count(apart).alias("distance"))
 
 
-def _followers(ranges: DataFrame, top: int) -> DataFrame:
-    """(k, next) for distinct numbers k from 0 (or -1) to `top`: next is the smallest one above k, null for the largest."""
-    group = F.floor(F.col("k") / FAN)
-    within = ranges.withColumn("g", group).withColumn("next", F.lead("k").over(Window.partitionBy("g").orderBy("k")))
-    if top < FAN:
-        groups = ranges.groupBy(group.alias("g")).agg(F.min("k").alias("first"))  # two at most: -1 and 0
-        groups = groups.withColumn("after", F.lead("first").over(Window.orderBy("g"))).select("g", "after")
-    else:
-        groups = staged(ranges.groupBy(group.alias("k")).agg(F.min("k").alias("first")), "ranges")
-        up = _followers(groups.select("k"), top // FAN)
-        groups = up.join(groups.select(F.col("k").alias("next"), F.col("first").alias("after")), "next", "left").select(F.col("k").alias("g"), "after")
-    return within.join(groups, "g", "left").select("k", F.coalesce("next", "after").alias("next"))
+def _ranged(texts: DataFrame) -> DataFrame:
+    """The texts with `bucket`, which never falls as ids rise: quantiles of the ids, and quantiles within those, however the ids are
+    spread. At most `RANGES` by `RANGES` buckets, so what is joined and collected has a bound."""
+    n = texts.count()
+    k = min(RANGES, max(1, math.ceil(math.sqrt(n / PER_BUCKET))))
+    if k == 1:
+        return texts.withColumn("bucket", F.lit(0))
+    cuts = [i / k for i in range(1, k)]
+    # how many of the cut points an id has reached
+    reached = lambda points: F.size(F.filter(points, lambda e: e <= F.col("id")))
+    coarse = texts.agg(F.percentile_approx("id", cuts)).first()[0]
+    placed = texts.withColumn("_of", reached(F.array(*[F.lit(e) for e in coarse])))
+    fine = staged(placed.groupBy("_of").agg(F.percentile_approx("id", cuts).alias("_cuts")), "ranges")
+    return placed.join(F.broadcast(fine), "_of").withColumn("bucket", F.col("_of") * k + reached(F.col("_cuts"))).drop("_of", "_cuts")
 
 
 def with_next(texts: DataFrame) -> DataFrame:
     """`keyed` texts as (bucket, row, copied, id, text, next_text): each with the text that follows in descending id. `copied` rows
     are the first of the next bucket, there for lookups only."""
-    low, high, n = texts.where(F.col("id") > F.lit(-(1 << 63))).agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, (high - low + 1) * PER_BUCKET // max(1, n))
-    bucket = F.expr(f"(greatest(id, {low}L - 1) - {low}L) div {width}L - if(id < {low}L, 1, 0)")
-    heads = staged(texts.groupBy(bucket.alias("k")).agg(F.max("id").alias("head")), "heads")
-    follow = _followers(heads.select("k"), (high - low) // width)
+    texts = _ranged(texts)
+    heads = staged(texts.groupBy("bucket").agg(F.max("id").alias("head")), "heads")  # one row a bucket
+    follow = heads.withColumn("to", F.lead("bucket").over(Window.orderBy("bucket")))
     # a range's first document also goes to the range above, whose last one it follows; the very first goes to the lowest range
-    ends = heads.agg(F.min("k").alias("lowest"), F.max("head").alias("head"))
-    copies = heads.join(follow, "k").where("next is not null").select(F.col("head").alias("id"), F.col("next").alias("to")).unionByName(
-        ends.where("lowest is not null").select(F.col("head").alias("id"), F.col("lowest").alias("to")))
+    ends = heads.agg(F.min("bucket").alias("to"), F.max("head").alias("head")).where("to is not null")
+    copies = follow.where("to is not null").select(F.col("head").alias("id"), "to").unionByName(ends.select(F.col("head").alias("id"), "to"))
     copies = staged(copies, "copies").groupBy("id").agg(F.collect_list("to").alias("to"))  # two at most
-    places = F.concat(F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("copied"))),
-                      F.transform(F.coalesce("to", F.array().cast("array<bigint>")), lambda t: F.struct(t.alias("bucket"), F.lit(1).alias("copied"))))
+    places = F.concat(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("copied"))),
+                      F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda t: F.struct(t.alias("bucket"), F.lit(1).alias("copied"))))
     dealt = texts.join(copies, "id", "left").select("id", "text", F.explode(places).alias("p")).select("p.*", "id", "text")
     order = Window.partitionBy("bucket").orderBy("copied", F.desc("id"), "text")
     return dealt.withColumn("row", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))

@@ -8,16 +8,16 @@ Every `length`-byte string that also starts earlier in the corpus is found exact
 2. Refinement. A bucket's records are sorted on the identifier of what follows at the later offsets: the hash of all
    bytes that the record's strings cover. A record whose refined bucket began earlier is finished too: all its strings
    are repeats. The first record of a refined bucket stays open only if its initial bucket holds another refined one.
-3. Last refinement. Only strings of open records are sorted on their full identifier (their own hash, offset by offset).
+3. Last refinement. Only strings of open records are sorted on their full identifier (95 bits of hash, offset by offset).
    Each but the first is a repeat. The records' updates of step 2 are reused here: nothing finished is looked at again.
 
 Each step is one shuffle of fixed-size records; equal keys are read as a sorted stream, never held as a group. A batch
-settles its own repeats before the shuffle, as one range a run. The text is shuffled once, by id and compressed, for step 3 and
-the cut.
+settles its own repeats before the shuffle, as one range a run. The text is shuffled once, by document and compressed, for step 3
+and the cut. A document is an id and, where unlike texts share the id, a hash of its text (`row`, else 0).
 
-Defined cases: null text has no bytes; texts under `length` bytes have no strings and lose nothing; rows that share an id
-pool their marks and never count as earlier than each other; a null id sorts before all others; an empty table gives an
-empty result; other columns are not read."""
+Defined cases: null text has no bytes; texts under `length` bytes have no strings and lose nothing; rows that share an id never
+count as earlier than each other: each loses what a smaller id has or what it repeats itself, equal rows the same; a null id sorts
+before all others; a text of a gibibyte or more is an error; an empty table gives an empty result; other columns are not read."""
 
 from __future__ import annotations
 
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from llm.common import keyed, unkeyed
 from llm.textbytes import CHUNK, RollingHash, combine, mix, row_groups, sliding_min, text_bytes
+from tidegauge.session import staged
 
 LENGTH, Q = 100, 48
 _POSITION = np.uint64((1 << 24) - 1)
@@ -73,7 +74,7 @@ def _pack(batches):
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         packed = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(packed, pa.binary())], names=["id", "row", "packed"])
 
 
 def unpacked(batch: pa.RecordBatch):
@@ -89,28 +90,43 @@ def unpacked(batch: pa.RecordBatch):
         yield batch.slice(rows, len(texts)), *text_bytes(pa.array(texts, pa.large_binary()))
 
 
-def by_id(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, bytes and offsets of a batch, rows in order of their ids."""
-    ids = batch.column("id").to_numpy(zero_copy_only=False)
+def by_id(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, row hashes, bytes and offsets of a batch, rows in order of both."""
+    ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("id", "row"))
     texts = batch.column("text")
-    if len(ids) > 1 and (ids[1:] < ids[:-1]).any():
-        order = np.argsort(ids, kind="stable")
-        ids, texts = ids[order], texts.take(pa.array(order))
+    order = np.lexsort((rows, ids))
+    if (order[1:] < order[:-1]).any():
+        ids, rows, texts = ids[order], rows[order], texts.take(pa.array(order))
     data, offsets = text_bytes(texts)
-    return ids, data, offsets
+    if len(data) and int(np.diff(offsets).max()) >= 1 << 30:
+        raise ValueError("a text of a gibibyte or more")
+    return ids, rows, data, offsets
 
 
-def later_than_first(key: np.ndarray, owner: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Marks what has an equal key at an earlier place, among records in order of place."""
+def later_than_first(key: np.ndarray, ids: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marks what has an equal key at an earlier place (a smaller id, or the same document and an earlier start), among records
+    in order of id, row and start."""
     order = np.argsort(key, kind="stable")
-    k = key[order]
+    k, i, r, s = key[order], ids[order], rows[order], start[order]
     head = np.r_[True, k[1:] != k[:-1]][:len(k)]
-    first = order[np.flatnonzero(head)][np.cumsum(head) - 1] if len(k) else order
+    own = head | np.r_[True, (i[1:] != i[:-1]) | (r[1:] != r[:-1])][:len(k)]
     out = np.zeros(len(key), bool)
-    out[order] = (owner[order] > owner[first]) | ((owner[order] == owner[first]) & (start[order] > start[first]))
+    if len(k):
+        first, mine = np.flatnonzero(head)[np.cumsum(head) - 1], np.flatnonzero(own)[np.cumsum(own) - 1]
+        out[order] = (i > i[first]) | (s > s[mine]) & (i == i[first])
     return out
 
 
+def pieces(owner: np.ndarray, start: np.ndarray, end: np.ndarray, most: int):
+    """The same ranges, none longer than `most`."""
+    if not len(owner) or int((end - start).max()) <= most:
+        return owner, start, end
+    many = -(-(end - start) // most)
+    nth = np.arange(int(many.sum())) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
+    owner, first, stop = np.repeat(owner, many), np.repeat(start, many) + nth * most, np.repeat(end, many)
+    return owner, first, np.minimum(first + most, stop)
+
+
 def runs(owner: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Joins touching ranges of one owner; input in order of owner and start, ends not falling."""
     if not len(owner):
@@ -122,51 +138,54 @@ def runs(owner: np.ndarray, start: np.ndarray, end: np.ndarray):
 def _initial(length: int, q: int):
     def records(batches):
         for batch in batches:
-            ids, data, offsets = by_id(batch)
+            ids, rows, data, offsets = by_id(batch)
             m, c, s, e = batch_pointers(data, offsets, length, q)
-            row = np.searchsorted(offsets, s, "right") - 1
-            owner, s, e = ids[row], s - offsets[row], e - offsets[row]
-            again = later_than_first(combine(m, c), owner, s)
-            o2, s2, e2 = runs(owner[again], s[again], e[again] + length)
+            owner = np.searchsorted(offsets, s, "right") - 1
+            s, e = s - offsets[owner], e - offsets[owner]
+            again = later_than_first(combine(m, c), ids[owner], rows[owner], s)
+            o2, s2, e2 = pieces(*runs(owner[again], s[again], e[again] + length), (1 << 28) - 1)
             keep = ~again
             m, c, own, s, e = m[keep], c[keep], owner[keep], s[keep].astype(np.uint64), e[keep].astype(np.uint64)
             # 36 bits of bucket and 56 of identifier, then 30 of start and 6 of count; a finished range has its length
             # (28 bits) for the identifier and a count of 63
             head = ((m >> np.uint64(28)) << np.uint64(28)) | (c >> np.uint64(36))
             tail = (((c >> np.uint64(8)) & np.uint64((1 << 28) - 1)) << np.uint64(36)) | (s << np.uint64(6)) | (e - s)
-            head2 = mix(o2.astype(np.uint64) + s2.astype(np.uint64))
+            head2 = mix(ids[o2].astype(np.uint64) + s2.astype(np.uint64))
             tail2 = ((e2 - s2).astype(np.uint64) << np.uint64(36)) | (s2.astype(np.uint64) << np.uint64(6)) | _FINISHED
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[head, head2].view(np.int64)), pa.array(np.r_[tail, tail2].view(np.int64)),
-                                              pa.array(np.r_[own, o2])], names=["head", "tail", "id"])
+                                              pa.array(ids[np.r_[own, o2]]), pa.array(rows[np.r_[own, o2]])], names=["head", "tail", "id", "row"])
     return records
 
 
 def _refine(length: int):
-    """Reads records sorted by bucket, identifier and place. Gives ranges of repeats, and open records (first and last
-    start). Holds one record back: the first of a bucket that has shown one identifier so far. A record at the very place
-    of its identifier's first one comes from a repeated row, which is no earlier copy: it is neither a repeat nor open again."""
+    """Reads records sorted by bucket, identifier, document and place. Gives ranges of repeats, and open records (first and last
+    start). Holds one record back: the first of a bucket that has shown one identifier so far. A record of the least id of its
+    identifier is a repeat only of an earlier one of its own document; the first of each such document is open."""
     def stream(batches):
-        last_m = last_c = None
+        last_m = last_c = last_d = None
         own0 = at0 = 0
         held = None
         for batch in batches:
             head = batch.column("head").to_numpy().view(np.uint64)
             tail = batch.column("tail").to_numpy().view(np.uint64)
-            ids = batch.column("id").to_numpy()
+            ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             passed = (tail & np.uint64(63)) == _FINISHED
             start = ((tail >> np.uint64(6)) & np.uint64((1 << 30) - 1)).astype(np.int64)
-            out = [(ids[passed], start[passed], start[passed] + (tail[passed] >> np.uint64(36)).astype(np.int64), False)]
-            head, tail, ids, start = (x[~passed] for x in (head, tail, ids, start))
+            out = [(ids[passed], rows[passed], start[passed], start[passed] + (tail[passed] >> np.uint64(36)).astype(np.int64), False)]
+            head, tail, ids, rows, start = (x[~passed] for x in (head, tail, ids, rows, start))
             if len(head):
                 m, c_hi, c_lo = head >> np.uint64(28), head, tail >> np.uint64(36)
                 end = start + (tail & np.uint64(63)).astype(np.int64)
                 pm, pc = (m[:1] + np.uint64(1), (c_hi[:1], c_lo[:1])) if last_m is None else (last_m, last_c)
                 new_m = np.r_[pm, m[:-1]] != m
                 new_c = new_m | (np.r_[pc[0], c_hi[:-1]] != c_hi) | (np.r_[pc[1], c_lo[:-1]] != c_lo)
-                where = np.maximum.accumulate(np.where(new_c, np.arange(len(head)), -1))
-                own1, at1 = np.where(where < 0, own0, ids[where]), np.where(where < 0, at0, start[where])
+                before = (ids[0], rows[0]) if last_d is None else last_d
+                new_d = new_c | (np.r_[before[0], ids[:-1]] != ids) | (np.r_[before[1], rows[:-1]] != rows)
+                place = np.arange(len(head))
+                where, mine = (np.maximum.accumulate(np.where(x, place, -1)) for x in (new_c, new_d))
+                own1, at1 = np.where(where < 0, own0, ids[where]), np.where(mine < 0, at0, start[mine])
                 again = (ids > own1) | ((ids == own1) & (start > at1))
-                out.append((ids[again], start[again], end[again] + length, False))
+                out.append((ids[again], rows[again], start[again], end[again] + length, False))
                 first = np.flatnonzero(new_c)
                 group = np.cumsum(new_m)[first]  # group 0 goes on from the batch before
                 kinds = np.bincount(group, minlength=int(group.max()) + 1 if len(group) else 1)
@@ -180,15 +199,15 @@ def _refine(length: int):
                     held = None
                     if kinds[top] == 1:
                         k = first[-1:]
-                        held = (ids[k], start[k], end[k])
-                f = first[is_open]
-                out.append((ids[f], start[f], end[f], True))
-                last_m, last_c = m[-1:], (c_hi[-1:], c_lo[-1:])
+                        held = (ids[k], rows[k], start[k], end[k])
+                f = np.r_[first[is_open], np.flatnonzero(new_d & ~new_c & (ids == own1))]
+                out.append((ids[f], rows[f], start[f], end[f], True))
+                last_m, last_c, last_d = m[-1:], (c_hi[-1:], c_lo[-1:]), (ids[-1], rows[-1])
                 own0, at0 = own1[-1], at1[-1]
-            cat = [np.concatenate([x[k] for x in out]) for k in range(3)]
-            flag = np.concatenate([np.full(len(x[0]), x[3]) for x in out])
-            yield pa.RecordBatch.from_arrays([pa.array(cat[0]), pa.array(cat[1].astype(np.int32)), pa.array(cat[2].astype(np.int32)),
-                                              pa.array(flag)], names=["id", "start", "stop", "open"])
+            cat = [np.concatenate([x[k] for x in out]) for k in range(4)]
+            flag = np.concatenate([np.full(len(x[0]), x[4]) for x in out])
+            yield pa.RecordBatch.from_arrays([pa.array(cat[0]), pa.array(cat[1]), pa.array(cat[2].astype(np.int32)),
+                                              pa.array(cat[3].astype(np.int32)), pa.array(flag)], names=["id", "row", "start", "stop", "open"])
     return stream
 
 
@@ -200,81 +219,96 @@ def spread_out(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _strings(length: int):
     """The strings of open records with their hashes; repeats within the batch come out as ranges."""
+    half = length // 2
+
     def grams(batches):
         for batch in batches:
-            H, P, O = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # noqa: E741
+            found = [[np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 3]
             for part, data, offsets in unpacked(batch):
                 opened = part.column("opened")
-                lists, ids = opened.flatten(), part.column("id").to_numpy(zero_copy_only=False)
+                lists = opened.flatten()
+                ids, rows = (part.column(k).to_numpy(zero_copy_only=False) for k in ("id", "row"))
                 owner = np.repeat(np.arange(len(part)), np.asarray(pa.compute.list_value_length(opened)))
                 size = np.diff(offsets)[owner]
                 f = np.minimum(lists.field("start").to_numpy().astype(np.int64), size - length)
                 count = np.clip(np.minimum(lists.field("stop").to_numpy(), size - length) - f + 1, 0, None) * (size >= length)
                 at, own = spread_out(f, count), np.repeat(owner, count)
-                s = at + offsets[own]
-                H.append(RollingHash(data).ranges(s, s + length))
-                P.append(at)
-                O.append(ids[own])
-            h, at, own = np.concatenate(H), np.concatenate(P), np.concatenate(O)
-            order = np.lexsort((at, own))
-            h, at, own = h[order], at[order], own[order]
-            again = later_than_first(h, own, at)
-            o2, s2, e2 = runs(own[again], at[again], at[again] + length)
-            h, at, own = h[~again], at[~again], own[~again]
-            # a string's place has no length; a finished range has one
-            place = (np.r_[at, s2] << 32) | np.r_[np.zeros(len(at), np.int64), e2 - s2]
-            key = np.r_[h, mix(o2.astype(np.uint64) + s2.astype(np.uint64))].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.r_[own, o2]), pa.array(place)], names=["key", "id", "place"])
+                s, rolling = at + offsets[own], RollingHash(data)
+                found.append([rolling.ranges(s, s + length), rolling.ranges(s, s + half), at, ids[own], rows[own]])
+            h, more, at, own, row = (np.concatenate(x) for x in zip(*found, strict=True))
+            # 64 bits of the string's hash and 31 of its first half's
+            more = more & np.uint64((1 << 31) - 1)
+            order = np.lexsort((at, row, own))
+            h, more, at, own, row = (x[order] for x in (h, more, at, own, row))
+            again = later_than_first(combine(h, more), own, row, at)
+            new = np.r_[True, (own[1:] != own[:-1]) | (row[1:] != row[:-1])][:len(own)]
+            o2, s2, e2 = runs((np.cumsum(new) - 1)[again], at[again], at[again] + length)
+            own2, row2 = own[new][o2], row[new][o2]
+            h, more, at, own, row = (x[~again] for x in (h, more, at, own, row))
+            # below the place: the hash's further bits, or the length of a finished range and a one
+            low = np.r_[more.astype(np.int64) << 1, ((e2 - s2) << 1) | 1]
+            key = np.r_[h, mix(own2.astype(np.uint64) + s2.astype(np.uint64))].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.r_[own, own2]), pa.array(np.r_[row, row2]),
+                                              pa.array((np.r_[at, s2] << 32) | low)], names=["key", "id", "row", "place"])
     return grams
 
 
 def _repeats(length: int):
-    """Reads strings sorted by hash and place; gives the range of each but the first of its hash."""
+    """Reads strings sorted by hash, document and place; gives the range of each that has an earlier one."""
     def stream(batches):
-        key0 = own0 = at0 = None
+        last = None  # hash, further bits, id and row of the string before
+        own0 = at0 = 0
         for batch in batches:
-            key, ids, place = (batch.column(k).to_numpy() for k in ("key", "id", "place"))
-            at, size = place >> 32, place & 0xFFFFFFFF
-            passed = size > 0
-            out = [(ids[passed], at[passed], (at + size)[passed])]
-            key, ids, at = key[~passed], ids[~passed], at[~passed]
+            key, ids, rows, place = (batch.column(k).to_numpy() for k in ("key", "id", "row", "place"))
+            at, low = place >> 32, place & 0xFFFFFFFF
+            passed = (low & 1) == 1
+            out = [(ids[passed], rows[passed], at[passed], (at + (low >> 1))[passed])]
+            key, low, ids, rows, at = (x[~passed] for x in (key, low, ids, rows, at))
             if len(key):
-                head = np.r_[True, key[1:] != key[:-1]]
-                if key0 is not None and key[0] == key0:
-                    head[0] = False
-                where = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
-                own1 = np.where(where < 0, own0 if own0 is not None else 0, ids[where])
-                at1 = np.where(where < 0, at0 if at0 is not None else 0, at[where])
+                was = last or (~key[0], low[0], ids[0], rows[0])
+                head = (np.r_[was[0], key[:-1]] != key) | (np.r_[was[1], low[:-1]] != low)
+                own = head | (np.r_[was[2], ids[:-1]] != ids) | (np.r_[was[3], rows[:-1]] != rows)
+                where, mine = (np.maximum.accumulate(np.where(x, np.arange(len(key)), -1)) for x in (head, own))
+                own1, at1 = np.where(where < 0, own0, ids[where]), np.where(mine < 0, at0, at[mine])
                 again = (ids > own1) | ((ids == own1) & (at > at1))
-                out.append((ids[again], at[again], at[again] + length))
-                key0, own0, at0 = key[-1], own1[-1], at1[-1]
-            cat = [np.concatenate([x[k] for x in out]) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.int32)),
-                                              pa.array(cat[2].astype(np.int32))], names=["id", "start", "stop"])
+                out.append((ids[again], rows[again], at[again], at[again] + length))
+                last, own0, at0 = (key[-1], low[-1], ids[-1], rows[-1]), own1[-1], at1[-1]
+            cat = [np.concatenate([x[k] for x in out]) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.int64)), pa.array(cat[2].astype(np.int32)),
+                                              pa.array(cat[3].astype(np.int32))], names=["id", "row", "start", "stop"])
     return stream
 
 
+def documents(texts: DataFrame) -> DataFrame:
+    """`keyed` texts with `row`: 0, or where unlike texts share an id a hash of the text."""
+    hashes = texts.select("id", F.xxhash64("text").alias("h")).groupBy("id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    shared = staged(hashes.where("low <> high").select("id", F.lit(True).alias("shared")), "shared-ids")  # its size chooses the join
+    return texts.join(shared, "id", "left").select("id", F.when(F.col("shared"), F.xxhash64("text")).otherwise(0).alias("row"), "text")
+
+
 def repeat_ranges(texts: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[DataFrame, DataFrame]:
-    """Ranges (id, start, stop) of repeated bytes of `keyed` texts, overlapping ones included; and the texts, dealt by id
+    """Ranges (id, row, start, stop) of repeated bytes of `documents`, overlapping ones included; and the texts, dealt by document
     as the ranges are."""
     if not q < length < q + 63:
         raise ValueError("q must be below length, and by less than 63: six bits hold a record's count")
-    records = texts.mapInArrow(_initial(length, q), "head long, tail long, id long")
+    own = ["id", "row"]
+    records = texts.mapInArrow(_initial(length, q), "head long, tail long, id long, row long")
     dealt = records.repartition(F.shiftrightunsigned("head", 28)).sortWithinPartitions(
-        "head", F.shiftrightunsigned("tail", 36), "id", "tail")
+        "head", F.shiftrightunsigned("tail", 36), *own, "tail")
     # ids are never null here; saying so keeps an inner join below from adding the filter to its own copy of the plan
-    found = dealt.mapInArrow(_refine(length), "id long, start int, stop int, open boolean").where("id is not null")
+    some = "id is not null and row is not null"
+    found = dealt.mapInArrow(_refine(length), "id long, row long, start int, stop int, open boolean").where(some)
     spans = F.collect_list(F.when(F.col("open"), F.struct("start", "stop")))
-    flags = found.groupBy("id").agg(spans.alias("opened"),
+    flags = found.groupBy(*own).agg(spans.alias("opened"),
                                     F.collect_list(F.when(~F.col("open"), F.struct("start", "stop"))).alias("closed"))
-    by = texts.mapInArrow(_pack, "id long, packed binary").repartition("id")
-    # both lists go along in both uses of `flags`, so that its exchange is one and is used twice
-    opened = by.join(flags.where(F.size("opened") > 0), "id")
-    strings = opened.mapInArrow(_strings(length), "key long, id long, place long")
-    sorted_strings = strings.repartition("key").sortWithinPartitions("key", "id", "place")
-    late = sorted_strings.mapInArrow(_repeats(length), "id long, start int, stop int")
-    late = late.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("late"))
-    return flags.join(late, "id", "full"), by
+    by = texts.mapInArrow(_pack, "id long, row long, packed binary").where(some).repartition(*own)
+    # both lists go along in both uses of `flags`, so that its exchange is one and is used twice; so is that of the texts
+    opened = by.join(flags.where(F.size("opened") > 0), own)
+    strings = opened.mapInArrow(_strings(length), "key long, id long, row long, place long")
+    sorted_strings = strings.repartition("key").sortWithinPartitions("key", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), *own, "place")
+    late = sorted_strings.mapInArrow(_repeats(length), "id long, row long, start int, stop int")
+    late = late.groupBy(*own).agg(F.collect_list(F.struct("start", "stop")).alias("late"))
+    return flags.join(late, own, "full"), by
 
 
 def _cut(digest_only: bool):
@@ -312,8 +346,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    digest: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, and the kept text (bytes that are no whole character after
     the cut are left out) or with `digest` the SHA-256 of all kept bytes."""
-    ranges, texts = repeat_ranges(keyed(docs, id_col, text_col), length, q)
+    ranges, texts = repeat_ranges(documents(keyed(docs, id_col, text_col)), length, q)
     last = "kept_sha256 string" if digest else "kept_text string"
-    out = texts.join(ranges, "id", "left").mapInArrow(
+    out = texts.join(ranges, ["id", "row"], "left").mapInArrow(
         _cut(digest), f"id long, n_bytes long, n_removed long, n_spans long, {last}")
     return out.select(unkeyed().alias(id_col), *out.columns[1:])

@@ -7,7 +7,8 @@ falls into one of `BUCKETS` buckets by its hash, none is left out beforehand, an
 a factor vector for each bucket whose inner products weigh pairs: a group's name that is neutral alone can count next to an
 insult. Pairs weigh by one over the row's number of terms, so that a long text does not drown in them. Own weights are learned
 first, for terms whose presence alone departs from independence of the class by `SURPRISE` deviations (in three texts or more);
-the others have none, but have factors. Model and sample have fixed bounds, so the fit runs on the driver; scoring needs no shuffle.
+the others have none, but have factors. Model and sample have fixed bounds: one task fits the sample's bucket numbers and hands the
+model (`BUCKETS` times `RANK` + 1 numbers) to the driver, which broadcasts it. Scoring needs no shuffle.
 
 Defined cases: null or empty text scores as a text without terms; without labels of both classes every score is the base
 rate (0 if there is none); rows are scored one by one; other columns are not read."""
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import bounded_sample, fold
+from llm.common import bounded_sample, fold, one_each
 from llm.decontaminate import WORD_BYTES
 from llm.textbytes import LOWER, RollingHash, mix, row_groups, text_bytes, word_spans
 
@@ -49,11 +50,13 @@ def _groups(batch):
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """(label, text) of about `most` rows of the learning folds; of texts that are equal but for case and white space, one of each class."""
+    """(label, text) of about `most` ids of the learning folds, one document of each; of texts that are equal but for case and white
+    space, one of each class."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(fold(F.col("id"), 5) != 0)
-    first = bounded_sample(known, "id", most)  # 2 * most rows of three numbers at most: may be broadcast
+    first = bounded_sample(known, "id", most)  # about `most` rows of three numbers: may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(first), "id")
+    rows = one_each(rows)
     whole = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)
     return rows.withColumn("whole", whole).dropDuplicates(["label", "whole"]).select("label", "text")
 
@@ -90,7 +93,7 @@ class FactorizationMachine:
         number = np.zeros(len(self.weights), np.int32)
         number[used] = np.arange(size)
         term, row = number[term], row.astype(np.int32)
-        by_term = row[np.argsort(term, kind="stable")]
+        by_term = row[np.argsort(term, kind="stable").astype(np.int32)]
         term_at, row_at = np.r_[0, np.cumsum(seen)[:-1]], np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         filled, many = row[row_at], np.maximum(1, np.bincount(row, minlength=n)).astype(np.float32)
 
@@ -145,29 +148,42 @@ class FactorizationMachine:
 
 
 def _encode(batches):
+    """label, buckets, and a number that orders rows by what they hold: sums of floats depend on the order."""
     for batch in batches:
         for part, data, offsets in _groups(batch):
             row, term = _present(data, offsets)
-            counts = np.r_[0, np.cumsum(np.bincount(row, minlength=len(part)))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays(pa.array(counts), pa.array(term.astype(np.int32)))],
-                                             names=["label", "terms"])
+            bounds = np.r_[0, np.cumsum(np.bincount(row, minlength=len(part)))].astype(np.int32)
+            total = np.r_[np.uint64(0), np.cumsum(mix(term.astype(np.uint64)))]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("label"), pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(term.astype(np.int32)))], names=["label", "mark", "terms"])
+
+
+def _fit(batches):
+    """The machine of one sorted stream of encoded rows, as its three arrays."""
+    label, count, term = [], [], []
+    for batch in batches:
+        label.append(batch.column("label").to_numpy())
+        count.append(np.asarray(pa.compute.list_value_length(batch.column("terms"))))
+        term.append(batch.column("terms").flatten().to_numpy().copy())
+    y, n, t = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (label, count, term))
+    term.clear()
+    model = FactorizationMachine(BUCKETS).fit_pairs(np.repeat(np.arange(len(y), dtype=np.int32), n), t, y.astype(float))
+    yield pa.RecordBatch.from_pylist([{"bias": model.bias, "weights": model.weights.astype(np.float32).tobytes(),
+                                       "factors": model.factors.astype(np.float32).tobytes()}])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           most: int = TRAIN_ROWS) -> FactorizationMachine:
-    rows = sample(docs, labels, id_col, text_col, label_col, most)
-    known = rows.mapInArrow(_encode, "label int, terms array<int>").toArrow()  # bounded by the sample
-    lists = known.column("terms").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    y = known.column("label").to_numpy().astype(float)
-    count, term = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64), lists.flatten().to_numpy()
-    # rows come in any order, sums of floats depend on it: by the sum of their terms' hashes, the same each time
-    before = np.r_[np.uint64(0), np.cumsum(mix(term.astype(np.uint64)))]
-    end = np.cumsum(count)
-    order = np.lexsort((before[end] - before[end - count], y))
-    term = lists.take(pa.array(order)).flatten().to_numpy()
-    return FactorizationMachine(BUCKETS).fit_pairs(np.repeat(np.arange(len(y), dtype=np.int32), count[order]), term, y[order])
+    """Fitted in one task over the sample, which has a bound: the driver only receives the model, and a lost executor costs a retry."""
+    known = sample(docs, labels, id_col, text_col, label_col, most).mapInArrow(_encode, "label int, mark long, terms array<int>")
+    found = known.repartition(1).sortWithinPartitions("label", "mark").mapInArrow(_fit, "bias double, weights binary, factors binary").collect()
+    model = FactorizationMachine(BUCKETS)
+    if found:
+        model.bias = found[0].bias
+        model.weights = np.frombuffer(found[0].weights, np.float32)
+        model.factors = np.frombuffer(found[0].factors, np.float32).reshape(RANK, BUCKETS)
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

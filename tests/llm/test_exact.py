@@ -37,6 +37,28 @@ def test_repeats_on_awkward_rows(spark):
     assert {tuple(r) for r in rows} == {(k, *v) for k, v in want.items()}
 
 
+def test_unlike_rows_that_share_an_id_keep_their_own_marks(spark):
+    line = lambda k, n=120: " ".join(f"{k}w{i * i % 997}" for i in range(n))
+    rows = [(1, line(1)), (5, line(7) + line(1)[100:500] + line(8)), (5, line(9)), (5, line(9)), (5, line(7)[:300] + line(10) + line(10)[20:400]),
+            (6, line(9)[:200] + line(7)), (None, line(11)), (None, line(12) + line(11)[:250]), (None, line(12)), (2, line(11)), (2, line(12)[50:])]
+    rank = lambda i: -1 if i is None else i
+
+    def want(i, text):
+        text, gone = text.encode(), set()
+        before = {x.encode()[k:k + 100] for j, x in rows if rank(j) < rank(i) for k in range(len(x) - 99)}
+        for k in range(len(text) - 99):
+            piece = text[k:k + 100]
+            if piece in before:
+                gone |= set(range(k, k + 100))
+            before.add(piece)
+        kept = bytes(b for k, b in enumerate(text) if k not in gone)
+        return i, len(text), len(gone), sum(k - 1 not in gone for k in gone), sha(kept)
+
+    for parts in (1, 4):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), digest=True).collect()
+        assert sorted(map(tuple, got), key=str) == sorted((want(*r) for r in rows), key=str)
+
+
 @pytest.mark.parametrize("length,q", [(20, 8), (30, 12), (64, 32)])
 def test_repeats_of_other_lengths(spark, length, q):
     texts = [(i, ("abcab" * 20)[i:] + "z" * i + "the quick brown fox jumps over the lazy dog" * (i % 3)) for i in range(12)]
@@ -69,6 +91,19 @@ def test_kept_text_without_repeats(spark):
 
 # ---- near-duplicates
 
+def test_unlike_rows_that_share_an_id_are_linked_by_their_own_texts(spark):
+    text = lambda k: " ".join(f"{k}w{i * i % 9973}" for i in range(400))
+    near = lambda k: text(k) + " and one more"
+    rows = [(1, text("a")), (1, text("q")), (2, near("a")), (3, near("q")), (None, text("n")), (None, text("m")), (8, near("n")), (9, near("m")),
+            (5, text("z")), (5, text("z"))]
+    df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, t1 int, component int").repartition(3)
+    got = sorted((str(r.doc_id), r.component_id) for r in setsketch.classes(df).collect())
+    assert got == sorted([("1", 1), ("1", 1), ("2", 1), ("3", 1), ("None", None), ("None", None), ("8", None), ("9", None), ("5", 5), ("5", 5)], key=str)
+    kept = setsketch.keep_one(df).collect()
+    assert sorted((str(r.doc_id), r.text[:1]) for r in kept) == [("1", "a"), ("1", "q"), ("5", "z"), ("None", "m"), ("None", "n")]
+    assert setsketch.keep_one(df).columns == df.columns
+
+
 def test_components(spark, docs):
     sets = {k: brute.shingles(t) for k, t in docs}
     root = brute.components(sets, 85)
@@ -209,7 +244,7 @@ def test_edited_texts(spark, docs):
 
 def test_the_next_document_across_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PER_BUCKET", 2)
-    monkeypatch.setattr(simhash, "FAN", 3)
+    monkeypatch.setattr(simhash, "RANGES", 3)
     ids = [None, -40, -7, 0, 1, 2, 3, 50, 51, 52, 400, 401, 1000, 1001, 5000, 5001, 5002, 9999]
     df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(3)
     rows = simhash.with_next(simhash.keyed(df)).where("copied = 0").collect()
@@ -217,6 +252,41 @@ def test_the_next_document_across_many_ranges(spark, monkeypatch):
     assert {r.text: r.next_text for r in rows} == {f"text {a}": f"text {b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def vote(text):
+    """A text's fingerprint, term by term and bit by bit."""
+    import re
+    import xxhash
+    sums, total = [0] * 64, 0
+    for word in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()):
+        weight, h = min(12, len(word)) ** 2, xxhash.xxh64_intdigest(word.encode(), seed=42)
+        total += weight
+        for k in range(64):
+            sums[k] += weight * (h >> k & 1)
+    return sum(1 << k for k in range(64) if 2 * sums[k] > total)
+
+
+def test_fingerprints_are_the_votes_of_all_terms(spark, docs):
+    texts = dict(docs)
+    order = sorted(texts, reverse=True)
+    got = {r.doc_id: r for r in QUERIES["op4_simhash"](spark, FOLDER).collect()}
+    for k, i in enumerate(order):
+        text, after = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+        half = len(text) // 2
+        own, other = vote(text), vote(text[:len(text) - half] + after[:half])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (f"{own:016x}", f"{other:016x}")
+        assert got[i].near_edited == 1 - (own ^ other).bit_count() / 64
+
+
+@pytest.mark.parametrize("ids", [[-9 * 10**18, 0, 9 * 10**18], [*range(40), 10**15], [-(1 << 63) + 1, (1 << 63) - 1], [*range(-20, 20), None, None]])
+def test_next_documents_of_widely_spread_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(simhash, "PER_BUCKET", 2)
+    df = spark.createDataFrame([(i, f"text {k} of {i}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    rows = simhash.with_next(simhash.keyed(df)).where("copied = 0").collect()
+    order = sorted(((-r.id, r.text) for r in rows))
+    want = {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    assert {r.text: r.next_text for r in rows} == want
+
+
 def test_fingerprints_on_awkward_rows(spark):
     table = awkward(spark, 2000)
     rows = simhash.edited_likeness(table).collect()

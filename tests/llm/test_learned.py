@@ -149,3 +149,25 @@ def test_pipeline(spark):
             assert all(new[k].ids == sp.encode(old[k].text) for k in new) and set(new) == set(old)
     final = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).collect()}
     assert final == {r.doc_id: r.ids for r in seen["sentencepiece"].collect()}
+
+
+def test_long_secrets_and_tokens_are_masked_whole(spark):
+    """A key of 400 characters and a token of 5 000: nothing of them is left in the clear."""
+    key, token = "kY7" * 133 + "z", "a1B2" * 1250
+    rows = [(k, f"first line {k}\napi_key={key}\nthen {token} and the end") for k in range(30)]
+    rows += [(100 + k, f"mail me at some{k}@example.com or +1 555 123 45{k % 10}7 now, card 4111 1111 1111 1111") for k in range(30)]
+    out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 100").collect()
+    assert all("kY7" not in r.text for r in out)
+    for pattern, text in ((pii.EXTRA["mixed"], token), (pii.EXTRA["secret"], f"api_key={key}")):
+        found = spark.createDataFrame([(f"x {text} y",)], "t string").selectExpr("t").select(pii.spans(pii.F.col("t"), pattern).alias("s")).first().s
+        assert [(s.start, s.stop) for s in found] == [(2, 2 + len(text))]
+
+
+def test_samples_of_shared_ids_stay_bounded(spark):
+    """One labelled id under many documents brings one row, whatever their number; nothing goes through one task."""
+    docs = spark.range(3000).select(pii.F.lit(7).cast("long").alias("doc_id"), pii.F.concat(pii.F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(7, 1, 1), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.sample(docs, labels, "doc_id", "text", "toxic", 100).count() == 1
+    from llm.common import bounded_sample
+    some = bounded_sample(spark.range(20000), "id", 500)
+    assert 350 < some.count() < 650 and "GlobalLimit" not in some._jdf.queryExecution().toString()
