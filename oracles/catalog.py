@@ -109,7 +109,7 @@ sql("sink_batch_jsonl", [WEB], """SELECT 'batch_' || lpad(CAST(batch_no AS VARCH
 sql("dedup_keep_first", [WEB], f"SELECT event_id, line_no, duration_ms FROM {i.first_rows('web_raw', 'event_id')}")
 sql("dedup_keep_earliest", [PAY], f"SELECT transaction_id, event_ts, amount_cents FROM {i.first_rows('pay_raw', 'transaction_id', 'event_ts, batch_no, line_no')}")
 sql("filter_required", [WEB], "SELECT platform, count(*) AS n FROM web_raw WHERE user_id IS NOT NULL GROUP BY platform")
-sql("filter_range", [PAY], "SELECT payment_method, count(*) AS n, max(amount_cents) AS max_cents FROM pay_raw WHERE amount_cents > 0 AND amount_cents < 25000000 GROUP BY 1")
+sql("filter_range", [PAY], "SELECT payment_method, count(*) AS n, max(amount_cents) AS max_cents FROM pay_raw WHERE amount_cents > 0 AND amount_cents < 99999999 GROUP BY 1")
 sql("filter_allowed", [PAY], f"SELECT status, count(*) AS n FROM pay_raw WHERE status IN {STATUS} GROUP BY 1")
 sql("filter_action", [WEB], "SELECT page, count(*) AS n FROM web_raw WHERE action = 'page_view' GROUP BY 1")
 sql("unit_convert", [WEB], "SELECT event_id, line_no, duration_ms / CAST(1000 AS DOUBLE) AS duration_s FROM web_raw")
@@ -280,6 +280,11 @@ sql("bl_build_plan", [WEB, PAY, *_W3], " UNION ALL ".join(
         ("web_analytics", "numeric", "after_clean", "duration_s", CV, "learn_clean"), ("web_analytics", "text", "after_ingest", "error_message", CV, "learn"),
         ("user_behavior", "numeric", "after_filter_sessions", "session_duration_s", CV, "learn_kept"),
         ("payment_processing", "numeric", "after_clean", "amount_usd", PM, "plearn_clean"), ("payment_processing", "text", "after_ingest", "error_message", PM, "plearn"))))
+sql("bl_merge", [WEB, *WEB_BASE], """SELECT s.seg AS segment, s.sample_count, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std,
+  (SELECT string_agg(CAST(coalesce(b.n, 0) AS VARCHAR), ',' ORDER BY pos) FROM (SELECT unnest(range(0, len(e.edges) - 1)) AS pos FROM bn_edges e WHERE e.seg = s.seg) q
+    LEFT JOIN bn_bins b ON b.seg = s.seg AND b.bin = q.pos) AS bin_counts, array_to_string(bv.batch_counts, ',') AS batch_counts, bv.usual, v.words, t.templates, t.records
+  FROM bn_stats s LEFT JOIN bv ON bv.seg = s.seg LEFT JOIN (SELECT seg, count(*) AS words FROM bt_vocab GROUP BY seg) v ON v.seg = s.seg
+  LEFT JOIN (SELECT seg, count(*) AS templates, CAST(sum(n) AS BIGINT) AS records FROM bt_templates GROUP BY seg) t ON t.seg = s.seg""")
 check("bl_lookup", WEB_SCEN + WEB_BASE, [c.unit("clean", "after_clean", 1, 1, "duration_s", "platform"), c.unit("clean", "after_clean", 1, 1, "duration_s", CV)], "clean")
 
 # --- alerts ---

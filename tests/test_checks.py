@@ -18,15 +18,22 @@ def frame(spark, values, kind="double", seg="v1", batch=1):
     return spark.createDataFrame([(batch, seg, i, v) for i, v in enumerate(values)], f"batch_no int, seg string, event_id int, f {kind}")
 
 
+def learned(df, spec, volume=False):
+    plan = Contract("p", (Checkpoint("cp", "seg", check_segment_volume=volume, fields=(("f", (spec,)),)),))
+    return baseline.build({"cp": df}, plan, df.select("batch_no")).freeze()
+
+
+def usual(df):
+    return baseline.segment_volume(baseline.daily_counts(df, "cp", "seg"), df.select("batch_no"))
+
+
 def numeric_base(spark, values):
     df = frame(spark, values)
-    plan = baseline.BaselinePlan((("cp", "f", "seg"),), (), (("cp", "seg"),))
-    return baseline.build({"cp": df}, plan, [1]).freeze()
+    return learned(df, Spec("numeric_drift"), volume=True)
 
 
 def text_base(spark, values):
-    plan = baseline.BaselinePlan((), (("cp", "f", "seg"),), ())
-    return baseline.build({"cp": frame(spark, values, "string")}, plan, [1]).freeze()
+    return learned(frame(spark, values, "string"), Spec("text_drift"))
 
 
 STEADY = [7.5 + (i * 5 % 17) * 0.35 for i in range(420)]
@@ -151,7 +158,7 @@ def volumes(spark, counts):
 
 def test_segment_volume(spark):
     learn = volumes(spark, {(1, "v1"): 71, (1, "v2"): 40, (2, "v1"): 66, (2, "v2"): 38, (3, "v1"): 75, (3, "v2"): 44})
-    base = baseline.Baselines(volume=baseline.segment_volume(learn, [1, 2, 3], "cp", "seg"))
+    base = baseline.Baselines(volume=usual(learn))
     got = {(r.batch_no, r.segment): r for r in run(volumes(spark, {(4, "v1"): 70, (5, "v1"): 70, (5, "v2"): 8}), base=base, check_segment_volume=True)}
     assert got[4, "v2"].message == "'v2' silent this batch" and got[4, "v1"].status == "pass"
     assert got[5, "v2"].message == "'v2' volume is 20% of its usual 40 rows"
@@ -162,13 +169,14 @@ def test_segment_volume(spark):
 
 
 def test_silent_batches_fail(spark):
-    """Batches that send nothing have no row to group: derived from the numbers around them, or given as a list."""
+    """Batches that send nothing have no row to group: they are known from a list, or from an earlier checkpoint; never from gaps."""
     learn = volumes(spark, {(b, v): n for b in (1, 2, 3) for v, n in (("v1", 70), ("v2", 40))})
-    base = baseline.Baselines(volume=baseline.segment_volume(learn, [1, 2, 3], "cp", "seg"))
+    base = baseline.Baselines(volume=usual(learn))
     point = Checkpoint("cp", "seg", min_rows=5, check_segment_volume=True)
     df = volumes(spark, {(4, "v1"): 70, (4, "v2"): 40, (7, "v1"): 70, (7, "v2"): 40})
     result = lambda out: {(r.batch_no, r.check, r.segment): (r.status, r.rows, r.message) for r in out.collect()}
-    got = result(checks.run_checkpoint(df, "p", point, 1, KEYS, base))
+    assert {(k[0], v[0]) for k, v in result(checks.run_checkpoint(df, "p", point, 1, KEYS, base)).items()} == {(4, "pass"), (7, "pass")}
+    got = result(checks.run_checkpoint(df, "p", point, 1, KEYS, base, checks.numbered_batches(spark, 4, 7)))
     assert len(got) == 4 * 3
     for b in (5, 6):
         assert got[b, "volume", None] == ("fail", 0, "0 rows, expected between 5 and None")
@@ -178,18 +186,65 @@ def test_silent_batches_fail(spark):
     assert {k[0] for k, v in given.items() if v[0] == "fail"} == {9} and {k[0] for k in given} == {4, 7, 9}
     none = result(checks.run_checkpoint(df.limit(0), "p", point, 1, KEYS, base, spark.createDataFrame([(4,)], "batch_no int")))
     assert {v[0] for v in none.values()} == {"fail"} and len(none) == 3
-    # a stage that loses the last batch, and a scenario that lacks a batch which another has
+    # a stage that loses a batch which the one before it had
     both = {"cp": df.where("batch_no = 4"), "in": df}
     plan = Contract("p", (Checkpoint("in", "seg", min_rows=5), Checkpoint("cp", "seg", min_rows=5)))
     lost = checks.run_contract(both, plan, {"in": 1, "cp": 2}, KEYS).where("checkpoint = 'cp' and status = 'fail'").collect()
-    assert sorted(r.batch_no for r in lost) == [5, 6, 7]
-    runs = df.withColumn("scenario", F.lit("a")).union(df.where("batch_no = 4").withColumn("scenario", F.lit("b")))
-    out = checks.run_checkpoint(runs, "p", point, 1, ["scenario", "batch_no"], base).where("check = 'volume' and status = 'fail'").collect()
-    assert sorted((r.scenario, r.batch_no) for r in out) == [("a", 5), ("a", 6), ("b", 5), ("b", 6), ("b", 7)]
+    assert [r.batch_no for r in lost] == [7]
+
+
+def test_gaps_in_batch_numbers_are_no_failures(spark):
+    """Dates, far numbers and numbers beyond 32 bits as batches: one row each, nothing in between, and one scan of the input."""
+    rows = [(b, "v1", i) for b in (20260131, 20260201, 3_000_000_000) for i in range(40)]
+    df = spark.createDataFrame(rows, "batch_no long, seg string, f int")
+    point = Checkpoint("cp", "seg", min_rows=5, fields=(("f", (Spec("range", min=0.0), Spec("nulls", max_null_rate=0.1))),))
+    out = checks.run_checkpoint(df, "p", point, 1, KEYS, expected=df.select("batch_no"))
+    assert sorted((r.batch_no, r.status) for r in out.where("check = 'volume'").collect()) == [
+        (20260131, "pass"), (20260201, "pass"), (3_000_000_000, "pass")]
+    plan = checks.run_checkpoint(df, "p", point, 1, KEYS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 0  # only the counted table is read, the input was read once
+
+
+def test_merged_baselines_equal_a_baseline_of_all_batches(spark):
+    rows = [(b, f"v{i % 3}" if b > 1 or i % 3 else "v0", float((i * 37 + b * 11) % 101), f"queue {i % 7} of {b} is slow") for b in (1, 2, 3) for i in range(80 * b)]
+    df = spark.createDataFrame(rows, "batch_no int, seg string, f double, g string")
+    plan = Contract("p", (Checkpoint("cp", "seg", check_segment_volume=True, fields=(("f", (Spec("unit"),)), ("g", (Spec("text_drift"),)))),))
+    part = lambda *b: baseline.build({"cp": df.where(F.col("batch_no").isin(*b))}, plan, df.where(F.col("batch_no").isin(*b)))
+    whole, merged = part(1, 2, 3).freeze(), part(1, 2).freeze().merge(part(3).freeze())
+    for name in vars(whole):
+        a, b = ([tuple(r) for r in getattr(x, name).select(*getattr(whole, name).columns).collect()] for x in (whole, merged))
+        shown = lambda t: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in t)
+        assert shown(a) == shown(b), name
+
+
+@pytest.mark.parametrize("n,m", [(5, 5), (7, 4), (12, 9), (40, 31), (30, 30)])
+def test_exact_ks_tail(n, m):
+    """Against a count of all lattice paths, at, just below and just above every step of the statistic."""
+    from fractions import Fraction
+    from functools import lru_cache
+    from math import comb
+    from tidegauge.functions.stats import ks_exact_tail
+
+    def count(d):
+        @lru_cache(None)
+        def inside(i, j):
+            if i < 0 or j < 0 or abs(Fraction(i, n) - Fraction(j, m)) >= d:
+                return 0
+            return 1 if i == j == 0 else inside(i - 1, j) + inside(i, j - 1)
+        return 1 - Fraction(inside(n, m), comb(n + m, n))
+
+    steps = sorted({abs(Fraction(i, n) - Fraction(j, m)) for i in range(n + 1) for j in range(m + 1)} - {Fraction(0)})
+    for d in steps[:: max(1, len(steps) // 12)]:
+        assert ks_exact_tail(float(d), n, m) == pytest.approx(float(count(d)), abs=1e-12)
+
+
+def test_exact_ks_of_large_samples_meets_the_series():
+    from tidegauge.functions.stats import ks_exact_tail
+    assert ks_exact_tail(0.05, 4000, 2500) == pytest.approx(2 * sum((-1) ** (k - 1) * 2.718281828 ** (-2 * k * k * 0.05**2 * 4000 * 2500 / 6500) for k in range(1, 9)), rel=0.05)
 
 
 def test_segment_volume_baseline_counts_silence_only_after_first_seen(spark):
-    out = baseline.segment_volume(volumes(spark, {(1, "a"): 10, (2, "b"): 5}), [1, 2], "cp", "seg").collect()
+    out = usual(volumes(spark, {(1, "a"): 10, (2, "b"): 5})).collect()
     assert {r.segment: list(r.batch_counts) for r in out} == {"a": [10, 0], "b": [5]}
 
 
@@ -215,8 +270,7 @@ def test_one_dead_segment_and_an_infinite_value_cost_nothing_else(spark):
     """A segment without values is `insufficient_data`, an infinite value is judged; neither stops the checkpoint."""
     rows = [("a", float(i % 50)) for i in range(300)] + [("b", None)] * 60 + [("c", float(i % 50)) for i in range(299)] + [("c", float("inf"))]
     df = spark.createDataFrame([(1, f"e{i}", s, x) for i, (s, x) in enumerate(rows)], "batch_no int, event_id string, seg string, f double")
-    plan = baseline.BaselinePlan((("cp", "f", "seg"),), (), ())
-    base = baseline.build({"cp": df}, plan, [1]).freeze()
+    base = learned(df, Spec("numeric_drift"))
     cp = Checkpoint("cp", "seg", fields=(("f", (Spec("unit", log_ratio_threshold=0.3), Spec("numeric_drift", psi_threshold=0.1, ks_alpha=0.01),
                                                 Spec("range", min=0.0, max=100.0))),))
     out = {(r.check, r.segment): r.status for r in checks.run_checkpoint(df, "p", cp, 1, KEYS, base).collect()}
@@ -228,8 +282,7 @@ def test_one_dead_segment_and_an_infinite_value_cost_nothing_else(spark):
 def test_text_where_numbers_belong_is_one_error_row_a_check(spark):
     df = spark.createDataFrame([(1, f"e{i}", "a" if i % 2 else "b", str(i) if i % 10 else "n/a") for i in range(200)],
                                "batch_no int, event_id string, seg string, f string")
-    plan = baseline.BaselinePlan((("cp", "f", "seg"),), (), ())
-    base = baseline.build({"cp": df.where("f <> 'n/a'")}, plan, [1]).freeze()
+    base = learned(df.where("f <> 'n/a'"), Spec("numeric_drift"))
     cp = Checkpoint("cp", "seg", min_rows=1, fields=(("f", (Spec("range", min=0.0), Spec("unit"), Spec("numeric_drift"), Spec("nulls", max_null_rate=0.5))),))
     rows = checks.run_checkpoint(df, "p", cp, 1, KEYS, base).collect()
     bad = [(r.check, r.message) for r in rows if r.status == "error"]
@@ -240,7 +293,7 @@ def test_text_where_numbers_belong_is_one_error_row_a_check(spark):
 def test_baselines_keep_every_value(spark):
     df = spark.range(30_000).select(F.lit(1).alias("batch_no"), F.col("id").cast("string").alias("event_id"), F.lit("a").alias("seg"),
                                     F.col("id").cast("double").alias("f"))
-    base = baseline.build({"cp": df}, baseline.BaselinePlan((("cp", "f", "seg"),), (), ()), [1]).freeze()
+    base = learned(df, Spec("numeric_drift"))
     assert base.values.agg(F.sum("n")).first()[0] == 30_000
     edges = base.numeric.first().edges
     assert edges[0] == 0 and edges[-1] == 29_999 and sum(base.numeric.first().bin_counts) == 30_000

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from tidegauge.functions import scalars as S
 from tidegauge.functions.ordered import exact_quantiles, smallest_by_hash
 from tidegauge.functions.stats import PSI_BINS
+from tidegauge.plans.contracts import Contract
 from tidegauge.session import cut
 
 SAMPLE_SEED = "42"
@@ -33,16 +34,15 @@ def _tag(df: DataFrame, checkpoint: str, field: str) -> DataFrame:
     return df.select(F.lit(checkpoint).alias("checkpoint"), F.lit(field).alias("field"), "*")
 
 
-def numeric_stats(df: DataFrame, checkpoint: str, field: str, segment_by: str | None) -> DataFrame:
-    """Count, mean, median and sample deviation of the non-missing values; zeros when empty."""
-    v = df.select(_segment(segment_by).alias("segment"), S.clean_number(field).alias("x"))
-    stats = v.groupBy("segment").agg(
-        F.count("x").alias("sample_count"), F.coalesce(F.avg("x"), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"))
-    median = exact_quantiles(v, ["segment"], "x", {"median": 0.5})
-    return _tag(stats.join(median, "segment", "left")
-                .select("segment", "sample_count", "mean",
-                        F.coalesce("median", F.lit(0.0)).alias("median"), "std"), checkpoint, field)
+def numeric_stats(values: DataFrame, seen: DataFrame) -> DataFrame:
+    """Count, mean, median and sample deviation per key, from the collapsed values; zeros when there are none. `seen` has every key."""
+    mean = values.groupBy(*KEY).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
+    apart = (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean")) * F.col("n")
+    std = values.join(mean, KEY).groupBy(*KEY).agg(F.first("mean").alias("mean"), F.when(
+        F.sum("n") > 1, F.sqrt(F.sum(apart) / (F.sum("n") - 1))).alias("std"))
+    median = exact_quantiles(values, KEY, "x", {"median": 0.5}, weight="n")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return seen.join(std, KEY, "left").join(median, KEY, "left").select(*KEY, "sample_count", zero("mean"), zero("median"), zero("std"))
 
 
 def numeric_sample(df: DataFrame, checkpoint: str, field: str, segment_by: str | None,
@@ -101,26 +101,29 @@ def templates(df: DataFrame, checkpoint: str, field: str, segment_by: str | None
     return _tag(found.select("segment", "template", "n"), checkpoint, field)
 
 
-def text_counts(df: DataFrame, checkpoint: str, field: str, segment_by: str | None) -> DataFrame:
-    return _tag(df.groupBy(_segment(segment_by).alias("segment")).agg(
-        F.count(field).alias("sample_count")), checkpoint, field)
+def value_counts(df: DataFrame, checkpoint: str, field: str, segment_by: str | None, numeric: bool = False) -> DataFrame:
+    """How many values every segment has, none included."""
+    value = S.clean_number(field) if numeric else F.col(field)
+    return _tag(df.groupBy(_segment(segment_by).alias("segment")).agg(F.count(value).alias("sample_count")), checkpoint, field)
 
 
-def segment_volume(df: DataFrame, batches: list[int], checkpoint: str, segment_by: str) -> DataFrame:
-    """Rows per batch for every segment, zero for batches after it was first seen; the median.
-    `batches` lists the batch numbers of the (frozen, short) learning period."""
-    counts = (df.where(F.col(segment_by).isNotNull())
-              .groupBy(F.col(segment_by).cast("string").alias("segment"), "batch_no")
-              .agg(F.count(F.lit(1)).alias("n")))
-    first = counts.groupBy("segment").agg(F.min("batch_no").alias("first"))
-    known = F.array(*[F.lit(b) for b in batches])
-    grid = first.select("segment", F.explode(F.filter(known, lambda b: b >= F.col("first"))).alias("batch_no"))
-    full = (grid.join(counts, ["segment", "batch_no"], "left")
-            .withColumn("n", F.coalesce("n", F.lit(0))))
-    per = full.groupBy("segment").agg(
+def daily_counts(df: DataFrame, checkpoint: str, segment_by: str) -> DataFrame:
+    """Rows per segment and batch; a missing segment is no segment."""
+    rows = df.where(F.col(segment_by).isNotNull()).groupBy(F.col(segment_by).cast("string").alias("segment"), "batch_no")
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(checkpoint).alias("checkpoint"), "segment", "batch_no", "n")
+
+
+def segment_volume(daily: DataFrame, batches: DataFrame) -> DataFrame:
+    """Rows per batch for every segment, zero for batches after it was first seen; the median. `batches` lists the batches of the
+    learning period."""
+    first = daily.groupBy("checkpoint", "segment").agg(F.min("batch_no").alias("first"))
+    period = batches.agg(F.collect_set("batch_no").alias("period"))  # one short list
+    grid = first.join(F.broadcast(period)).select("checkpoint", "segment", F.explode(
+        F.filter("period", lambda b: b >= F.col("first"))).alias("batch_no"))
+    full = grid.join(daily, ["checkpoint", "segment", "batch_no"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return full.groupBy("checkpoint", "segment").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("batch_no", "n"))), lambda s: s["n"]).alias("batch_counts"),
         F.percentile("n", 0.5).alias("median"))
-    return per.select(F.lit(checkpoint).alias("checkpoint"), "segment", "batch_counts", "median")
 
 
 @dataclass(frozen=True)
@@ -133,6 +136,9 @@ class Baselines:
     vocab: DataFrame | None = None     # KEY, token
     templates: DataFrame | None = None  # KEY, template, n
     volume: DataFrame | None = None    # checkpoint, segment, batch_counts, median
+    seen: DataFrame | None = None      # KEY, sample_count of numeric fields
+    daily: DataFrame | None = None     # checkpoint, segment, batch_no, n
+    batches: DataFrame | None = None   # batch_no: what was learned from
 
     def freeze(self) -> "Baselines":
         """Materialise every table once; all later passes read the small frozen result."""
@@ -145,49 +151,59 @@ class Baselines:
 
     @staticmethod
     def load(spark: SparkSession, folder: str, names: tuple[str, ...] = (
-            "numeric", "values", "text", "vocab", "templates", "volume")) -> "Baselines":
+            "numeric", "values", "text", "vocab", "templates", "volume", "seen", "daily", "batches")) -> "Baselines":
         return Baselines(**{n: spark.read.parquet(os.path.join(folder, n)) for n in names})
 
+    def merge(self, other: "Baselines") -> "Baselines":
+        """The baseline of both learning periods, from the two frozen ones: counts add up, word sets unite, and what is no sum (mean,
+        deviation, median, edges, usual volume) follows from the collapsed values. No batch is read again. The periods must not
+        share a batch."""
+        def both(name: str) -> DataFrame | None:
+            mine, theirs = getattr(self, name), getattr(other, name)
+            return mine if theirs is None else theirs if mine is None else mine.unionByName(theirs)
+
+        def added(name: str, by: list[str], count: str) -> DataFrame | None:
+            rows = both(name)
+            return None if rows is None else rows.groupBy(*by).agg(F.sum(count).alias(count))
+
+        templates, vocab, batches = both("templates"), both("vocab"), both("batches")
+        if templates is not None:
+            keyed = templates.withColumns(S.text_key("template")).groupBy(*KEY, "h1", "h2")
+            templates = keyed.agg(F.first("template").alias("template"), F.sum("n").alias("n")).drop("h1", "h2")
+        return derived(values=added("values", [*KEY, "x"], "n"), seen=added("seen", KEY, "sample_count"),
+                       text=added("text", KEY, "sample_count"), vocab=vocab.distinct() if vocab is not None else None, templates=templates,
+                       daily=added("daily", ["checkpoint", "segment", "batch_no"], "n"), batches=batches.distinct() if batches is not None else None)
 
-@dataclass(frozen=True)
-class BaselinePlan:
-    """What to profile for one pipeline: (checkpoint, field, segment column) triples."""
 
-    numeric: tuple[tuple[str, str, str], ...]
-    text: tuple[tuple[str, str, str], ...]
-    volume: tuple[tuple[str, str], ...]
+def derived(**counted: DataFrame | None) -> Baselines:
+    """Baselines of the counted tables, with what follows from them."""
+    values, daily = counted["values"], counted["daily"]
+    numeric = numeric_stats(values, counted["seen"]).join(value_bins(values), KEY, "left") if values is not None else None
+    volume = segment_volume(daily, counted["batches"]) if daily is not None else None
+    return Baselines(numeric=numeric, volume=volume, **counted)
 
 
-PLANS = {
-    "web_analytics": BaselinePlan(
-        (("after_clean", "duration_s", "client_version"),),
-        (("after_ingest", "error_message", "client_version"),),
-        (("after_clean", "client_version"),)),
-    "user_behavior": BaselinePlan(
-        (("after_filter_sessions", "session_duration_s", "client_version"),),
-        (), (("after_filter_sessions", "client_version"),)),
-    "payment_processing": BaselinePlan(
-        (("after_clean", "amount_usd", "payment_method"),),
-        (("after_ingest", "error_message", "payment_method"),),
-        (("after_clean", "payment_method"),)),
-}
+def targets(contract: Contract, *types: str) -> list[tuple[str, str, str | None]]:
+    """(checkpoint, field, segment column) of the contract's fields that have a check of one of these types."""
+    return [(cp.name, field, cp.segment_by) for cp in contract.checkpoints for field, specs in cp.fields if {s.type for s in specs} & set(types)]
 
 
 def _all(parts: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def build(frames: dict[str, DataFrame], plan: BaselinePlan, batches: list[int]) -> Baselines:
-    """Profile clean frames (checkpoint name -> frame with a batch_no column)."""
-    values = _all([numeric_values(frames[cp], cp, f, seg) for cp, f, seg in plan.numeric])
-    stats = _all([numeric_stats(frames[cp], cp, f, seg) for cp, f, seg in plan.numeric])
-    numeric = stats.join(value_bins(values), KEY, "left") if stats is not None else None
-    return Baselines(
-        numeric=numeric, values=values,
-        text=_all([text_counts(frames[cp], cp, f, seg) for cp, f, seg in plan.text]),
-        vocab=_all([vocabulary(frames[cp], cp, f, seg) for cp, f, seg in plan.text]),
-        templates=_all([templates(frames[cp], cp, f, seg) for cp, f, seg in plan.text]),
-        volume=_all([segment_volume(frames[cp], batches, cp, seg) for cp, seg in plan.volume]))
+def build(frames: dict[str, DataFrame], contract: Contract, batches: DataFrame) -> Baselines:
+    """Profile clean frames (checkpoint name -> frame with a batch_no column) for every check of `contract` that compares with a baseline.
+    `batches` (batch_no) is the learning period."""
+    numeric, text = targets(contract, "unit", "numeric_drift"), targets(contract, "text_drift")
+    volume = [cp for cp in contract.checkpoints if cp.check_segment_volume and cp.segment_by]
+    return derived(
+        values=_all([numeric_values(frames[cp], cp, f, seg) for cp, f, seg in numeric]),
+        seen=_all([value_counts(frames[cp], cp, f, seg, numeric=True) for cp, f, seg in numeric]),
+        text=_all([value_counts(frames[cp], cp, f, seg) for cp, f, seg in text]),
+        vocab=_all([vocabulary(frames[cp], cp, f, seg) for cp, f, seg in text]),
+        templates=_all([templates(frames[cp], cp, f, seg) for cp, f, seg in text]),
+        daily=_all([daily_counts(frames[cp.name], cp.name, cp.segment_by) for cp in volume]), batches=batches.select("batch_no").distinct())
 
 
 def profiles(base: Baselines) -> DataFrame:

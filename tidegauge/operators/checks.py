@@ -9,20 +9,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, NumericType
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from tidegauge.functions import scalars as S
 from tidegauge.operators import drift
 from tidegauge.operators.baseline import Baselines
 from tidegauge.plans.contracts import Checkpoint, Contract, Spec
+from tidegauge.session import cut
 
 MIN_SAMPLE = 30
 KS_MIN_STATISTIC = 0.1
 KEY_SET_SHOWN = 5
-SEGMENT_BUCKETS = 16
 
 RESULT_FIELDS = [
     ("check_seq", "int"), ("check", "string"), ("check_type", "string"), ("field", "string"),
@@ -113,6 +113,8 @@ class _Compiler:
         self.batch_rows: list[Column] = []      # once per batch
         self.ordered: dict[str, bool] = {}      # field -> KS wanted
         self.seq = 0
+        self.fused: DataFrame | None = None
+        self.shared = cp.check_segment_volume or cp.min_rows is not None or cp.max_rows is not None
 
     def next(self) -> int:
         self.seq += 1
@@ -373,9 +375,17 @@ class _Compiler:
         elif spec.type == "text_drift":
             self.text_drift(field, spec)
 
+    def counted(self) -> DataFrame:
+        """The one fused aggregation per (keys, segment). Where a volume check also looks at it, it is written once: a row a batch and
+        segment, instead of another scan."""
+        if self.fused is None:
+            out = self.df.groupBy(*self.keys, "_seg").agg(*[c.alias(n) for n, c in self.aggs.items()])
+            self.fused = cut(out) if self.shared else out
+        return self.fused
+
     def stats(self) -> DataFrame:
-        """The wide row per (keys, segment): the one fused aggregation plus the side results."""
-        out = self.df.groupBy(*self.keys, "_seg").agg(*[c.alias(n) for n, c in self.aggs.items()])
+        """The wide row per (keys, segment): the fused aggregation plus the side results."""
+        out = self.counted()
         if self.batch_rows or any(n != "n_rows" for n in self.totals):
             totals = out.groupBy(*self.keys).agg(*[F.sum(n).alias(f"t_{n}") for n in sorted(self.totals)], F.min("_seg").alias("_one"))
             out = out.join(totals, self.keys).withColumn("_first", F.col("_seg") == F.col("_one"))
@@ -399,88 +409,96 @@ class _Compiler:
                 .where(F.col("r").isNotNull()).select(*self.keys, "r.*"))
 
 
-def expected_batches(frames: list[DataFrame], keys: list[str], expected: DataFrame | None = None) -> DataFrame:
-    """Keys of every batch that has rows in `frames` or should have: those of the list `expected`, or else every number
-    between the least and the greatest `batch_no` of all rows, for every value of the other keys. Batches that are not
-    numbered are known only by a list."""
-    seen = reduce(DataFrame.union, [f.select(*keys).distinct() for f in frames]).distinct()
-    if expected is None:
-        if "batch_no" not in keys or not isinstance(seen.schema["batch_no"].dataType, IntegralType):
-            return seen
-        numbers = seen.agg(F.sequence(F.min("batch_no"), F.max("batch_no")).alias("n")).select(F.explode("n").alias("batch_no"))
-        others = [k for k in keys if k != "batch_no"]
-        expected = seen.select(*others).distinct().crossJoin(numbers) if others else numbers
-    return expected.select(*keys).union(seen).distinct()
+def numbered_batches(spark: SparkSession, first: int, last: int, step: int = 1) -> DataFrame:
+    """An expected-batch list for batches that are numbered with a fixed step."""
+    return spark.range(first, last + 1, step).select(F.col("id").cast("int").alias("batch_no"))
 
 
-def silent_volume(df: DataFrame, cp: Checkpoint, keys: list[str], batches: DataFrame, seq: int) -> DataFrame:
-    """The volume check of the batches without a row in `df`: they are in no aggregate over it."""
+def silent_volume(absent: DataFrame, cp: Checkpoint, keys: list[str], seq: int) -> DataFrame:
+    """The volume check of expected batches without a row."""
     lo, hi = cp.min_rows, cp.max_rows
     row = _measure(check_seq=seq, kind="count", check="volume", check_type="volume", rows=0, metric=0, threshold=lo,
                    ok=(lo is None or lo <= 0) and (hi is None or hi >= 0), extra=f" rows, expected between {lo} and {hi}")
-    return batches.subtract(df.select(*keys)).select(*keys, row.alias("r")).select(*keys, "r.*")
+    return absent.select(*keys, row.alias("r")).select(*keys, "r.*")
 
 
-def segment_volume(df: DataFrame, cp: Checkpoint, keys: list[str], base: Baselines | None, seq: int,
-                   batches: DataFrame) -> DataFrame:
-    """One measured row per expected batch and segment the baseline knows, present or not. The pairing is an
-    equi-join on a hash bucket of the segment, so both sides stay partitioned."""
+def segment_volume(counts: DataFrame, cp: Checkpoint, keys: list[str], base: Baselines | None, seq: int,
+                   batches: DataFrame, segmented: bool) -> DataFrame:
+    """One measured row per batch and segment the baseline knows, present or not: the output asked for. Segments are dealt to as many
+    buckets as shuffles have partitions and every batch visits each, so the pairing is an equi-join. `counts`: keys, _seg, n_rows."""
     common = dict(check_seq=seq, kind="segment_volume", check="segment_volume", check_type="volume")
-    known = (base.volume.where(F.col("checkpoint") == cp.name) if base and base.volume is not None else None)
-    row = None
-    if known is None or known.isEmpty():
-        row = _measure(fixed="insufficient_data", extra="no segment-volume baseline yet", **common)
-    elif not cp.segment_by or cp.segment_by not in df.columns:
-        row = _measure(fixed="error", extra="no segment column to count by", **common)
-    if row is not None:
-        return batches.select(*keys, row.alias("r")).select(*keys, "r.*")
-    counts = (df.groupBy(*keys, S.segment_of(cp.segment_by).alias("_seg")).agg(F.count(F.lit(1)).alias("current")))
+
+    def for_each(found: DataFrame, **what) -> DataFrame:
+        return found.select(*keys, _measure(**what, **common).alias("r")).select(*keys, "r.*")
+
+    no_base = dict(fixed="insufficient_data", extra="no segment-volume baseline yet")
+    if base is None or base.volume is None:
+        return for_each(batches, **no_base)
+    known = base.volume.where(F.col("checkpoint") == cp.name)
+    any_known = known.select(F.col("checkpoint").alias("_cp")).distinct()
+    unknown = for_each(batches.withColumn("_cp", F.lit(cp.name)).join(any_known, "_cp", "left_anti").drop("_cp"), **no_base)
+    if not segmented:
+        told = batches.withColumn("_cp", F.lit(cp.name)).join(any_known, "_cp", "left_semi").drop("_cp")
+        return for_each(told, fixed="error", extra="no segment column to count by").unionByName(unknown)
+    buckets = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = known.where(F.col("median") > 0).select(
-        F.col("segment").alias("_seg"), F.col("median").alias("usual"),
-        F.pmod(F.hash("segment"), F.lit(SEGMENT_BUCKETS)).alias("_bucket"))
-    spread = batches.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BUCKETS - 1))))
-    full = (spread.join(known, "_bucket").drop("_bucket").join(counts, [*keys, "_seg"], "left")
+        F.col("segment").alias("_seg"), F.col("median").alias("usual"), F.pmod(F.hash("segment"), F.lit(buckets)).alias("_bucket"))
+    visits = batches.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    full = (visits.join(known, "_bucket").drop("_bucket").join(counts.select(*keys, "_seg", F.col("n_rows").alias("current")), [*keys, "_seg"], "left")
             .withColumn("current", F.coalesce("current", F.lit(0))))
     share = F.col("current") / F.col("usual")
-    row = _measure(segment=F.col("_seg"), rows=F.col("current"), metric=share, threshold=cp.min_share_of_baseline,
-                   baseline=F.col("usual"), ok=share >= cp.min_share_of_baseline, **common)
-    return full.select(*keys, row.alias("r")).select(*keys, "r.*")
+    return for_each(full, segment=F.col("_seg"), rows=F.col("current"), metric=share, threshold=cp.min_share_of_baseline,
+                    baseline=F.col("usual"), ok=share >= cp.min_share_of_baseline).unionByName(unknown)
 
 
-def run_checkpoint(df: DataFrame, pipeline: str, cp: Checkpoint, order: int, keys: list[str],
-                   base: Baselines | None = None, expected: DataFrame | None = None) -> DataFrame | None:
-    """All results of one checkpoint over every batch in `df` (None when nothing is checked). The volume checks also judge
-    batches without rows, see `expected_batches`."""
+def _run_checkpoint(df: DataFrame, pipeline: str, cp: Checkpoint, order: int, keys: list[str], base: Baselines | None,
+                    expected: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(results, batches seen or expected, where the checkpoint has counted them)."""
     c = _Compiler(df, cp, keys, base)
-    parts = []
+    volume_seq = segment_seq = None
     if cp.min_rows is not None or cp.max_rows is not None:
         c.volume()
-        parts.append(silent_volume(df, cp, keys, expected_batches([df], keys, expected), c.seq))
+        volume_seq = c.seq
     if cp.check_segment_volume:
-        parts.append(segment_volume(df, cp, keys, base, c.next(), expected_batches([df], keys, expected)))
+        segment_seq = c.next()
     for field, specs in cp.fields:
         for spec in specs:
             try:
                 c.field_check(field, spec)
             except Exception as error:  # noqa: BLE001 - a check that cannot be built is recorded, not fatal
                 c.crashed(field, spec, error)
-    fused = c.measured()
-    if fused is not None:
-        parts.insert(0, fused)
+    parts, batches = [c.measured()], None
+    if c.shared:
+        seen = c.counted().select(*keys).distinct()
+        absent = expected.select(*keys).distinct().join(seen, keys, "left_anti") if expected is not None else None
+        batches = seen if absent is None else seen.unionByName(absent)
+        if volume_seq is not None and absent is not None:
+            parts.append(silent_volume(absent, cp, keys, volume_seq))
+        if segment_seq is not None:
+            parts.append(segment_volume(c.counted(), cp, keys, base, segment_seq, batches, c.segmented))
+    parts = [p for p in parts if p is not None]
     if not parts:
-        return None
+        return None, batches
     out = _graded(reduce(DataFrame.unionByName, parts), keys)
     return out.select(*keys, F.lit(pipeline).alias("pipeline"), F.lit(cp.name).alias("checkpoint"),
-                      F.lit(order).alias("cp_order"), *[n for n, _ in RESULT_FIELDS])
+                      F.lit(order).alias("cp_order"), *[n for n, _ in RESULT_FIELDS]), batches
+
+
+def run_checkpoint(df: DataFrame, pipeline: str, cp: Checkpoint, order: int, keys: list[str],
+                   base: Baselines | None = None, expected: DataFrame | None = None) -> DataFrame | None:
+    """All results of one checkpoint over every batch in `df` (None when nothing is checked). The volume checks also judge the batches of
+    the list `expected` (keys) that have no row; nothing is concluded from gaps in batch numbers."""
+    return _run_checkpoint(df, pipeline, cp, order, keys, base, expected)[0]
 
 
 def run_contract(frames: dict[str, DataFrame], contract: Contract, orders: dict[str, int], keys: list[str],
                  base: Baselines | None = None, expected: DataFrame | None = None) -> DataFrame | None:
     """Results of a whole contract; `frames` maps checkpoint names to stage outputs and `orders`
-    gives each checkpoint its place in the pipeline. A batch that any stage still has is expected at all of them."""
-    used = [frames[cp.name] for cp in contract.checkpoints]
-    expected = expected_batches(used, keys, expected) if used else None
-    parts = [run_checkpoint(frames[cp.name], contract.pipeline, cp, orders[cp.name], keys, base, expected)
-             for cp in contract.checkpoints]
+    gives each checkpoint its place in the pipeline. A batch that an earlier checkpoint has counted is expected at the later ones."""
+    parts = []
+    for cp in contract.checkpoints:
+        found, batches = _run_checkpoint(frames[cp.name], contract.pipeline, cp, orders[cp.name], keys, base, expected)
+        parts.append(found)
+        expected = batches if batches is not None else expected
     parts = [p for p in parts if p is not None]
     return reduce(DataFrame.unionByName, parts) if parts else None

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tidegauge.functions import scalars as S
 from tidegauge.functions.ordered import prefix_sums
-from tidegauge.functions.stats import PSI_BINS, ks_pvalue, psi_of
+from tidegauge.functions.stats import PSI_BINS, ks_exact, ks_pvalue, psi_of
 from tidegauge.operators.baseline import inner_edges
 
 SAMPLE_TEMPLATES = 3
@@ -79,7 +79,8 @@ def ordered_stats(df: DataFrame, keys: list[str], field: str, known: DataFrame |
         aggs += [F.max(gap).alias("ks_d"), F.max("all_n_ref").alias("ks_n")]
     out = run.groupBy(*seg).agg(*aggs).withColumn("median", (F.col("_lo") + F.col("_hi")) / F.lit(2.0)).drop("_lo", "_hi")
     if known is not None:
-        out = out.withColumn("ks_p", ks_pvalue(F.col("ks_d"), F.col("ks_n"), F.col("ks_m")))
+        sides = (F.col("ks_d"), F.col("ks_n"), F.col("ks_m"))
+        out = out.withColumn("ks_p", F.coalesce(ks_exact(*sides), ks_pvalue(*sides)))
     return out
 
 

@@ -234,7 +234,7 @@ def filter_required(spark, d):
 @query
 def filter_range(spark, d):
     raw = views.payments_raw(spark, d)
-    return stages.filter_range(raw, "amount_cents", 0.0, 25_000_000.0).groupBy("payment_method").agg(
+    return stages.filter_range(raw, "amount_cents", 0.0, 99_999_999.0).groupBy("payment_method").agg(
         F.count(F.lit(1)).alias("n"), F.max("amount_cents").alias("max_cents"))
 
 
@@ -423,21 +423,22 @@ def drift_template(spark, d):
     return _shape(out.where(F.col("check").startswith("template_drift:")))
 
 
+MESSAGES = Checkpoint("after_ingest", "lang", fields=(("text", (Spec("text_drift"),)),))
+
+
 def _messages(spark, d):
     """Whole documents as log messages; the first three feeds are the baseline."""
     msgs = spread(views.messages(spark, d)).withColumn("scenario", F.lit("documents"))
-    plan = baseline.BaselinePlan((), (("after_ingest", "text", "lang"),), ())
+    learned = msgs.where(F.col("batch_no").isin(*ev.BASELINE_BATCHES))
     base = _once(spark, d, "base-messages", lambda: baseline.build(
-        {"after_ingest": msgs.where(F.col("batch_no").isin(*ev.BASELINE_BATCHES))}, plan, ev.BASELINE_BATCHES).freeze())
+        {"after_ingest": learned}, Contract("documents", (MESSAGES,)), learned.select("batch_no")).freeze())
     return msgs, base
 
 
 @query
 def drift_text_documents(spark, d):
     msgs, base = _messages(spark, d)
-    cp = Checkpoint("after_ingest", "lang", fields=(("text", (Spec("text_drift"),)),))
-    out = checks.run_checkpoint(msgs, "documents", cp, 1, ev.RUN, base)
-    return _shape(out).drop("message")
+    return _shape(checks.run_checkpoint(msgs, "documents", MESSAGES, 1, ev.RUN, base)).drop("message")
 
 
 @query
@@ -580,6 +581,20 @@ def bl_build_plan(spark, d):
     return functools.reduce(DataFrame.unionByName, out)
 
 
+@query
+def bl_merge(spark, d):
+    """The baseline of the first two batches, frozen, takes the third without reading the others again."""
+    raw = _raw(spark, d, "web_analytics")
+    *before, last = ev.BASELINE_BATCHES
+    b = ev.learn(raw, "web_analytics", before).freeze().merge(ev.learn(raw, "web_analytics", [last]).freeze())
+    usual = b.volume.select("segment", F.array_join(F.col("batch_counts").cast("array<string>"), ",").alias("batch_counts"), F.col("median").alias("usual"))
+    words = b.vocab.groupBy("segment").agg(F.count(F.lit(1)).alias("words"))
+    shapes = b.templates.groupBy("segment").agg(F.count(F.lit(1)).alias("templates"), F.sum("n").alias("records"))
+    out = b.numeric.select("segment", "sample_count", "mean", "median", "std", F.array_join(F.transform(
+        "bin_counts", lambda n: n.cast("string")), ",").alias("bin_counts"))
+    return _r(out.join(usual, "segment", "left").join(words, "segment", "left").join(shapes, "segment", "left"), "mean", "median", "std")
+
+
 @query
 def bl_lookup(spark, d):
     """Exact-key baseline lookup: platforms are no known segments, so nothing is found for them."""

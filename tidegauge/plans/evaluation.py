@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators import alerts, checks, faults, guard, scoring
-from tidegauge.operators.baseline import PLANS, Baselines, build
+from tidegauge.operators.baseline import Baselines, build
 from tidegauge.plans import behavior, contracts, payments, web
 from tidegauge.session import cut, spread, staged
 
@@ -68,7 +68,7 @@ def learn(raw: DataFrame, pipeline: str, batches: list[int] | None = None) -> Ba
     """Profile the learning batches, each batch cleaned on its own."""
     p, known = PIPELINES[pipeline], batches or BASELINE_BATCHES
     frames = p.frames(raw.where(F.col("batch_no").isin(*known)), ("batch_no",))
-    return build(frames, PLANS[pipeline], known)
+    return build(frames, contracts.CONTRACTS[pipeline], raw.sparkSession.createDataFrame([(b,) for b in known], "batch_no int"))
 
 
 def crashes(scen: DataFrame, p: Pipeline) -> DataFrame:
