@@ -315,8 +315,14 @@ def recursive(name: str, ctes: list[str], select: str) -> None:
     ORACLES[name] = "WITH RECURSIVE " + ",".join(ctes) + "\n" + select
 
 
-recursive("alert_lineage", GUARDED + [GRAPH, REACH], """SELECT scenario AS pipeline, alert_id, nullif(root_field, '') AS root_field, coalesce(o, '') AS affected_outputs
-  FROM latest LEFT JOIN (SELECT start, string_agg(DISTINCT substr(node, 5), ', ' ORDER BY substr(node, 5)) AS o FROM reach WHERE node LIKE 'out:%' GROUP BY start) r
+recursive("alert_lineage", GUARDED + [GRAPH, REACH, """
+prior AS (SELECT target, min(source) AS source FROM links GROUP BY target),
+way AS (SELECT n AS start, n AS here, 1 AS k FROM (SELECT source AS n FROM links UNION SELECT target FROM links WHERE target LIKE 'field:%')
+  UNION SELECT w.start, p.source, w.k + 1 FROM way w JOIN prior p ON p.target = w.here WHERE w.k < 9),
+told AS (SELECT start, string_agg('field ' || substr(here, 7), ' < ' ORDER BY k) AS lineage FROM way GROUP BY start)"""],
+    """SELECT scenario AS pipeline, alert_id, nullif(root_field, '') AS root_field, coalesce(o, '') AS affected_outputs,
+    coalesce(lineage, '') AS lineage
+  FROM latest LEFT JOIN told ON told.start = 'field:' || root_field LEFT JOIN (SELECT start, string_agg(DISTINCT substr(node, 5), ', ' ORDER BY substr(node, 5)) AS o FROM reach WHERE node LIKE 'out:%' GROUP BY start) r
   ON r.start = 'field:' || root_field""")
 sql("alert_lineage_2hop", GUARDED + [GRAPH], """SELECT scenario AS pipeline, alert_id, nullif(root_field, '') AS root_field, o AS affected_outputs
   FROM latest LEFT JOIN (SELECT a.source, string_agg(DISTINCT b.target, ', ' ORDER BY b.target) AS o FROM links a JOIN links b ON b.source = a.target
@@ -329,6 +335,16 @@ sql("alert_stream_events", UNGUARDED, f"""SELECT * REPLACE (replace(alert_id, 'w
     ON f.scenario = e.scenario AND f.checkpoint = e.checkpoint AND f.root = e.root AND f.segment IS NOT DISTINCT FROM e.segment AND f.island = e.island
   WHERE e.nb <> -1)""")
 
+sql("src_batch_chain", OURS, f"SELECT {SHAPE} FROM kept WHERE scenario = 'unit_change_android'")
+sql("src_batch_chain_alerts", OURS + [c.alert_ctes("kept", "web_analytics")], f"""SELECT checkpoint, alert_id, batch_no, first_batch, severity, message, event FROM (
+  SELECT scenario, checkpoint, alert_id, batch_no, first_batch, {_SEV} AS severity, alert_message AS message,
+    CASE WHEN worst IS NULL THEN 'opened' ELSE 'changed' END AS event FROM chg
+  UNION ALL SELECT e.scenario, e.checkpoint, e.alert_id, e.nb, e.first_batch, f.severity, f.message, 'closed' FROM epi e JOIN (
+    SELECT scenario, checkpoint, root, segment, island, arg_max({_SEV}, batch_no * 1000 + check_seq) AS severity,
+      arg_max(alert_message, batch_no * 1000 + check_seq) AS message FROM chg GROUP BY ALL) f
+    ON f.scenario = e.scenario AND f.checkpoint = e.checkpoint AND f.root = e.root AND f.segment IS NOT DISTINCT FROM e.segment AND f.island = e.island
+  WHERE e.nb <> -1) WHERE scenario = 'unit_change_android'""")
+
 # --- faults ---
 PAY_ONE = [PAY, i.scenario_frame("scen", "pay_raw", i.PAY_FAULTS, "transaction_id", PM, "amount_cents")]
 WEB_ONE = WEB_SCEN[:2]
@@ -412,15 +428,19 @@ recursive("lineage_downstream", [SALES, WALK], """SELECT pipeline, start, count(
 recursive("lineage_upstream", [SALES, WALK], "SELECT pipeline, node AS start, count(*) AS nodes FROM reach WHERE start <> node GROUP BY ALL")
 recursive("lineage_affected_outputs", [SALES, WALK], """SELECT DISTINCT pipeline, substr(start, 7) AS field, substr(node, 5) AS output FROM reach
   WHERE start LIKE 'field:part%' AND node LIKE 'out:%'""")
-sql("lineage_unused_fields", [SALES], """SELECT DISTINCT pipeline, substr(target, 7) AS field FROM edges w WHERE type = 'writes' AND NOT EXISTS (
-    SELECT 1 FROM edges u WHERE u.pipeline = w.pipeline AND u.source = w.target AND (u.type IN ('reads', 'produces')
-      OR u.type = 'derives' AND u.target NOT IN ('field:nation_3', 'field:nation_7')))""")
+sql("lineage_unused_fields", [SALES, """
+written AS (SELECT pipeline, target FROM edges WHERE type = 'writes'
+  UNION SELECT p.pipeline, 'field:part_' || p_partkey FROM part, (SELECT DISTINCT 'line_' || l_linenumber AS pipeline FROM lineitem) p)"""],
+    """SELECT pipeline, substr(target, 7) AS field FROM written w WHERE NOT EXISTS (
+    SELECT 1 FROM edges u WHERE u.pipeline = w.pipeline AND u.source = w.target AND u.type IN ('reads', 'produces', 'derives'))""")
 sql("lineage_stage_summary", [SALES, """
 roles AS (
   SELECT DISTINCT pipeline, 'stage:' || stage AS stage, unnest(['reads', 'writes']) AS role, unnest([part, supp]) AS label FROM sales
   UNION SELECT d.pipeline, 'stage:' || w.stage, 'transforms', d.part || '->' || d.supp
   FROM (SELECT DISTINCT pipeline, part, supp FROM sales) d JOIN (SELECT DISTINCT pipeline, supp, stage FROM sales) w
-    ON w.pipeline = d.pipeline AND w.supp = d.supp)"""],
+    ON w.pipeline = d.pipeline AND w.supp = d.supp
+  UNION SELECT s.pipeline, 'stage:' || s.stage, 'produces', r.region
+  FROM (SELECT DISTINCT pipeline, stage FROM sales) s JOIN (SELECT DISTINCT pipeline, region FROM sales) r ON r.pipeline = s.pipeline)"""],
     "SELECT pipeline, stage, role, count(*) AS n, min(label) AS first_label, max(label) AS last_label FROM roles GROUP BY ALL")
 OBS = """
 observed AS (SELECT DISTINCT 'line_' || l_linenumber AS pipeline, unnest(['part_' || l_partkey, 'supp_' || l_suppkey, 'status_' || l_linestatus]) AS label

@@ -71,17 +71,67 @@ def upstream(nodes: DataFrame, edges: DataFrame, node_type: str | None = None,
     return downstream(nodes, turned, node_type, starts)
 
 
+def reached_outputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pipeline, node, output, label): the outputs each node reaches, by sets pushed back against the edges. A pipeline's outputs are
+    numbered and held as bits of one long per 64 of them; a round sends what a node has newly learned to the nodes before it, joined by
+    `bit_or`. A round shuffles at most one row an edge (and long), whatever the number of pairs; cycles end as bits stop changing."""
+    number = F.row_number().over(Window.partitionBy("pipeline").orderBy("id")) - 1
+    outs = nodes.where(F.col("type") == "output").select("pipeline", "id", "label").dropDuplicates(["pipeline", "id"])
+    outs = cut(outs.withColumn("_n", number).select("pipeline", "id", "label", F.expr("_n div 64").alias("word"), (F.col("_n") % 64).alias("bit")))
+    links = cut(lineage_edges(edges)).select("pipeline", F.col("source").alias("before"), F.col("target").alias("node"))
+    known = outs.select("pipeline", F.col("id").alias("node"), "word", F.expr("shiftleft(1L, cast(bit as int))").alias("bits"))
+    fresh = known
+    while True:
+        told = links.join(fresh, ["pipeline", "node"]).groupBy("pipeline", F.col("before").alias("node"), "word").agg(F.bit_or("bits").alias("told"))
+        both = told.join(known, ["pipeline", "node", "word"], "left")
+        fresh = cut(both.select("pipeline", "node", "word", F.expr("told & ~coalesce(bits, 0L)").alias("bits")).where("bits <> 0"))
+        if fresh.isEmpty():
+            break
+        known = cut(known.unionByName(fresh).groupBy("pipeline", "node", "word").agg(F.bit_or("bits").alias("bits")))
+    each = known.select("pipeline", "node", "word", F.explode(F.expr(
+        "filter(sequence(0L, 63L), b -> (shiftrightunsigned(bits, cast(b as int)) & 1L) = 1)")).alias("bit"))
+    found = each.join(outs.withColumn("bit", F.col("bit").cast("bigint")), ["pipeline", "word", "bit"])
+    return found.where(F.col("node") != F.col("id")).select("pipeline", "node", F.col("id").alias("output"), "label")
+
+
 def affected_outputs(nodes: DataFrame, edges: DataFrame, fields: DataFrame | None = None) -> DataFrame:
-    """(pipeline, field, output) labels. `fields` (pipeline, field) limits the walk to some fields;
-    an unknown field gives no rows."""
-    named = nodes.where(F.col("type") == "field").select("pipeline", F.col("id").alias("start"), F.col("label").alias("field"))
+    """(pipeline, field, output) labels. `fields` (pipeline, field) limits the result to some fields; an unknown field gives no rows."""
+    named = nodes.where(F.col("type") == "field").select("pipeline", F.col("id").alias("node"), F.col("label").alias("field"))
     if fields is not None:
         named = named.join(fields.select("pipeline", "field").distinct(), ["pipeline", "field"])
-    hits = downstream(nodes, edges, "output", named.select("pipeline", "start"))
-    return (hits.join(named, ["pipeline", "start"])
+    return (reached_outputs(nodes, edges).join(named, ["pipeline", "node"])
             .select("pipeline", "field", F.col("label").alias("output")).distinct())
 
 
+TRACE = "array<struct<node_id:string,node_type:string,label:string>>"
+
+
+def traces(nodes: DataFrame, edges: DataFrame, fields: DataFrame) -> DataFrame:
+    """(pipeline, field, lineage) for the asked fields (pipeline, field): the way from the failing field back to where its data comes from,
+    as steps (node_id, node_type, label), the field first. Every node keeps one node before it, the smallest id; a frontier of one row
+    a field follows these pointers a step a round, and stops at a node without one or, in a cycle, before a node it has passed. Fields
+    that the graph does not know have no row."""
+    known = nodes.select("pipeline", "id", F.struct(F.col("id").alias("node_id"), F.col("type").alias("node_type"), "label").alias("step"))
+    known = known.groupBy("pipeline", "id").agg(F.min("step").alias("step"))
+    before = lineage_edges(edges).where(F.col("source") != F.col("target")).groupBy("pipeline", F.col("target").alias("at")).agg(
+        F.min("source").alias("id"))
+    pointers = cut(before.join(known, ["pipeline", "id"]).select("pipeline", "at", F.col("id").alias("prior"), F.col("step").alias("more")))
+    asked = fields.select("pipeline", "field").distinct()
+    starts = known.where(F.col("step.node_type") == "field").withColumn("field", F.col("step.label"))
+    starts = starts.groupBy("pipeline", "field").agg(F.min_by("step", "id").alias("step"))
+    frontier = cut(asked.join(starts, ["pipeline", "field"]).select("pipeline", "field", F.col("step.node_id").alias("at"), F.array("step").alias("lineage")))
+    done = []
+    while True:
+        moved = frontier.join(pointers, ["pipeline", "at"], "left")
+        on = F.col("prior").isNotNull() & ~F.exists("lineage", lambda s: s["node_id"] == F.col("prior"))
+        moved = cut(moved.select("pipeline", "field", on.alias("on"), F.when(on, F.col("prior")).otherwise(F.col("at")).alias("at"),
+                                 F.when(on, F.concat("lineage", F.array("more"))).otherwise(F.col("lineage")).alias("lineage")))
+        done.append(moved.where("not on").select("pipeline", "field", "lineage"))
+        frontier = moved.where("on").drop("on")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
 def unused_fields(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Fields written but never read, derived from or produced."""
     used = (edges.where(F.col("type").isin("reads", "derives", "produces"))
@@ -163,12 +213,15 @@ def merge_report(nodes: DataFrame, edges: DataFrame, observed: DataFrame) -> Dat
 
 
 def alerts_with_outputs(alerts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Alerts with the outputs their root field can reach (comma separated, empty when unknown)."""
+    """Alerts with the way back from their root field (`lineage`, empty when the field is unknown or missing) and the outputs it can
+    reach (comma separated; a pipeline's outputs are few)."""
     fields = alerts.where(F.col("root_field").isNotNull()).select("pipeline", F.col("root_field").alias("field"))
     hit = (affected_outputs(nodes, edges, fields).groupBy("pipeline", F.col("field").alias("root_field"))
            .agg(F.array_join(F.array_sort(F.collect_set("output")), ", ").alias("affected_outputs")))
-    return alerts.join(hit, ["pipeline", "root_field"], "left").withColumn(
-        "affected_outputs", F.coalesce("affected_outputs", F.lit("")))
+    way = traces(nodes, edges, fields).withColumnRenamed("field", "root_field")
+    out = alerts.join(hit, ["pipeline", "root_field"], "left").join(way, ["pipeline", "root_field"], "left")
+    return out.withColumns({"affected_outputs": F.coalesce("affected_outputs", F.lit("")),
+                            "lineage": F.coalesce("lineage", F.array().cast(TRACE))})
 
 
 def alerts_two_hops(alerts: DataFrame, edges: DataFrame) -> DataFrame:

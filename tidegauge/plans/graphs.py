@@ -66,7 +66,19 @@ def sales_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     # Nodes are collapsed in the same pass; the extractor would emit them once per line item.
     nodes = rows.select("pipeline", F.explode(seen).alias("n")).select("pipeline", "n.*").distinct()
     nodes = nodes.withColumns({
-        "file": F.when(F.col("type") == "function", "").otherwise(F.lit(None)),
+        "file": F.when(F.col("type") == "function", "sales").otherwise(F.lit(None)),
         "function": F.when(F.col("type") == "stage", F.concat(F.lit("fn:"), "label")),
         "stage_order": F.when(F.col("type") == "stage", F.ascii(F.substring("label", 7, 1)))})
     return nodes, edges
+
+
+def loaded_parts(spark: SparkSession, folder: str, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sales graph with a loader that writes every part of the `part` table in every pipeline, sold or not."""
+    parts = table(spark, folder, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("label"))
+    pipelines = table(spark, folder, "lineitem").select(F.concat(F.lit("line_"), F.col("l_linenumber").cast("string")).alias("pipeline"))
+    pipelines = pipelines.groupBy().agg(F.collect_set("pipeline").alias("p"))  # line numbers: a handful
+    written = parts.join(F.broadcast(pipelines)).select(F.explode("p").alias("pipeline"), F.concat(F.lit("field:"), "label").alias("id"), "label")
+    writes = written.select("pipeline", F.lit("fn:load").alias("source"), F.col("id").alias("target"), F.lit("writes").alias("type"),
+                            F.lit("load").alias("file"), F.lit(0).alias("line"))
+    more = written.select("pipeline", "id", F.lit("field").alias("type"), "label")
+    return (nodes.unionByName(more, allowMissingColumns=True).dropDuplicates(["pipeline", "id"]), edges.unionByName(writes))

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from tidegauge.sources.jsonl import parse_lines
 
 
-def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """Streaming counterpart of the batch reader."""
+def stream_text(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """Lines as they arrive (`value`, `_path`), not yet parsed."""
     lines = (spark.readStream.format("text").option("recursiveFileLookup", "true")
              .option("maxFilesPerTrigger", str(files_per_trigger)).load(folder))
-    return parse_lines(lines.select("value", F.col("_metadata.file_path").alias("_path")))
+    return lines.select("value", F.col("_metadata.file_path").alias("_path"))
+
+
+def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """Streaming counterpart of the batch reader."""
+    return parse_lines(stream_text(spark, folder, files_per_trigger))
 
 
 def check_on_arrival(stream: DataFrame, checks: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
