@@ -335,7 +335,7 @@ sql("alert_stream_events", UNGUARDED, f"""SELECT * REPLACE (replace(alert_id, 'w
     ON f.scenario = e.scenario AND f.checkpoint = e.checkpoint AND f.root = e.root AND f.segment IS NOT DISTINCT FROM e.segment AND f.island = e.island
   WHERE e.nb <> -1)""")
 
-sql("src_batch_chain", OURS, f"SELECT {SHAPE} FROM kept WHERE scenario = 'unit_change_android'")
+sql("src_batch_chain", OURS, f"SELECT {SHAPE} FROM kept WHERE scenario = 'feed_stops_ios'")
 sql("src_batch_chain_alerts", OURS + [c.alert_ctes("kept", "web_analytics")], f"""SELECT checkpoint, alert_id, batch_no, first_batch, severity, message, event FROM (
   SELECT scenario, checkpoint, alert_id, batch_no, first_batch, {_SEV} AS severity, alert_message AS message,
     CASE WHEN worst IS NULL THEN 'opened' ELSE 'changed' END AS event FROM chg
@@ -343,7 +343,7 @@ sql("src_batch_chain_alerts", OURS + [c.alert_ctes("kept", "web_analytics")], f"
     SELECT scenario, checkpoint, root, segment, island, arg_max({_SEV}, batch_no * 1000 + check_seq) AS severity,
       arg_max(alert_message, batch_no * 1000 + check_seq) AS message FROM chg GROUP BY ALL) f
     ON f.scenario = e.scenario AND f.checkpoint = e.checkpoint AND f.root = e.root AND f.segment IS NOT DISTINCT FROM e.segment AND f.island = e.island
-  WHERE e.nb <> -1) WHERE scenario = 'unit_change_android'""")
+  WHERE e.nb <> -1) WHERE scenario = 'feed_stops_ios'""")
 
 # --- faults ---
 PAY_ONE = [PAY, i.scenario_frame("scen", "pay_raw", i.PAY_FAULTS, "transaction_id", PM, "amount_cents")]

@@ -148,7 +148,7 @@ def src_batch_contract(spark, d):
 def src_batch_chain(spark, d):
     """Files arrive a few at a time, batches in pieces: each is judged once when it is whole, by contract, guard and alerts. What is
     returned are the recorded results, as of one run over all batches."""
-    return _shape(_chain(spark, d)[0].withColumn("scenario", F.lit("unit_change_android")))
+    return _shape(_chain(spark, d)[0].withColumn("scenario", F.lit("feed_stops_ios")))
 
 
 @query
@@ -159,13 +159,13 @@ def src_batch_chain_alerts(spark, d):
 def _chain(spark, d):
     def make():
         p, base = ev.PIPELINES["web_analytics"], _base(spark, d)
-        raw = faults.apply_scenarios(views.web_raw(spark, d), _fault("unit_change_android"), p.row_id).drop("scenario")
+        raw = faults.apply_scenarios(views.web_raw(spark, d), _fault("feed_stops_ios"), p.row_id).drop("scenario")
         folder, out, cp = (scratch_path(spark, f"chain-{x}") for x in ("in", "out", "cp"))
         pieces = raw.repartition(2)  # two files a batch
         jsonl.write_batches(pieces, jsonl.web_documents(pieces), folder)
         files = spark.read.option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("_path"))
         manifest = staged(arrival.manifest_of(files.distinct()), "manifest")
-        few = max(1, manifest.agg(F.sum("files")).first()[0] // 3 + 1)
+        few = max(1, manifest.agg(F.sum("files")).first()[0] // 2 + 1)  # two arrivals, and batches in pieces
 
         def judge(lines, expected):
             rows, keys = staged(jsonl.flatten_web(lines), "arrived"), ["batch_no"]
