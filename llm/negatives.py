@@ -209,3 +209,25 @@ def op11_hard_negatives(spark, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = rows.select("vec_id", moved.alias("label"), scaled(F.col("embedding")).alias("vector"))
     return mine(rows, F.col("vec_id") % 100 == 0)
+
+
+#: The same in SQL, by comparing every anchor with every row.
+NEGATIVES_SQL = """
+with vectors as (
+    select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+pairs as (
+    select a.vec_id as anchor_id, r.vec_id as id, r.label = a.label as same,
+        cast(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])) as bigint) as score
+    from vectors a join vectors r on a.vec_id <> r.vec_id and len(a.v) = len(r.v) where a.vec_id % 100 = 0),
+positives as (
+    select * from pairs where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+ranked as (
+    select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+        cast(row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) as integer) as rank
+    from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same
+        and 80 * p.score <= 100 * n.score and n.score <= p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 5
+"""

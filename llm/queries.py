@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from llm.chat import CHAT_SQL, op12_chat
 from llm.common import docs_of
 from llm.merkle import op13_merkle
-from llm.negatives import op11_hard_negatives
+from llm.negatives import NEGATIVES_SQL, op11_hard_negatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,4 +83,5 @@ def op6_sentencepiece(spark, folder):
 query(op11_hard_negatives)
 query(op12_chat)
 query(op13_merkle)
+ORACLES["op11_hard_negatives"] = NEGATIVES_SQL
 ORACLES["op12_chat"] = CHAT_SQL

@@ -43,7 +43,10 @@ def embedded(folder=FOLDER):
 def test_hard_negatives_of_the_supplied_vectors(spark):
     got = sorted(map(tuple, QUERIES["op11_hard_negatives"](spark, FOLDER).collect()))
     assert got == hard_negatives(embedded(), lambda i: i % 100 == 0)
-    assert got
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{FOLDER}/embeddings.parquet'")
+    told = con.sql(ORACLES["op11_hard_negatives"])
+    assert got and sorted(told.fetchall()) == got
 
 
 @pytest.mark.parametrize("block_bytes,scores", [(32 << 20, 1 << 22), (600, 50)])
