@@ -10,6 +10,7 @@ from llm.chat import CHAT_SQL, op12_chat
 from llm.common import docs_of
 from llm.merkle import op13_merkle
 from llm.negatives import NEGATIVES_SQL, op11_hard_negatives
+from llm.twins import MERKLE_SQL, NEAR_SQL, OVERLAP_SQL, SUFFIX_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,7 @@ query(op12_chat)
 query(op13_merkle)
 ORACLES["op11_hard_negatives"] = NEGATIVES_SQL
 ORACLES["op12_chat"] = CHAT_SQL
+ORACLES["op13_merkle"] = MERKLE_SQL
+ORACLES["op1_suffix_dedup"] = SUFFIX_SQL
+ORACLES["op9_near_dedup"] = NEAR_SQL
+ORACLES["op10_decontamination"] = OVERLAP_SQL
