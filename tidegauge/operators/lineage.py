@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegauge.operators import reachability
 from tidegauge.session import cut
 
 DATA_LINKS = ("derives", "produces")
@@ -67,8 +68,18 @@ def downstream(nodes: DataFrame, edges: DataFrame, node_type: str | None = None,
 def upstream(nodes: DataFrame, edges: DataFrame, node_type: str | None = None,
              starts: DataFrame | None = None) -> DataFrame:
     """Nodes each start node is computed from: the same walk over turned edges."""
-    turned = edges.withColumns({"source": F.col("target"), "target": F.col("source")})
-    return downstream(nodes, turned, node_type, starts)
+    return downstream(nodes, turned(edges), node_type, starts)
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.withColumns({"source": F.col("target"), "target": F.col("source")})
+
+
+def reach_counts(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None, **kinds: Column) -> DataFrame:
+    """How many nodes, and nodes of each kind (conditions on node columns), are computed from every start, or from the starts asked for:
+    by the reachability index, without listing them."""
+    index = reachability.build(edges.where(F.col("type").isin(*DATA_LINKS)))
+    return reachability.counts(index, reachability.labels(index, starts), nodes, **kinds)
 
 
 def reached_outputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:

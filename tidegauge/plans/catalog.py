@@ -899,12 +899,6 @@ def _sales(spark, d):
     return _once(spark, d, "sales", make)
 
 
-def _reach(spark, d, turned=False):
-    nodes, edges = _sales(spark, d)
-    walk = lineage.upstream if turned else lineage.downstream
-    return _once(spark, d, f"reach-{turned}", lambda: cut(walk(nodes, edges)))
-
-
 @query
 def graph_dedup(spark, d):
     nodes, edges = _sales(spark, d)
@@ -921,13 +915,13 @@ def lineage_edges(spark, d):
 
 @query
 def lineage_downstream(spark, d):
-    return _reach(spark, d).groupBy("pipeline", "start").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("type") == "output").alias("outputs"))
+    return lineage.reach_counts(*_sales(spark, d), outputs=F.col("type") == "output")
 
 
 @query
 def lineage_upstream(spark, d):
-    return _reach(spark, d, True).groupBy("pipeline", "start").agg(F.count(F.lit(1)).alias("nodes"))
+    nodes, edges = _sales(spark, d)
+    return lineage.reach_counts(nodes, lineage.turned(edges))
 
 
 @query
