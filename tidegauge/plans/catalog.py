@@ -212,7 +212,7 @@ def sink_alerts_upsert(spark, d):
     path = scratch_path(spark, "alert-table")
     for epoch, part in ((0, ch), (1, ch.where(F.col("batch_no") > 5)), (1, ch.where(F.col("batch_no") > 5))):
         sinks.write_alerts(part, path, epoch, at)
-    return spark.read.parquet(f"{path}/epoch=1").select(
+    return sinks.read_table(spark, path, 1).select(
         "pipeline", "alert_id", "severity", "message", "root_field", "segment", F.col("batch_no").alias("first_batch"))
 
 
@@ -222,7 +222,7 @@ def sink_baseline_profiles(spark, d):
     path, rows = scratch_path(spark, "profile-table"), baseline.profiles(_base(spark, d))
     for epoch, version in ((0, 1), (1, 2), (1, 2)):
         sinks.write_rows(rows.withColumn("version", F.lit(version)), path, epoch, baseline.KEY, "version")
-    out = spark.read.parquet(f"{path}/epoch=1").drop("version", "top_values")
+    out = sinks.read_table(spark, path, 1).drop("version", "top_values")
     return _r(out, "p0", "p25", "p50", "p75", "p95", "p100", "mean", "stddev")
 
 

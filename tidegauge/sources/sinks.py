@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tidegauge.operators.alerts import severity_name, severity_rank
+from tidegauge.session import cut
+
+#: Buckets of a keyed table, and how its pointers are kept; the row of `NO_BUCKET` notes the schema.
+BUCKETS, NO_BUCKET = 16, -1
+POINTERS = "bucket int, written long, note string"
 
 # Check name prefix -> drift type vocabulary.
 DRIFT_TYPES = (("psi", "psi"), ("ks", "ks_test"), ("oov_rate", "oov"), ("template_drift", "template_change"))
@@ -53,20 +62,74 @@ def upsert_alerts(old: DataFrame | None, new: DataFrame, at: list[str]) -> DataF
         *[F.min(order)[c].alias(c) for c in at], F.count(F.lit(1)).alias("writes"))
 
 
-def _before(df: DataFrame, folder: str, epoch: int) -> DataFrame | None:
-    return df.sparkSession.read.parquet(f"{folder}/epoch={epoch - 1}") if epoch else None
-
-
-def write_alerts(new: DataFrame, folder: str, epoch: int, at: list[str]) -> None:
-    """The alert table of an epoch: the one before it with `new` upserted. A replayed epoch overwrites itself, so that applying
-    the same rows twice changes nothing."""
-    old = _before(new, folder, epoch)
-    upsert_alerts(old.drop("writes") if old is not None else None, new, at).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
-
-
-def write_rows(new: DataFrame, folder: str, epoch: int, key: list[str], version: str) -> None:
+def _pointers(spark: SparkSession, folder: str, epoch: int) -> tuple[dict[int, int], StructType | None]:
+    """({bucket: epoch that wrote it last}, schema) of the table after an epoch: as many rows as the table has buckets."""
+    if epoch < 0:
+        return {}, None
+    rows = spark.read.schema(POINTERS).parquet(f"{folder}/pointers/epoch={epoch}").collect()
+    schema = next(r.note for r in rows if r.bucket == NO_BUCKET)
+    return {r.bucket: r.written for r in rows if r.bucket != NO_BUCKET}, StructType.fromJson(json.loads(schema))
+
+
+def read_table(spark: SparkSession, folder: str, epoch: int, buckets: set[int] | None = None) -> DataFrame:
+    """The keyed table as it stood after an epoch, or only some of its buckets."""
+    at, schema = _pointers(spark, folder, epoch)
+    paths = [f"{folder}/rows/epoch={e}/_bucket={b}" for b, e in sorted(at.items()) if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def write_epoch(new: DataFrame, folder: str, epoch: int, key: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+                buckets: int = BUCKETS, keep: int = 2) -> set[int]:
+    """The keyed table after an epoch: `merge(rows before or None, new)` over the buckets of the key's hash that `new` touches; all others
+    stay where they are, and a pointer table says which epoch wrote each bucket last. Returns the buckets written.
+
+    An epoch writes only its own folders and reads only those of the one before, so a replay overwrites itself and a failed epoch
+    leaves the last table whole; the pointers come last. What the last `keep` epochs no longer point at is removed. `buckets` is fixed
+    by the first epoch's caller and must not change; choose it so that a bucket is a few files. Empty `new` moves pointers only."""
+    spark = new.sparkSession
+    tagged = cut(new.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+    touched = {r[0] for r in tagged.select("_bucket").distinct().collect()}  # at most `buckets`
+    at, schema = _pointers(spark, folder, epoch - 1)
+    old = read_table(spark, folder, epoch - 1, touched) if epoch else None
+    merged = merge(old, tagged.drop("_bucket"))
+    schema = schema or merged.schema
+    if touched:
+        rows = merged.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        rows.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/rows/epoch={epoch}")
+        schema = merged.schema
+    at |= dict.fromkeys(touched, epoch)
+    told = [(b, e, None) for b, e in at.items()] + [(NO_BUCKET, epoch, schema.json())]
+    spark.createDataFrame(told, POINTERS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/pointers/epoch={epoch}")
+    _retire(spark, folder, epoch, keep)
+    return touched
+
+
+def _retire(spark: SparkSession, folder: str, epoch: int, keep: int) -> None:
+    """Remove bucket folders and pointers that no epoch of the last `keep` needs. Each epoch clears what it outdates, so few are listed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    oldest = max(0, epoch - keep + 1)
+    live = {(e, b) for k in range(oldest, epoch + 1) for b, e in _pointers(spark, folder, k)[0].items()}
+    for found in fs.globStatus(path(f"{folder}/rows/epoch=*/_bucket=*")) or ():
+        e, b = (int(x.split("=")[1]) for x in found.getPath().toString().rstrip("/").split("/")[-2:])
+        if e < epoch and (e, b) not in live:
+            fs.delete(found.getPath(), True)
+    for found in fs.globStatus(path(f"{folder}/pointers/epoch=*")) or ():
+        if int(found.getPath().getName().split("=")[1]) < oldest:
+            fs.delete(found.getPath(), True)
+
+
+def write_alerts(new: DataFrame, folder: str, epoch: int, at: list[str], buckets: int = BUCKETS) -> set[int]:
+    """The alert table of an epoch: the one before it with `new` upserted, bucketed by pipeline and alert. Applying the same rows twice,
+    in one epoch or in the next, changes nothing but the count of writes."""
+    def merge(old, rows):
+        return upsert_alerts(old.drop("writes") if old is not None else None, rows, at)
+    return write_epoch(new, folder, epoch, ["pipeline", "alert_id"], merge, buckets)
+
+
+def write_rows(new: DataFrame, folder: str, epoch: int, key: list[str], version: str, buckets: int = BUCKETS) -> set[int]:
     """The same for tables where the last version of a key wins."""
-    upsert_rows(_before(new, folder, epoch), new, key, version).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+    return write_epoch(new, folder, epoch, key, lambda old, rows: upsert_rows(old, rows, key, version), buckets)
 
 
 def upsert_rows(old: DataFrame | None, new: DataFrame, key: list[str], version: str) -> DataFrame:
