@@ -389,7 +389,8 @@ PAY_SYS = systems(PAY_SCEN, PAY_BASE, PAY_RESULTS, i.PAY_FAULTS, "payment_proces
 SCORES = """SELECT system, CASE WHEN sum(true_positives + false_positives) > 0 THEN round(sum(true_positives) / sum(true_positives + false_positives), 6) ELSE 1 END AS precision,
   round(count(*) FILTER (WHERE fault_type <> 'clean' AND detected) / count(*) FILTER (WHERE fault_type <> 'clean'), 6) AS recall,
   round(avg(lag_batches) FILTER (WHERE fault_type <> 'clean'), 6) AS mean_lag_batches FROM scored GROUP BY system"""
-sql("sink_eval_report", WEB_SYS, "SELECT system, scenario, fault_type, detected, lag_batches, true_positives, false_positives FROM scored")
+sql("sink_eval_report", WEB_SYS + [f"\nsc AS ({SCORES})"], """SELECT system, scenario, fault_type, detected, lag_batches, true_positives, false_positives,
+  precision, recall, mean_lag_batches FROM scored JOIN sc USING (system)""")
 sql("score_system", WEB_SYS, SCORES)
 sql("score_system_behavior", BEH_SYS, SCORES)
 sql("score_system_payments", PAY_SYS, SCORES)
@@ -512,7 +513,8 @@ def _sub(ctes: list[str], select: str) -> str:
 
 def _quality(sys: list[str], pipeline: str) -> str:
     return _sub(sys + [f"\nsc AS ({SCORES})"], f"""SELECT '{pipeline}' AS pipeline, k.*, a.*, sc.precision AS detection_precision, sc.recall AS detection_recall,
-      sc.mean_lag_batches AS avg_detection_lag_batches FROM sc,
+      sc.mean_lag_batches AS avg_detection_lag_batches, f.* FROM sc,
+      (SELECT round(count(*) FILTER (WHERE false_positives > 0) / count(*), 6) AS false_positive_rate FROM scored WHERE system = 'ours') f,
       (SELECT count(*) AS total_checks_run, count(*) FILTER (WHERE status = 'pass') AS checks_passed, count(*) FILTER (WHERE status = 'fail') AS checks_failed,
         count(*) FILTER (WHERE status = 'warn') AS checks_warned FROM recorded WHERE system = 'ours') k,
       (SELECT count(*) AS total_alerts, count(*) FILTER (WHERE severity = 'high') AS high_severity_alerts FROM latest WHERE system = 'ours') a
@@ -521,9 +523,10 @@ def _quality(sys: list[str], pipeline: str) -> str:
 
 SUMMARY = [reviewed(_BY_NAME), "\nquality AS (" + " UNION ALL ".join(
     f"SELECT * FROM {_quality(s, p)}" for s, p in ((WEB_SYS, "web_analytics"), (BEH_SYS, "user_behavior"), (PAY_SYS, "payment_processing"))) + ")", """
-summary AS (SELECT g.*, q.* EXCLUDE (pipeline) FROM (SELECT pipeline, count(*) AS total_guarantees, count(*) FILTER (WHERE status = 'confirmed') AS confirmed_guarantees,
+summary AS (SELECT g.*, q.* EXCLUDE (pipeline), CASE WHEN pipeline = 'web_analytics' THEN (SELECT equal FROM equality) END AS equivalence_score FROM (SELECT pipeline, count(*) AS total_guarantees, count(*) FILTER (WHERE status = 'confirmed') AS confirmed_guarantees,
     count(*) FILTER (WHERE status = 'rejected') AS rejected_guarantees, count(*) FILTER (WHERE status = 'pending') AS pending_guarantees
   FROM reviewed GROUP BY pipeline) g JOIN quality q USING (pipeline))"""]
+SUMMARY.insert(2, "\nequality AS " + _sub(EQ, "SELECT round(count(*) FILTER (WHERE verdict = 'identical') / count(*), 6) AS equal FROM eqr"))
 sql("rep_pipeline_summary", SUMMARY, "SELECT * FROM summary")
-sql("rep_scorecard", SUMMARY, f"""SELECT p.pipeline, confirmed_guarantees, total_alerts, high_severity_alerts, detection_precision, detection_recall, avg_detection_lag_batches
-  FROM (SELECT DISTINCT source AS pipeline FROM documents UNION SELECT DISTINCT {_BY_NAME} FROM documents) p LEFT JOIN summary USING (pipeline)""")
+sql("rep_scorecard", SUMMARY, f"""SELECT p.pipeline, confirmed_guarantees, total_alerts, high_severity_alerts, detection_precision, detection_recall, avg_detection_lag_batches,
+  false_positive_rate, equivalence_score FROM (SELECT DISTINCT source AS pipeline FROM documents UNION SELECT DISTINCT {_BY_NAME} FROM documents) p LEFT JOIN summary USING (pipeline)""")

@@ -171,3 +171,14 @@ def test_streamed_transitions_equal_a_walk_over_the_batches(spark):
         got += [(e.checkpoint, e.alert_id.split(":")[1], e.batch_no, e.first_batch, e.event) for e in events.collect()]
     assert sorted(got) == sorted(want)
     assert {(r.checkpoint, r.field) for r in still.collect()} == {(k[0], k[1]) for k in state}
+
+
+def test_false_alarms_count_runs_and_the_report_repeats_the_scores(spark):
+    rows = spark.createDataFrame([("x", "clean", "clean", False, None, 0, 2), ("x", "a", "null", True, 1, 3, 0), ("x", "b", "cut", False, None, 0, 1),
+                                  ("y", "clean", "clean", False, None, 0, 0)],
+                                 "system string, scenario string, fault_type string, detected boolean, lag_batches int, "
+                                 "true_positives long, false_positives long")
+    rates = {r.system: r.false_positive_rate for r in scoring.false_alarms(rows, ["system"]).collect()}
+    assert rates == {"x": pytest.approx(2 / 3), "y": 0.0}
+    told = {(r.system, r.scenario): (r.precision, r.recall, r.mean_lag_batches) for r in scoring.report(rows).collect()}
+    assert told[("x", "b")] == told[("x", "a")] == (0.5, 0.5, 1.0) and told[("y", "clean")] == (1.0, 0.0, None)

@@ -160,8 +160,9 @@ def alerts_by_field(alerts: DataFrame, created: str, since: Column) -> DataFrame
             .orderBy(F.desc("alert_count"), "pipeline", "field_name"))
 
 
-def pipeline_summary(reviewed: DataFrame, results: DataFrame, alerts: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row per pipeline: guarantees by status, check counts, alerts and detection quality."""
+def pipeline_summary(reviewed: DataFrame, results: DataFrame, alerts: DataFrame, scores: DataFrame, equivalence: DataFrame) -> DataFrame:
+    """One row per pipeline: guarantees by status, check counts, alerts, detection quality (`scores` with false_positive_rate) and the
+    share of rows equal to the golden output (`equivalence`: pipeline, equivalence_score; null where none was compared)."""
     st = F.col("status")
     guarantees = reviewed.groupBy("pipeline").agg(
         F.count(F.lit(1)).alias("total_guarantees"), *[F.count_if(st == s).alias(f"{s}_guarantees") for s in STATUSES])
@@ -171,9 +172,9 @@ def pipeline_summary(reviewed: DataFrame, results: DataFrame, alerts: DataFrame,
     alarm = alerts.groupBy("pipeline").agg(
         F.count(F.lit(1)).alias("total_alerts"), F.count_if(F.col("severity") == "high").alias("high_severity_alerts"))
     quality = scores.select("pipeline", F.col("precision").alias("detection_precision"), F.col("recall").alias("detection_recall"),
-                            F.col("mean_lag_batches").alias("avg_detection_lag_batches"))
+                            F.col("mean_lag_batches").alias("avg_detection_lag_batches"), "false_positive_rate")
     out = guarantees
-    for part in (checks, alarm, quality):
+    for part in (checks, alarm, quality, equivalence.select("pipeline", "equivalence_score")):
         out = out.join(part, "pipeline", "full")
     counts = [c for c in out.columns if c.split("_")[0] in ("total", "confirmed", "rejected", "pending", "checks", "high")]
     return out.na.fill(0, counts)
@@ -183,4 +184,4 @@ def scorecard(pipelines: DataFrame, summary: DataFrame) -> DataFrame:
     """Every registered pipeline with its summary, if any."""
     return pipelines.join(summary, "pipeline", "left").select(
         "pipeline", "confirmed_guarantees", "total_alerts", "high_severity_alerts",
-        "detection_precision", "detection_recall", "avg_detection_lag_batches")
+        "detection_precision", "detection_recall", "avg_detection_lag_batches", "false_positive_rate", "equivalence_score")

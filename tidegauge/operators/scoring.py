@@ -55,6 +55,16 @@ def system_scores(scored: DataFrame, by: list[str]) -> DataFrame:
         F.avg(F.when(faulty, F.col("lag_batches"))).alias("mean_lag_batches"))
 
 
+def false_alarms(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Share of the scored runs, clean or faulty, that raise at least one alert no fault explains."""
+    return scored.groupBy(*by).agg((F.count_if(F.col("false_positives") > 0) / F.count(F.lit(1))).alias("false_positive_rate"))
+
+
+def report(scored: DataFrame) -> DataFrame:
+    """The detection report as one table: every system and scenario with the system's precision, recall and mean lag."""
+    return scored.join(system_scores(scored, ["system"]), "system")
+
+
 def matrix(scored: DataFrame, systems: list[str]) -> DataFrame:
     """Scenario x system: caught or missed."""
     word = F.when(F.col("detected"), "caught").otherwise("missed")

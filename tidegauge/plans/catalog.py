@@ -245,7 +245,8 @@ def baseline_save_load(spark, d):
 @query
 def sink_eval_report(spark, d):
     scored = _evaluation(spark, d)[1]
-    return scored.select("system", "scenario", "fault_type", "detected", "lag_batches", "true_positives", "false_positives")
+    return _r(scoring.report(scored), "precision", "recall", "mean_lag_batches").select(
+        "system", "scenario", "fault_type", "detected", "lag_batches", "true_positives", "false_positives", "precision", "recall", "mean_lag_batches")
 
 
 # --- pipeline operators ---
@@ -1027,8 +1028,11 @@ def _summary(spark, d):
     reviewed = reports.review(registry.findings(spark, d, by_feed=False), registry.decisions(spark, d))
     results = union([_ours(spark, d, n).select("pipeline", "status") for n in names])
     alarm = union([alerts.latest(_ours(spark, d, n), ["scenario"]).select("pipeline", "severity") for n in names])
-    scores = union([_score_system(spark, d, n).where(F.col("system") == "ours").withColumn("pipeline", F.lit(n)) for n in names])
-    return reports.pipeline_summary(reviewed, results, alarm, scores)
+    false = lambda n: _r(scoring.false_alarms(_evaluation(spark, d, n)[1], ["system"]), "false_positive_rate")
+    scores = union([_score_system(spark, d, n).join(false(n), "system").where(F.col("system") == "ours").withColumn("pipeline", F.lit(n))
+                    for n in names])
+    equal = equivalence_score(spark, d).withColumn("pipeline", F.lit("web_analytics"))
+    return reports.pipeline_summary(reviewed, results, alarm, scores, equal)
 
 
 @query
