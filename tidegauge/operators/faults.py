@@ -90,13 +90,37 @@ def rewrites(f: Fault, row_id: str) -> dict[str, tuple[Column, Column]]:
     return {}
 
 
-def apply_scenarios(df: DataFrame, faults: list[Fault], row_id: str) -> DataFrame:
-    """`df` once per scenario, in a single pass over the source, with a `scenario` column."""
+def clean_run(faults: list[Fault]) -> str | None:
+    """The scenario that breaks nothing."""
+    return next((f.scenario for f in faults if f.kind == "clean"), None)
+
+
+def _touched(f: Fault) -> Column:
+    """Batches a fault may change; one without a number counts as changed."""
+    return F.coalesce(F.col("batch_no") >= f.onset, F.lit(True))
+
+
+def with_clean_past(df: DataFrame, faults: list[Fault]) -> DataFrame:
+    """Rows of scenario runs that hold only the batches from their onset on, completed: before its onset a run is the clean run, whose
+    rows are repeated under its name. A narrow step over what was computed per batch; nothing is computed twice."""
+    clean = clean_run(faults)
+    if clean is None:
+        return df
+    shared = [F.when(~_touched(f), F.lit(f.scenario)) for f in faults if f.kind != "clean"]
+    names = F.when(F.col("scenario") == clean, F.array_compact(F.array(F.lit(clean), *shared))).otherwise(F.array("scenario"))
+    return df.withColumn("scenario", F.explode(names))
+
+
+def apply_scenarios(df: DataFrame, faults: list[Fault], row_id: str, from_onset: bool = False) -> DataFrame:
+    """`df` once per scenario, in a single pass over the source, with a `scenario` column. With `from_onset` a faulty scenario gets only
+    the batches it may change, if a clean run is among the scenarios (`with_clean_past` completes what is computed from them)."""
     text_columns = sorted({f"{f.field}_text" for f in faults if f.kind == "type_change"})
     for name in text_columns:
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("string"))
-    out = df.withColumn("scenario", F.explode(F.array(*[F.lit(f.scenario) for f in faults])))
+    part = from_onset and clean_run(faults) is not None
+    names = [F.when(_touched(f), F.lit(f.scenario)) if part and f.kind != "clean" else F.lit(f.scenario) for f in faults]
+    out = df.withColumn("scenario", F.explode(F.array_compact(F.array(*names))))
     removed = F.lit(False)
     edits: dict[str, list[tuple[Column, Column]]] = {}
     for f in faults:

@@ -80,12 +80,14 @@ def crashes(scen: DataFrame, p: Pipeline) -> DataFrame:
 
 def scenario_results(raw: DataFrame, pipeline: str, fault_list: list[faults.Fault], base: Baselines | None,
                      contract: contracts.Contract | None = None) -> tuple[DataFrame | None, DataFrame]:
-    """(all check results before the guard acts, batches that crash)."""
+    """(all check results before the guard acts, batches that crash). A batch is judged by itself, so only batches that a fault may change
+    are written and judged per scenario; the results of earlier ones are those of the clean run."""
     p = PIPELINES[pipeline]
-    scen = staged(faults.apply_scenarios(spread(raw), fault_list, p.row_id), "scenarios")
+    scen = staged(faults.apply_scenarios(spread(raw), fault_list, p.row_id, from_onset=True), "scenarios")
     frames = p.frames(scen, tuple(RUN))
     contract = contract or contracts.CONTRACTS[pipeline]
-    return checks.run_contract(frames, contract, p.orders, RUN, base), crashes(scen, p)
+    results = checks.run_contract(frames, contract, p.orders, RUN, base)
+    return (None if results is None else faults.with_clean_past(results, fault_list)), faults.with_clean_past(crashes(scen, p), fault_list)
 
 
 def guarded(raw: DataFrame, pipeline: str, fault_list: list[faults.Fault], base: Baselines | None,
