@@ -49,6 +49,45 @@ def test_order_slice_is_monotone(spark):
     assert s == sorted(s)
 
 
+def close_values(n=5000, seed=9):
+    """All values within one per cent, most of them within a millionth; few slices of the logarithmic scale."""
+    rng = np.random.default_rng(seed)
+    x = np.unique(np.r_[1000 + rng.random(n // 5) * 9, 1003 + rng.random(n) * 1e-3])
+    return pd.DataFrame({"k": "hot", "x": x, "n": rng.integers(1, 5, len(x))})
+
+
+def test_close_values_are_cut_at_values_of_their_own(spark):
+    pdf = pd.concat([close_values(), pd.DataFrame({"k": "cold", "x": [1000.5, 1003.0], "n": [1, 1]})])
+    df = spark.createDataFrame(pdf)
+    assert df.where("k = 'hot'").select(ordered.order_slice("x")).distinct().count() <= 2
+    parts = ordered.in_parts(df, ["k"], "x", most=500, parts=64).toPandas().sort_values(["k", "x"])
+    hot, cold = parts[parts.k == "hot"], parts[parts.k == "cold"]
+    sizes = hot.groupby(["_slice", "_part"]).size()
+    assert 40 <= len(sizes) <= 140 and sizes.max() < len(hot) / 5 and (cold["_part"] == 0).all()
+    places = hot[["_slice", "_part"]].values.tolist()
+    assert places == sorted(places)
+    again = ordered.in_parts(df.repartition(7), ["k"], "x", most=500, parts=64).toPandas().sort_values(["k", "x"])
+    assert again[["_slice", "_part"]].values.tolist() == parts[["_slice", "_part"]].values.tolist()
+
+
+def test_ranks_over_parts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ordered.in_parts, "__defaults__", (300, 32))
+    pdf = close_values()
+    df = spark.createDataFrame(pdf)
+    got = ordered.prefix_sums(df, ["k"], "x", ["n"]).toPandas().sort_values("x")
+    assert got.cum_n.tolist() == pdf.sort_values("x").n.cumsum().tolist() and set(got.all_n) == {pdf.n.sum()}
+    q = ordered.exact_quantiles(df, ["k"], "x", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}, weight="n").first()
+    every = pd.Series(np.repeat(pdf.x.values, pdf.n.values))
+    assert [q.a, q.b, q.c, q.d] == pytest.approx([every.quantile(p) for p in (0, 0.37, 0.5, 1)], abs=1e-9)
+
+
+def test_bisection_counts_cuts(spark):
+    cuts = [float(i) for i in range(0, 3000, 3)]
+    rows = [(v, cuts) for v in (-1.0, 0.0, 2.9, 3.0, 2997.0, 5000.0)] + [(1.0, []), (1.0, None)]
+    got = [r.n for r in spark.createDataFrame(rows, "v double, cuts array<double>").select(ordered.at_or_below(F.col("cuts"), F.col("v")).alias("n")).collect()]
+    assert got == [0, 1, 1, 2, 1000, 1000, 0, 0]
+
+
 def test_smallest_by_hash_is_exact(spark):
     df = spark.createDataFrame(skewed()).withColumn("h", hash32("42", "id"))
     got = ordered.smallest_by_hash(df, ["k"], "h", ["id"], 200).toPandas()
