@@ -18,7 +18,7 @@ from tidegauge.functions.scalars import as_col
 
 SLICES_PER_OCTAVE = 64
 _CENTRE = 2_000 * SLICES_PER_OCTAVE
-SLICE_VALUES, PARTS = 1 << 16, 1024  # a slice of more distinct values is cut into about PARTS parts
+SLICE_VALUES, SHARE, PARTS = 1 << 16, 4096, 256  # a slice of more values, and of more than a SHARE-th of all, is cut into about PARTS
 
 
 def order_slice(value: Column | str) -> Column:
@@ -43,16 +43,21 @@ def at_or_below(cuts: Column, value: Column) -> Column:
 
 def in_parts(df: DataFrame, keys: list[str], value: str, most: int = SLICE_VALUES, parts: int = PARTS) -> DataFrame:
     """Adds `_slice` and `_part`, which together never decrease with the value inside a group. `df` holds one row per (keys, value).
-    Slices of more than `most` values are cut at those of their values whose hash falls into a share that leaves about `parts` of them:
-    cuts follow the values however close they lie, and are the same in every branch and every retry. A part of such a slice holds a
-    parts-th of its values on average, and more than twenty times that with a probability below 1e-8."""
+    Slices of more than `most` values and of more than a `SHARE`-th of all rows are cut at those of their values whose hash falls into a
+    share that leaves about `parts` of them: cuts follow the values however close they lie, and are the same in every branch and every
+    retry. Fewer than `SHARE` slices are cut, so about `SHARE * parts` cuts (8 MB) at any input size are broadcast; a slice left whole
+    is below a `SHARE`-th of the input."""
     sliced = df.withColumn("_slice", order_slice(value))
     at = [*keys, "_slice"]
-    heavy = sliced.groupBy(*at).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > most)
+    sizes = sliced.groupBy(*at).agg(F.count(F.lit(1)).alias("_d"))
+    least = (sizes.agg(F.greatest(F.lit(most), F.sum("_d") / F.lit(SHARE)).alias("_least")).withColumn("_all", F.lit(1)))
+    heavy = (sizes.where(F.col("_d") > most).withColumn("_all", F.lit(1)).join(F.broadcast(least), "_all")
+             .where(F.col("_d") > F.col("_least")).select(*at, "_d"))
     share = F.ceil(F.col("_d") / F.lit(parts)).cast("bigint")
-    cuts = (sliced.select(*at, F.col(value).alias("_cut")).join(heavy, at).where(F.pmod(F.xxhash64("_cut"), share) == 0)
+    cuts = (sliced.select(*at, F.col(value).alias("_cut")).join(F.broadcast(heavy), at).where(F.pmod(F.xxhash64("_cut"), share) == 0)
             .groupBy(*at).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts")))
-    return (sliced.join(cuts, at, "left").withColumn("_part", at_or_below(F.col("_cuts"), F.col(value))).drop("_cuts"))
+    part = F.when(F.col("_cuts").isNull(), 0).otherwise(at_or_below(F.col("_cuts"), F.col(value)))
+    return sliced.join(F.broadcast(cuts), at, "left").withColumn("_part", part).drop("_cuts")
 
 
 def prefix_sums(df: DataFrame, keys: list[str], value: str, weights: list[str]) -> DataFrame:
@@ -75,14 +80,15 @@ def prefix_sums(df: DataFrame, keys: list[str], value: str, weights: list[str])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    weight: str | None = None) -> DataFrame:
+                    weight: str | None = None, few_values: bool = False) -> DataFrame:
     """Linear-interpolation quantiles per group: one row per key with a column per entry of
     `probs` (name -> probability). Missing values are ignored; a group without values has no row.
-    `weight` names a count column when `df` is already collapsed."""
+    `weight` names a count column when `df` is already collapsed. `few_values` says that the values' domain bounds what a slice can hold
+    (such as whole milliseconds up to a limit), so that none needs to be cut."""
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).cast("double").alias("_v"))
                .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_w")))
-    counted = in_parts(counted, keys, "_v")
+    counted = counted.withColumns({"_slice": order_slice("_v"), "_part": F.lit(0)}) if few_values else in_parts(counted, keys, "_v")
     by_slice = counted.groupBy(*keys, "_slice", "_part").agg(F.sum("_w").alias("_sw"))
     ordered = Window.partitionBy(*keys).orderBy("_slice", "_part")
     placed = by_slice.select(

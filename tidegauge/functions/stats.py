@@ -47,21 +47,24 @@ def ks_exact_tail(d: float, n: int, m: int) -> float:
     reach = round(d * (n * m // share))
     if reach <= 0:
         return 1.0
-    at = np.zeros(n + 1)
-    at[0] = 1.0
-    low = high = 0
+    at, index = np.zeros(n + 2), np.arange(-1.0, n + 1)  # chances of standing at i = -1 .. n, 0 outside the band
+    at[1] = 1.0
+    low = 0
     for s in range(1, n + m + 1):
         # |i * a - (s - i) * b| < reach, with i up to n and s - i up to m
         first = max(0, s - m, (s * b - reach) // (a + b) + 1)
         last = min(n, s, -((-(s * b + reach)) // (a + b)) - 1)
         if first > last:
             return 1.0
-        i = np.arange(first, last + 1)
-        stay = np.where((i >= low) & (i <= high), at[i], 0.0) * (s - i)
-        step = np.where((i - 1 >= low) & (i - 1 <= high), at[np.maximum(i - 1, 0)], 0.0) * i
-        at[first:last + 1] = (stay + step) / s
-        low, high = first, last
-    return float(min(1.0, max(0.0, 1.0 - at[n])))
+        i = index[first + 1:last + 2]
+        moved = at[first:last + 1] * i
+        moved += at[first + 1:last + 2] * (s - i)
+        moved /= s
+        at[low + 1:first + 1] = 0.0  # what the band leaves behind; above it nothing has been yet
+        at[first + 1:last + 2] = moved
+        at[last + 2:last + 3] = 0.0
+        low = first
+    return float(min(1.0, max(0.0, 1.0 - at[n + 1])))
 
 
 @F.pandas_udf(DoubleType())

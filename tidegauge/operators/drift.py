@@ -79,6 +79,8 @@ def ordered_stats(df: DataFrame, keys: list[str], field: str, known: DataFrame |
         aggs += [F.max(gap).alias("ks_d"), F.max("all_n_ref").alias("ks_n")]
     out = run.groupBy(*seg).agg(*aggs).withColumn("median", (F.col("_lo") + F.col("_hi")) / F.lit(2.0)).drop("_lo", "_hi")
     if known is not None:
+        # a row a batch and segment, each with a recursion of its own: dealt to all tasks, which by size alone would be one
+        out = out.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *seg)
         sides = (F.col("ks_d"), F.col("ks_n"), F.col("ks_m"))
         out = out.withColumn("ks_p", F.coalesce(ks_exact(*sides), ks_pvalue(*sides)))
     return out
