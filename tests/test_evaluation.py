@@ -1,6 +1,8 @@
 """End-to-end evaluation: what is judged per scenario, and that leaving out shared batches changes nothing."""
 
-from tidegauge.operators import checks, faults
+import pytest
+
+from tidegauge.operators import checks, faults, stages
 from tidegauge.plans import contracts
 from tidegauge.plans import evaluation as ev
 from tidegauge.session import staged
@@ -40,3 +42,25 @@ def test_batches_a_fault_cannot_change_are_left_out(spark):
     faulty = listed[:2]  # without a clean run nothing can be left out
     assert rows(faults.apply_scenarios(raw, faulty, "id", from_onset=True)) == rows(faults.apply_scenarios(raw, faulty, "id"))
     assert faults.with_clean_past(part, faulty) is part
+
+
+def test_repeats_are_found_before_rows_are_repeated(spark):
+    """The first row per scenario and key, though faults remove some copies of a key and not others: as ranked in every scenario by itself."""
+    listed = [faults.Fault("gone", "feed_stops", "feed_stops", "a", onset=2), faults.Fault("some", "volume_drop", "volume_drop", "b", rate=0.5, onset=1),
+              faults.Fault("scaled", "unit_change", "unit_change", "a", field="x", onset=1), faults.Fault("calm", "clean", "clean")]
+    raw = spark.createDataFrame(
+        [(b, line, None if k == 5 else f"k{k}", v, float(line)) for b in (1, 2) for k in range(40)
+         for line, v in ((10 * k + 2, "a"), (10 * k + 1, "b" if k % 2 else "a"), (10 * k + 3, "b"), (10 * k + 4, None))],
+        "batch_no int, line_no long, id string, client_version string, x double")
+    for part in (False, True):
+        got = faults.first_per_scenario(raw, listed, "id", ["batch_no", "id"], ["batch_no", "line_no"], part)
+        want = stages.dedup_keep_first(faults.apply_scenarios(raw, listed, "id", part), ["scenario", "batch_no", "id"], ["batch_no", "line_no"])
+        assert rows(got.select(want.columns)) == rows(want)
+    with pytest.raises(ValueError, match="id"):
+        faults.first_per_scenario(raw, [faults.Fault("k", "invalid_enum", "type_change", "a", field="id", value="z")], "id", ["id"], ["line_no"])
+
+
+def test_only_the_stages_that_are_looked_at_are_built(spark):
+    frames = ev.scenario_frames(views.web_raw(spark, FOLDER), "web_analytics", faults.catalog("web_analytics"))
+    found = checks.run_contract(frames, contracts.WEB.only("text_drift"), ev.PIPELINES["web_analytics"].orders, ev.RUN)
+    assert set(frames) == {"after_ingest"} and found.count() > 0

@@ -10,8 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegauge.functions import scalars as S
+from tidegauge.operators.stages import dedup_keep_first
 
 # Message templates no baseline has seen.
 NEW_TEMPLATES = (
@@ -111,32 +113,59 @@ def with_clean_past(df: DataFrame, faults: list[Fault]) -> DataFrame:
     return df.withColumn("scenario", F.explode(names))
 
 
+def _with_text(df: DataFrame, faults: list[Fault]) -> DataFrame:
+    for name in sorted({f"{f.field}_text" for f in faults if f.kind == "type_change"}):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast("string"))
+    return df
+
+
 def apply_scenarios(df: DataFrame, faults: list[Fault], row_id: str, from_onset: bool = False) -> DataFrame:
     """`df` once per scenario, in a single pass over the source, with a `scenario` column. With `from_onset` a faulty scenario gets only
     the batches it may change, if a clean run is among the scenarios (`with_clean_past` completes what is computed from them)."""
-    text_columns = sorted({f"{f.field}_text" for f in faults if f.kind == "type_change"})
-    for name in text_columns:
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast("string"))
-    part = from_onset and clean_run(faults) is not None
-    names = [F.when(_touched(f), F.lit(f.scenario)) if part and f.kind != "clean" else F.lit(f.scenario) for f in faults]
-    out = df.withColumn("scenario", F.explode(F.array_compact(F.array(*names))))
-    removed = F.lit(False)
+    df = _with_text(df, faults)
+    return _in_runs(df.withColumn("_runs", _runs(faults, row_id, from_onset)), faults, row_id)
+
+
+def _runs(faults: list[Fault], row_id: str, from_onset: bool) -> Column:
+    """The scenarios a row appears in, as bits in the order of `faults`."""
+    part, bits = from_onset and clean_run(faults) is not None, F.lit(0).cast("bigint")
+    for i, f in enumerate(faults):
+        gone = drops(f, row_id)
+        there = _touched(f) if part and f.kind != "clean" else F.lit(True)
+        bits = bits + F.when(there if gone is None else there & ~gone, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return bits
+
+
+def _in_runs(df: DataFrame, faults: list[Fault], row_id: str) -> DataFrame:
+    """Every row once per scenario of its `_runs`, changed as the scenario says."""
+    names = [F.when(F.col("_runs").bitwiseAND(F.lit(1 << i)) != 0, F.lit(f.scenario)) for i, f in enumerate(faults)]
+    out = df.withColumn("scenario", F.explode(F.array_compact(F.array(*names)))).drop("_runs")
     edits: dict[str, list[tuple[Column, Column]]] = {}
     for f in faults:
-        mine = F.col("scenario") == F.lit(f.scenario)
-        gone = drops(f, row_id)
-        if gone is not None:
-            removed = removed | (mine & gone)
         for name, (cond, value) in rewrites(f, row_id).items():
-            edits.setdefault(name, []).append((mine & cond, value))
+            edits.setdefault(name, []).append(((F.col("scenario") == F.lit(f.scenario)) & cond, value))
     new = {}
     for name, cases in edits.items():
         expr = F
         for cond, value in cases:
             expr = expr.when(cond, value)
         new[name] = expr.otherwise(F.col(name)).cast(out.schema[name].dataType)
-    return out.where(~removed).withColumns(new) if new else out.where(~removed)
+    return out.withColumns(new) if new else out
+
+
+def first_per_scenario(df: DataFrame, faults: list[Fault], row_id: str, key: list[str], order: list[str], from_onset: bool = False) -> DataFrame:
+    """`apply_scenarios`, and of its rows the first per scenario and `key`. Faults remove rows but change no key, so the rows are ranked
+    before they are repeated: of equal keys that are in the same runs one is kept, and a row stays in the runs that no earlier row of its
+    key is in. What is shuffled and sorted is the input once, not once per scenario."""
+    changed = {name for f in faults for name in rewrites(f, row_id)}
+    if changed & {*key, *order}:
+        raise ValueError(f"faults change the key or the order of rows: {sorted(changed & {*key, *order})}")
+    known = _with_text(df, faults).withColumn("_runs", _runs(faults, row_id, from_onset)).where(F.col("_runs") != 0)
+    once = dedup_keep_first(known, [*key, "_runs"], order)
+    earlier = F.bit_or("_runs").over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    left = F.col("_runs").bitwiseAND(F.bitwise_not(F.coalesce(earlier, F.lit(0).cast("bigint"))))
+    return _in_runs(once.withColumn("_runs", left).where(F.col("_runs") != 0), faults, row_id)
 
 
 def ground_truth(spark: SparkSession, faults: list[Fault], n_batches: int) -> DataFrame:
@@ -193,7 +222,6 @@ def cast_text(df: DataFrame, field: str) -> DataFrame:
 def row_positions(df: DataFrame, order: list[str], out: str = "_pos") -> DataFrame:
     """Zero-based arrival position over all batches. Each batch is cut into slices of line numbers,
     slice sizes give the offsets, and rows are only ranked inside their slice."""
-    from pyspark.sql.window import Window
     batch, line = order
     sliced = df.withColumn("_slice", F.floor(F.col(line) / F.lit(65536)))
     sizes = sliced.groupBy(batch, "_slice").agg(F.count(F.lit(1)).alias("_c"))

@@ -31,35 +31,52 @@ class Pipeline:
     row_id: str
     raw_number: str                       # the untyped numeric field whose text crashes a stage
     stages: tuple[str, ...]
-    frames: Callable[[DataFrame, tuple[str, ...]], dict[str, DataFrame]]
+    frames: Callable[..., "Frames"]       # (raw rows, batch keys, the same rows without repeats if these are known)
+    dedup: bool = True                    # by row_id; repeats in a batch are dropped
 
     @property
     def orders(self) -> dict[str, int]:
         return {f"after_{s}": i for i, s in enumerate(self.stages, start=1)}
 
 
-def _web(raw: DataFrame, by: tuple[str, ...]) -> dict[str, DataFrame]:
-    cleaned = staged(web.clean(raw, by), "web-clean")
-    enriched = web.enrich(cleaned)
-    return {"after_ingest": raw, "after_clean": cleaned, "after_enrich": enriched,
-            "after_aggregate": web.aggregate(enriched, by)}
+class Frames(dict):
+    """Stage outputs by checkpoint, each built when it is first asked for: a contract that looks at one checkpoint runs no later stage."""
 
+    def __init__(self, **make: Callable[["Frames"], DataFrame]) -> None:
+        super().__init__()
+        self.make = make
 
-def _behavior(raw: DataFrame, by: tuple[str, ...]) -> dict[str, DataFrame]:
-    kept = staged(behavior.filter_sessions(raw, by), "sessions")
-    return {"after_ingest": raw, "after_filter_sessions": kept, "after_aggregate": behavior.aggregate(kept, by)}
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.make[name](self)
+        return self[name]
 
 
-def _payments(raw: DataFrame, by: tuple[str, ...]) -> dict[str, DataFrame]:
-    cleaned = staged(payments.clean(raw, by), "payments-clean")
-    enriched = payments.enrich(cleaned)
-    return {"after_ingest": raw, "after_clean": cleaned, "after_enrich": enriched,
-            "after_reconcile": payments.reconcile(enriched, by)}
+def _web(raw: DataFrame | Callable[[], DataFrame], by: tuple[str, ...], first: DataFrame | None = None) -> Frames:
+    return Frames(
+        after_ingest=lambda f: raw() if callable(raw) else raw,
+        after_clean=lambda f: staged(web.clean(f["after_ingest"], by) if first is None else web.tidy(first), "web-clean"),
+        after_enrich=lambda f: web.enrich(f["after_clean"]),
+        after_aggregate=lambda f: web.aggregate(f["after_enrich"], by))
+
+
+def _behavior(raw: DataFrame | Callable[[], DataFrame], by: tuple[str, ...], first: DataFrame | None = None) -> Frames:
+    return Frames(
+        after_ingest=lambda f: raw() if callable(raw) else raw,
+        after_filter_sessions=lambda f: staged(behavior.filter_sessions(f["after_ingest"], by), "sessions"),
+        after_aggregate=lambda f: behavior.aggregate(f["after_filter_sessions"], by))
+
+
+def _payments(raw: DataFrame | Callable[[], DataFrame], by: tuple[str, ...], first: DataFrame | None = None) -> Frames:
+    return Frames(
+        after_ingest=lambda f: raw() if callable(raw) else raw,
+        after_clean=lambda f: staged(payments.clean(f["after_ingest"], by) if first is None else payments.tidy(first), "payments-clean"),
+        after_enrich=lambda f: payments.enrich(f["after_clean"]),
+        after_reconcile=lambda f: payments.reconcile(f["after_enrich"], by))
 
 
 PIPELINES = {
     "web_analytics": Pipeline("web_analytics", "event_id", "duration_ms", web.STAGES, _web),
-    "user_behavior": Pipeline("user_behavior", "event_id", "duration_ms", behavior.STAGES, _behavior),
+    "user_behavior": Pipeline("user_behavior", "event_id", "duration_ms", behavior.STAGES, _behavior, dedup=False),
     "payment_processing": Pipeline("payment_processing", "transaction_id", "amount_cents", payments.STAGES, _payments),
 }
 
@@ -71,6 +88,13 @@ def learn(raw: DataFrame, pipeline: str, batches: list[int] | None = None) -> Ba
     return build(frames, contracts.CONTRACTS[pipeline], raw.sparkSession.createDataFrame([(b,) for b in known], "batch_no int"))
 
 
+def scenario_frames(raw: DataFrame, pipeline: str, fault_list: list[faults.Fault], from_onset: bool = False) -> Frames:
+    """Stage outputs of every scenario. Repeated rows are found in the rows themselves, before these are repeated per scenario."""
+    p, rows = PIPELINES[pipeline], spread(raw)
+    first = faults.first_per_scenario(rows, fault_list, p.row_id, ["batch_no", p.row_id], web.ORDER, from_onset) if p.dedup else None
+    return p.frames(lambda: staged(faults.apply_scenarios(rows, fault_list, p.row_id, from_onset), "scenarios"), tuple(RUN), first)
+
+
 def crashes(scen: DataFrame, p: Pipeline) -> DataFrame:
     """Batches whose second stage would crash: text where it divides or compares a number."""
     kind = F.col(f"{p.raw_number}_kind") == "text"
@@ -78,16 +102,22 @@ def crashes(scen: DataFrame, p: Pipeline) -> DataFrame:
             .where(F.col("uncastable") > 0).withColumn("crash_order", F.lit(1)))
 
 
+def scenario_crashes(raw: DataFrame, pipeline: str, fault_list: list[faults.Fault]) -> DataFrame:
+    """The batches that crash, without any check."""
+    p = PIPELINES[pipeline]
+    return faults.with_clean_past(crashes(faults.apply_scenarios(raw, fault_list, p.row_id, from_onset=True), p), fault_list)
+
+
 def scenario_results(raw: DataFrame, pipeline: str, fault_list: list[faults.Fault], base: Baselines | None,
                      contract: contracts.Contract | None = None) -> tuple[DataFrame | None, DataFrame]:
     """(all check results before the guard acts, batches that crash). A batch is judged by itself, so only batches that a fault may change
     are written and judged per scenario; the results of earlier ones are those of the clean run."""
     p = PIPELINES[pipeline]
-    scen = staged(faults.apply_scenarios(spread(raw), fault_list, p.row_id, from_onset=True), "scenarios")
-    frames = p.frames(scen, tuple(RUN))
+    frames = scenario_frames(raw, pipeline, fault_list, from_onset=True)
     contract = contract or contracts.CONTRACTS[pipeline]
     results = checks.run_contract(frames, contract, p.orders, RUN, base)
-    return (None if results is None else faults.with_clean_past(results, fault_list)), faults.with_clean_past(crashes(scen, p), fault_list)
+    crashed = faults.with_clean_past(crashes(frames["after_ingest"], p), fault_list)
+    return (None if results is None else faults.with_clean_past(results, fault_list)), crashed
 
 
 def guarded(raw: DataFrame, pipeline: str, fault_list: list[faults.Fault], base: Baselines | None,

@@ -9,13 +9,18 @@ from tidegauge.functions import scalars as S
 from tidegauge.operators import stages as ops
 
 NAME = "payment_processing"
+ORDER = ["batch_no", "line_no"]  # of arrival
 STAGES = ("ingest", "clean", "enrich", "reconcile")
 ALLOWED_STATUS = ("settled", "declined", "pending", "refunded")
 MAX_CENTS = 99_999_999.0
 
 
 def clean(raw: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    df = ops.dedup_keep_first(raw, [*by, "transaction_id"], ["batch_no", "line_no"])
+    return tidy(ops.dedup_keep_first(raw, [*by, "transaction_id"], ORDER))
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """The clean step behind its deduplication."""
     df = ops.filter_required(df, "user_id")
     df = ops.filter_range(df, "amount_cents", above=0.0, below=MAX_CENTS)
     df = (df.withColumn("amount_usd", S.scaled_down("amount_cents", 100.0))

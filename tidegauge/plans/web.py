@@ -13,12 +13,17 @@ from tidegauge.functions.ordered import exact_quantiles
 from tidegauge.operators import stages as ops
 
 NAME = "web_analytics"
+ORDER = ["batch_no", "line_no"]  # of arrival
 STAGES = ("ingest", "clean", "enrich", "aggregate")
 MAX_DURATION_S = 300.0
 
 
 def clean(raw: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    df = ops.dedup_keep_first(raw, [*by, "event_id"], ["batch_no", "line_no"])
+    return tidy(ops.dedup_keep_first(raw, [*by, "event_id"], ORDER))
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """The clean step behind its deduplication."""
     df = ops.filter_required(df, "user_id")
     df = df.withColumn("duration_s", S.scaled_down("duration_ms", 1000.0))
     df = ops.filter_range(df, "duration_s", below=MAX_DURATION_S)
