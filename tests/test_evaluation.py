@@ -1,7 +1,9 @@
 """End-to-end evaluation: what is judged per scenario, and that leaving out shared batches changes nothing."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidegauge.functions import scalars as S
 from tidegauge.operators import checks, faults, stages
 from tidegauge.plans import contracts
 from tidegauge.plans import evaluation as ev
@@ -64,3 +66,41 @@ def test_only_the_stages_that_are_looked_at_are_built(spark):
     frames = ev.scenario_frames(views.web_raw(spark, FOLDER), "web_analytics", faults.catalog("web_analytics"))
     found = checks.run_contract(frames, contracts.WEB.only("text_drift"), ev.PIPELINES["web_analytics"].orders, ev.RUN)
     assert set(frames) == {"after_ingest"} and found.count() > 0
+
+
+def test_only_broken_segments_are_read_per_scenario(spark):
+    """A checkpoint that counts by the broken segment column reads the others once; whole-batch checks still see every segment."""
+    pipeline, raw = "payment_processing", views.payments_raw(spark, FOLDER)
+    listed = faults.catalog(pipeline)
+    runs = ev.Runs(raw, pipeline, listed, from_onset=True)
+    assert faults.segment_column(listed, raw) == "payment_method" and faults.unlike_clean(runs.first, listed, "payment_method") == set()
+    read = faults.in_runs(faults.broken_segments(runs.rows, listed, "payment_method", set()), listed, "transaction_id")
+    got = {(r.scenario, r.payment_method) for r in read.select("scenario", "payment_method").distinct().collect()}
+    assert {s for s in got if s[0] != "clean"} == {(f.scenario, f.segment) for f in listed if f.kind not in ("clean", "feed_stops")}
+    contract = contracts.Contract(pipeline, (contracts.Checkpoint("after_clean", "payment_method", min_rows=1, check_segment_volume=True, fields=(
+        ("status", (contracts.Spec("schema", allowed=("settled", "pending")), contracts.Spec("schema", max_distinct=3))),
+        ("amount_usd", (contracts.Spec("schema", dtype="numeric"), contracts.Spec("unit", log_ratio_threshold=0.3))))),))
+    base = ev.learn(raw, pipeline).freeze()
+    whole = checks.run_contract(runs.frames(), contract, runs.p.orders, ev.RUN, base)
+    assert rows(ev.run_scenarios(runs, contract, base).select(whole.columns)) == rows(whole)
+
+
+def test_scenarios_that_change_other_segments_keep_all_rows(spark):
+    """Where a fault removes the first of equal rows, one of another segment takes its place: that run is read whole."""
+    listed = [faults.Fault("gone", "feed_stops", "feed_stops", "a", onset=2), faults.Fault("scaled", "unit_change", "unit_change", "a", field="x", onset=1),
+              faults.Fault("calm", "clean", "clean")]
+    raw = spark.createDataFrame([(b, line, f"k{k}", v, 1.0) for b in (1, 2) for k in range(3) for line, v in ((10 * k, "a"), (10 * k + 1, "b"))],
+                                "batch_no int, line_no long, id string, client_version string, x double")
+    first = faults.first_runs(faults.with_runs(raw, listed, "id", True), listed, "id", ["batch_no", "id"], ["batch_no", "line_no"])
+    wide = faults.unlike_clean(first, listed, "client_version")
+    assert wide == {"gone"}
+
+    def counted(df):
+        return df.groupBy("scenario", "batch_no", S.segment_of("client_version").alias("_seg")).agg(F.count("*").alias("n"), F.sum("x").alias("x"))
+
+    narrow = counted(faults.in_runs(faults.broken_segments(first, listed, "client_version", wide), listed, "id"))
+    got = faults.with_clean_segments(narrow, listed, wide)
+    want = counted(faults.in_runs(first, listed, "id"))
+    assert rows(got.select(want.columns)) == rows(want)
+    assert faults.segment_column(listed[:2], raw) is None  # no clean run
+    assert faults.segment_column([*listed, faults.Fault("m", "invalid_enum", "type_change", "a", field="client_version", value="z")], raw) is None

@@ -7,6 +7,7 @@ to that small result, and everything is unpivoted to one row per check and segme
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,7 +98,9 @@ def unexpected_values(df: DataFrame, keys: list[str], field: str, allowed: tuple
 class _Compiler:
     """Collects the aggregates, side results and measured rows of one checkpoint."""
 
-    def __init__(self, df: DataFrame, cp: Checkpoint, keys: list[str], base: Baselines | None):
+    def __init__(self, df: DataFrame, cp: Checkpoint, keys: list[str], base: Baselines | None,
+                 complete: Callable[[DataFrame], DataFrame] | None = None):
+        self.complete = complete or (lambda counted: counted)  # counts per (keys, _seg) that `df` leaves out
         self.cp, self.keys, self.base = cp, keys, base or Baselines()
         self.segmented = bool(cp.segment_by and cp.segment_by in df.columns)
         self.df = df.withColumn("_seg", S.segment_of(cp.segment_by) if self.segmented else F.lit("all"))
@@ -184,7 +187,8 @@ class _Compiler:
             return self.missing(name, "schema", field)
         odd = F.col(field).isNotNull() & ~F.col(field).cast("string").isin(*allowed)
         self.aggs[f"odd_{field}"] = F.count_if(odd)
-        values = unexpected_values(self.df, self.keys, field, allowed).withColumnRenamed("value", "v")
+        values = self.complete(unexpected_values(self.df, [*self.keys, "_seg"], field, allowed))
+        values = values.select(*self.keys, F.col("value").alias("v")).distinct()
         rank = F.row_number().over(Window.partitionBy(*self.keys).orderBy("v"))
         shown = (values.withColumn("r", rank).where(F.col("r") <= KEY_SET_SHOWN).groupBy(*self.keys)
                  .agg(F.array_join(F.sort_array(F.collect_list("v")), ", ").alias(f"odd_shown_{field}")))
@@ -198,7 +202,8 @@ class _Compiler:
         name = f"cardinality:{field}"
         if not self.has(field):
             return self.missing(name, "schema", field)
-        self.batch_side.append(self.df.groupBy(*self.keys).agg(F.count_distinct(field).alias(f"distinct_{field}")))
+        values = self.complete(self.df.groupBy(*self.keys, "_seg", F.col(field).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+        self.batch_side.append(values.groupBy(*self.keys).agg(F.count_distinct("_v").alias(f"distinct_{field}")))
         d = F.col(f"distinct_{field}")
         self.batch_rows.append(_measure(
             check_seq=self.next(), kind="count", check=name, check_type="schema", field=field, metric=d,
@@ -380,7 +385,7 @@ class _Compiler:
         segment, instead of another scan."""
         if self.fused is None:
             out = self.df.groupBy(*self.keys, "_seg").agg(*[c.alias(n) for n, c in self.aggs.items()])
-            self.fused = cut(out) if self.shared else out
+            self.fused = self.complete(cut(out) if self.shared else out)
         return self.fused
 
     def stats(self) -> DataFrame:
@@ -396,7 +401,7 @@ class _Compiler:
         for s in self.base_side:
             out = out.join(s, "_seg", "left")
         for s in self.side:
-            out = out.join(s, [*self.keys, "_seg"], "left")
+            out = out.join(self.complete(s), [*self.keys, "_seg"], "left")
         for s in self.batch_side:
             out = out.join(s, self.keys, "left")
         return out.select("*", *[c.alias(n) for n, c in self.metrics.items()])
@@ -452,9 +457,10 @@ def segment_volume(counts: DataFrame, cp: Checkpoint, keys: list[str], base: Bas
 
 
 def _run_checkpoint(df: DataFrame, pipeline: str, cp: Checkpoint, order: int, keys: list[str], base: Baselines | None,
-                    expected: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+                    expected: DataFrame | None, complete: Callable[[DataFrame], DataFrame] | None = None,
+                    ) -> tuple[DataFrame | None, DataFrame | None]:
     """(results, batches seen or expected, where the checkpoint has counted them)."""
-    c = _Compiler(df, cp, keys, base)
+    c = _Compiler(df, cp, keys, base, complete)
     volume_seq = segment_seq = None
     if cp.min_rows is not None or cp.max_rows is not None:
         c.volume()
@@ -492,12 +498,15 @@ def run_checkpoint(df: DataFrame, pipeline: str, cp: Checkpoint, order: int, key
 
 
 def run_contract(frames: dict[str, DataFrame], contract: Contract, orders: dict[str, int], keys: list[str],
-                 base: Baselines | None = None, expected: DataFrame | None = None) -> DataFrame | None:
+                 base: Baselines | None = None, expected: DataFrame | None = None,
+                 complete: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame | None:
     """Results of a whole contract; `frames` maps checkpoint names to stage outputs and `orders`
-    gives each checkpoint its place in the pipeline. A batch that an earlier checkpoint has counted is expected at the later ones."""
+    gives each checkpoint its place in the pipeline. A batch that an earlier checkpoint has counted is expected at the later ones.
+    Where a frame leaves out segments that are known from others, `complete` maps its checkpoint to a function that adds them to what was
+    counted per keys and segment (`_seg`)."""
     parts = []
     for cp in (c for c in contract.checkpoints if c.checks_anything):
-        found, batches = _run_checkpoint(frames[cp.name], contract.pipeline, cp, orders[cp.name], keys, base, expected)
+        found, batches = _run_checkpoint(frames[cp.name], contract.pipeline, cp, orders[cp.name], keys, base, expected, (complete or {}).get(cp.name))
         parts.append(found)
         expected = batches if batches is not None else expected
     parts = [p for p in parts if p is not None]

@@ -102,6 +102,49 @@ def _touched(f: Fault) -> Column:
     return F.coalesce(F.col("batch_no") >= f.onset, F.lit(True))
 
 
+def _in_segment(f: Fault, label: Column) -> Column:
+    return F.coalesce(label == F.lit(f.segment), F.lit(False))
+
+
+def segment_column(faults: list[Fault], df: DataFrame) -> str | None:
+    """The text column whose segments the faults break, if a clean run is among them, all break segments of that column and none changes
+    the column or the batch: then the other segments of a batch are those of the clean run."""
+    broken = [f for f in faults if f.kind != "clean"]
+    columns = {f.segment_column for f in broken}
+    changed = {name for f in broken for name in rewrites(f, "batch_no")}
+    if clean_run(faults) is None or len(columns) != 1 or changed & {*columns, "batch_no"}:
+        return None
+    column = columns.pop()
+    return column if dict(df.dtypes).get(column) == "string" else None
+
+
+def unlike_clean(df: DataFrame, faults: list[Fault], column: str) -> set[str]:
+    """Scenarios in which a row of another segment than the broken one is there and not in the clean run, or the other way round: where a
+    fault removes the first of equal rows, the next may be in another segment. One number a scenario comes to the driver."""
+    clean = _has(next(i for i, f in enumerate(faults) if f.kind == "clean"))
+    odd = [F.max((_touched(f) & ~_in_segment(f, S.segment_of(column)) & (_has(i) != clean)).cast("int")).alias(f.scenario)
+           for i, f in enumerate(faults) if f.kind != "clean"]
+    return {name for name, found in df.agg(*odd).first().asDict().items() if found} if odd else set()
+
+
+def broken_segments(df: DataFrame, faults: list[Fault], column: str, wide: set[str]) -> DataFrame:
+    """Of the runs of a row those where a fault may change its segment, and the clean run; runs in `wide` keep all their rows."""
+    keep = F.lit(0).cast("bigint")
+    for i, f in enumerate(faults):
+        kept = F.lit(True) if f.kind == "clean" or f.scenario in wide else _in_segment(f, S.segment_of(column))
+        keep = keep + F.when(kept, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return df.withColumn("_runs", F.col("_runs").bitwiseAND(keep)).where(F.col("_runs") != 0)
+
+
+def with_clean_segments(df: DataFrame, faults: list[Fault], wide: set[str], label: str = "_seg") -> DataFrame:
+    """What was counted per segment of `broken_segments`, completed: the other segments of a batch are those of the clean run."""
+    clean = clean_run(faults)
+    shared = [F.when(_touched(f) & ~_in_segment(f, F.col(label)), F.lit(f.scenario)) for f in faults
+              if f.kind != "clean" and f.scenario not in wide]
+    names = F.when(F.col("scenario") == clean, F.array_compact(F.array(F.lit(clean), *shared))).otherwise(F.array("scenario"))
+    return df.withColumn("scenario", F.explode(names))
+
+
 def with_clean_past(df: DataFrame, faults: list[Fault]) -> DataFrame:
     """Rows of scenario runs that hold only the batches from their onset on, completed: before its onset a run is the clean run, whose
     rows are repeated under its name. A narrow step over what was computed per batch; nothing is computed twice."""
@@ -123,8 +166,16 @@ def _with_text(df: DataFrame, faults: list[Fault]) -> DataFrame:
 def apply_scenarios(df: DataFrame, faults: list[Fault], row_id: str, from_onset: bool = False) -> DataFrame:
     """`df` once per scenario, in a single pass over the source, with a `scenario` column. With `from_onset` a faulty scenario gets only
     the batches it may change, if a clean run is among the scenarios (`with_clean_past` completes what is computed from them)."""
-    df = _with_text(df, faults)
-    return _in_runs(df.withColumn("_runs", _runs(faults, row_id, from_onset)), faults, row_id)
+    return in_runs(with_runs(df, faults, row_id, from_onset), faults, row_id)
+
+
+def with_runs(df: DataFrame, faults: list[Fault], row_id: str, from_onset: bool = False) -> DataFrame:
+    """Every row once, with the scenarios it appears in as `_runs`: what is worth writing, as `in_runs` repeats rows in a narrow step."""
+    return _with_text(df, faults).withColumn("_runs", _runs(faults, row_id, from_onset)).where(F.col("_runs") != 0)
+
+
+def _has(i: int) -> Column:
+    return F.col("_runs").bitwiseAND(F.lit(1 << i)) != 0
 
 
 def _runs(faults: list[Fault], row_id: str, from_onset: bool) -> Column:
@@ -137,10 +188,10 @@ def _runs(faults: list[Fault], row_id: str, from_onset: bool) -> Column:
     return bits
 
 
-def _in_runs(df: DataFrame, faults: list[Fault], row_id: str) -> DataFrame:
+def in_runs(df: DataFrame, faults: list[Fault], row_id: str) -> DataFrame:
     """Every row once per scenario of its `_runs`, changed as the scenario says."""
-    names = [F.when(F.col("_runs").bitwiseAND(F.lit(1 << i)) != 0, F.lit(f.scenario)) for i, f in enumerate(faults)]
-    out = df.withColumn("scenario", F.explode(F.array_compact(F.array(*names)))).drop("_runs")
+    names = [F.when(_has(i), F.lit(f.scenario)) for i, f in enumerate(faults)]
+    out = df.withColumn("scenario", F.explode(F.array(*names))).where(F.col("scenario").isNotNull()).drop("_runs")  # all in codegen
     edits: dict[str, list[tuple[Column, Column]]] = {}
     for f in faults:
         for name, (cond, value) in rewrites(f, row_id).items():
@@ -155,17 +206,21 @@ def _in_runs(df: DataFrame, faults: list[Fault], row_id: str) -> DataFrame:
 
 
 def first_per_scenario(df: DataFrame, faults: list[Fault], row_id: str, key: list[str], order: list[str], from_onset: bool = False) -> DataFrame:
-    """`apply_scenarios`, and of its rows the first per scenario and `key`. Faults remove rows but change no key, so the rows are ranked
+    """`apply_scenarios`, and of its rows the first per scenario and `key`."""
+    return in_runs(first_runs(with_runs(df, faults, row_id, from_onset), faults, row_id, key, order), faults, row_id)
+
+
+def first_runs(known: DataFrame, faults: list[Fault], row_id: str, key: list[str], order: list[str]) -> DataFrame:
+    """Of rows `with_runs` the first per scenario and `key`. Faults remove rows but change no key, so the rows are ranked
     before they are repeated: of equal keys that are in the same runs one is kept, and a row stays in the runs that no earlier row of its
     key is in. What is shuffled and sorted is the input once, not once per scenario."""
     changed = {name for f in faults for name in rewrites(f, row_id)}
     if changed & {*key, *order}:
         raise ValueError(f"faults change the key or the order of rows: {sorted(changed & {*key, *order})}")
-    known = _with_text(df, faults).withColumn("_runs", _runs(faults, row_id, from_onset)).where(F.col("_runs") != 0)
     once = dedup_keep_first(known, [*key, "_runs"], order)
     earlier = F.bit_or("_runs").over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     left = F.col("_runs").bitwiseAND(F.bitwise_not(F.coalesce(earlier, F.lit(0).cast("bigint"))))
-    return _in_runs(once.withColumn("_runs", left).where(F.col("_runs") != 0), faults, row_id)
+    return once.withColumn("_runs", left).where(F.col("_runs") != 0)
 
 
 def ground_truth(spark: SparkSession, faults: list[Fault], n_batches: int) -> DataFrame:
