@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import reachability
+from tests.compare import compare, duck
+from tidegauge.operators import lineage, reachability
+from tidegauge.plans import graphs
 
 
 def walk(links):
@@ -80,3 +82,60 @@ def test_empty_graph_and_unknown_nodes(spark):
     nodes = spark.createDataFrame([("p", "n002")], "pipeline string, id string")  # only one node is catalogued
     got = {(r.start, r.nodes) for r in reachability.counts(index, reachability.labels(index), nodes).collect()}
     assert got == {("n000", 1), ("n001", 1)}
+
+
+@pytest.mark.parametrize("turn", [False, True])
+@pytest.mark.parametrize("name", GRAPHS)
+def test_counts_of_all_starts_equal_a_walk_both_ways(spark, monkeypatch, name, turn):
+    monkeypatch.setattr(reachability, "CHUNK", 8)
+    links = [(p, t, s) for p, s, t in GRAPHS[name]] if turn else GRAPHS[name]
+    ids = sorted({(p, n) for p, s, t in links for n in (s, t)})[1:]  # one node is not catalogued
+    nodes = spark.createDataFrame(ids + ids[:1], "pipeline string, id string")
+    cover = reachability.cover(spark.createDataFrame(links + links[:3], "pipeline string, source string, target string"))
+    for back in (False, True):
+        told = walk([(p, t, s) for p, s, t in links] if back else links)
+        got = {(r.pipeline, r.start): (r.nodes, r.fives)
+               for r in reachability.count_all(cover, nodes, back, fives=F.col("id").endswith("5")).collect()}
+        kept = {k: {n for n in v if (k[0], n) in ids} for k, v in told.items()}
+        assert got == {k: (len(v), sum(n.endswith("5") for n in v)) for k, v in kept.items() if v}
+
+
+WIDE = ([("p", f"s{k}", f"t{(k * j) % 29}") for k in range(400) for j in (1, 2, 3)]
+        + [("p", f"t{k}", f"u{k % 4}") for k in range(29)] + [("p", f"u{k}", f"v{k % 2}") for k in range(4)])
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_counts_of_all_starts_write_little_more_than_the_links(spark, monkeypatch, turn):
+    """On a wide and shallow graph the labels are about as many as the pairs: they must not be written, whichever way is asked."""
+    wrote, cut = [], reachability.cut
+
+    def counted(df):
+        out = cut(df)
+        wrote.append(out.count())
+        return out
+    monkeypatch.setattr(reachability, "cut", counted)
+    links = set(WIDE)
+    edges = spark.createDataFrame([(*link, "derives") for link in links], "pipeline string, source string, target string, type string")
+    nodes = spark.createDataFrame(sorted({("p", n) for _, s, t in links for n in (s, t)}), "pipeline string, id string")
+    got = lineage.reach_counts(nodes, lineage.turned(edges) if turn else edges).collect()
+    told = walk([(p, t, s) for p, s, t in links] if turn else links)
+    assert {(r.pipeline, r.start): r.nodes for r in got} == {k: len(v) for k, v in told.items()}
+    assert sum(wrote) < 2 * len(links)
+
+
+def test_numbered_sales_links_are_those_of_the_sales_graph(spark):
+    folder = "/root/testdata/sf0.001"
+    nodes, links = graphs.sales_links(spark, folder)
+    names, edges = graphs.sales_graph(spark, folder)
+    named = [tuple(r) for r in graphs.sales_names(links, "source", "target").collect()]
+    assert len(named) == len(set(named))
+    assert set(named) == {tuple(r) for r in lineage.lineage_edges(edges).collect()}
+    known = {tuple(r) for r in graphs.sales_names(nodes, "id").collect()}
+    assert known == {(r.pipeline, r.id, r.type) for r in names.where("type in ('field', 'output')").collect()}
+
+
+def test_lineage_upstream_equals_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    count, diff = compare(spark, duck(folder), "lineage_upstream", folder)
+    assert not diff, diff
+    assert count > 0

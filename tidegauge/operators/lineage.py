@@ -78,10 +78,17 @@ def turned(edges: DataFrame) -> DataFrame:
 def reach_counts(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None, **kinds: Column) -> DataFrame:
     """How many nodes, and nodes of each kind (conditions on node columns), are computed from every start, or from the starts asked for:
     by the reachability index, without listing them."""
+    if starts is None:
+        return reachability.count_all(reach_cover(edges), nodes, **kinds)
     index = reachability.build(edges.where(F.col("type").isin(*DATA_LINKS)))
     return reachability.counts(index, reachability.labels(index, starts), nodes, **kinds)
 
 
+def reach_cover(edges: DataFrame) -> reachability.Cover:
+    """What `reachability.count_all` needs to count for every start, downstream or upstream."""
+    return reachability.cover(edges.where(F.col("type").isin(*DATA_LINKS)))
+
+
 def reached_outputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(pipeline, node, output, label): the outputs each node reaches, by sets pushed back against the edges. A pipeline's outputs are
     numbered and held as bits of one long per 64 of them; a round sends what a node has newly learned to the nodes before it, joined by
