@@ -88,6 +88,7 @@ def test_empty_graph_and_unknown_nodes(spark):
 @pytest.mark.parametrize("name", GRAPHS)
 def test_counts_of_all_starts_equal_a_walk_both_ways(spark, monkeypatch, name, turn):
     monkeypatch.setattr(reachability, "CHUNK", 8)
+    monkeypatch.setattr(reachability, "GATHERED", 0 if turn else 1 << 22)
     links = [(p, t, s) for p, s, t in GRAPHS[name]] if turn else GRAPHS[name]
     ids = sorted({(p, n) for p, s, t in links for n in (s, t)})[1:]  # one node is not catalogued
     nodes = spark.createDataFrame(ids + ids[:1], "pipeline string, id string")
@@ -139,3 +140,17 @@ def test_lineage_upstream_equals_sql(spark):
     count, diff = compare(spark, duck(folder), "lineage_upstream", folder)
     assert not diff, diff
     assert count > 0
+
+
+def test_label_rows_are_dealt_in_bounded_parts(spark, monkeypatch):
+    """Parts follow the number of label rows, and an even cover groups a start's labels in the one shuffle that deals them."""
+    links = spark.createDataFrame(sorted(set(WIDE)), "pipeline string, source string, target string")
+    nodes = spark.createDataFrame([("p", "v0"), ("p", "v1")], "pipeline string, id string")
+    monkeypatch.setattr(reachability, "DEALT", 100)
+    even = reachability.cover(links)
+    monkeypatch.setattr(reachability, "GATHERED", 0)
+    uneven = reachability.cover(links)
+    assert even.even and not uneven.even and even.parts == uneven.parts > 20
+    plans = [reachability.count_all(c, nodes)._jdf.queryExecution().toString() for c in (even, uneven)]
+    assert all(f", {even.parts}), REPARTITION_BY_NUM" in p for p in plans)
+    assert plans[0].count("Exchange hashpartitioning") < plans[1].count("Exchange hashpartitioning")
